@@ -6,16 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewheel.llm import htmltext, langid, pii, quality, toxicity, vectors
 from tidewheel.llm.neardup import near_duplicates
 from tidewheel.llm.session import read
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_held_out(read(spark, sf_dir, "documents"))
+
+
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents")).drop("row")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_held_out(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_held_out(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_minhash_neardup": op2_minhash_neardup,
+    "op3_personal_data": op3_personal_data,
+    "op4_toxicity": op4_toxicity,
+    "op7_html_text": op7_html_text,
+    "op9_quality": op9_quality,
+    "op10_nearest_vectors": op10_nearest_vectors,
 }
 
 ORACLE_SQL: dict[str, str] = {}
