@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.components import components
-from tidewheel.llm.session import cut
+from tidewheel.llm.session import broadcast_if_small, cut
 from tidewheel.llm.textkernel import Words, mix64, text_slices, utf8
 
 HASHES, BANDS, BITS = 128, 32, 4
 MARGIN = 0.16  # over four standard deviations of the estimate at a similarity of 0.8
 LEADERS = 4
 BLOCK = 256
+DROPPED_A_BROADCAST = 500_000
 
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -309,6 +310,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def without_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that stand for their group: one row of each component, and all rows with a null doc_id."""
+    found = cut(near_duplicates(docs, words, percent).filter("doc_id is not null"))
+    dropped = cut(found.filter(~F.col("kept")).select("doc_id").distinct())
+    again = cut(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    rows = docs.join(broadcast_if_small(dropped, DROPPED_A_BROADCAST), "doc_id", "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return rows
+    again = broadcast_if_small(again, DROPPED_A_BROADCAST)
+    once = rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return rows.join(again, "doc_id", "left_anti").select(docs.columns).union(once)
+
+
 def _own(k: int):
     """Keeps the rows whose text has the class digest that stands beside it."""
 

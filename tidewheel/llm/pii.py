@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.session import cut
+from tidewheel.llm.session import broadcast_if_small, cut
 from tidewheel.llm.textkernel import Words, mix64, text_slices, utf8
 
 KINDS = ("email", "ip", "card", "phone")
@@ -27,6 +27,7 @@ LEAST_SEEDS = 3  # different seeds that a pattern must precede
 LEAST_TRUST = 0.6
 ROUNDS = 3
 PATTERNS_A_PASS = 500_000
+ROWS_A_BROADCAST = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -234,3 +235,40 @@ def redact(text: str, spans: str) -> str:
             out += [text[free : int(start)], f"[{kind.upper()}]"]
             free = int(stop)
     return "".join([*out, text[free:]])
+
+
+def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in text_slices(batch):
+            names = part.schema.names
+            col, more = part.column("text"), part.column("__more").to_pylist()
+            maybe = pc.fill_null(pc.match_substring_regex(col, "[0-9@]"), False).to_pylist()
+            texts = col.to_pylist()
+            for i, text in enumerate(texts):
+                if maybe[i] or more[i]:
+                    extra = [(m["start"], m["kind"], m["stop"]) for m in more[i] or ()]
+                    texts[i] = redact(text, joined(sorted(base_spans(text) + extra)))
+            columns = {n: part.column(n) for n in names if n != "__more"}
+            columns["text"] = pa.array(texts, pa.string())
+            if "n_chars" in columns:
+                size = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                columns["n_chars"] = pc.if_else(pc.is_valid(columns["n_chars"]), size, None).cast(columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """`docs` with personal data in `text` replaced by its kind in brackets; a non-null n_chars is counted again.
+
+    All rows and columns stay; null and empty texts stay as they are.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("row", F.xxhash64("text"))
+    more = discover(rows, cut(rows.mapInArrow(_find, _FOUND)))
+    spans = "array<struct<start:int,kind:int,stop:int>>"
+    if more is None:
+        marked = docs.withColumn("__more", F.lit(None).cast(spans))
+    else:
+        added = cut(more.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("__more")))
+        added = added.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__more")
+        on = (docs["doc_id"].cast("bigint") == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__row"))
+        marked = docs.join(broadcast_if_small(added, ROWS_A_BROADCAST), on, "left").drop("__id", "__row")
+    return marked.mapInArrow(_redacted, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import htmltext, langid, pii, quality, toxicity, vectors
+from tidewheel.llm import decontaminate, htmltext, langid, mixing, pii, quality, secrets, toxicity, vectors
 from tidewheel.llm.neardup import near_duplicates
 from tidewheel.llm.session import read
 
@@ -27,10 +27,22 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_held_out(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(read(spark, sf_dir, "pages"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(read(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_held_out(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -44,9 +56,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_neardup": op2_minhash_neardup,
     "op3_personal_data": op3_personal_data,
     "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
+    "op6_mixing": op6_mixing,
     "op7_html_text": op7_html_text,
+    "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_nearest_vectors": op10_nearest_vectors,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": decontaminate.ORACLE_SQL,
+    "op6_mixing": mixing.ORACLE_SQL,
+}

@@ -178,6 +178,22 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_weighed(lexicon), "doc_id bigint, score double, weight double, n_hits bigint")
 
 
+def without_toxic(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5) -> DataFrame:
+    """The rows of `docs` whose text scores below `limit`, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(lexicon)
+        curve = np.asarray(lexicon.curve)
+        for batch in batches:
+            for part in text_slices(batch):
+                texts = part.column("text").to_pylist()
+                weights = np.asarray([matcher.weigh(t)[0] if t else 0.0 for t in texts])
+                odds = _features(weights, np.asarray([len(t or "") for t in texts], dtype=float)) @ curve
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(odds, -40, 40))) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from the labels whose remainder mod 5 is not 0 and scores all: doc_id, held_out, score, predicted."""
     lexicon = train(docs, labels.filter(~held_out(5, 0)))
