@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidewheel.plans import phases, relational
+
+MODULES = (relational, phases)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in MODULES for name, f in m.Q.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.SQL.items()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["live_time"](spark, sf_dir)
+    return QUERIES["scan_events"](spark, sf_dir)
