@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.plans import phases, relational
+from tidewheel.plans import models, phases, relational
 
-MODULES = (relational, phases)
+MODULES = (relational, phases, models)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in MODULES for name, f in m.Q.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.SQL.items()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["scan_events"](spark, sf_dir)
+    return QUERIES["lambda_stat"](spark, sf_dir)
