@@ -40,7 +40,7 @@ _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64)
 def pack_low_bits(minima: np.ndarray, bits: int = BITS) -> np.ndarray:
     """The low bits of each minimum, packed: one row of bytes per row of minima."""
     low = (mix64(minima)[:, :, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
-    return np.packbits(low.astype(np.uint8).reshape(len(minima), -1), axis=1)
+    return np.packbits(low.astype(np.uint8).reshape(len(minima), minima.shape[1] * bits), axis=1)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, bits: int = BITS) -> np.ndarray:
