@@ -23,15 +23,16 @@ HASH_BITS, LEVEL_BITS = 60, 12
 SOURCES_A_BROADCAST = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
-_SIZE = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
-_HASH = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 _KEY = ["no_source", "named"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """`docs` with size, hash and the source as a join key without nulls."""
     source = F.col("source").cast("string")
-    return docs.withColumns({"size": _SIZE, "hash": _HASH, "no_source": source.isNull(), "named": F.coalesce(source, F.lit(""))})
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
+    hashed = F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("bigint")
+    return docs.withColumns({"size": size, "hash": hashed, "no_source": source.isNull(), "named": F.coalesce(source, F.lit(""))})
 
 
 def _targets(sources: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
