@@ -58,7 +58,8 @@ def fit_weibull(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[float, flo
         return -weibull_ll(float(np.clip(math.exp(np.clip(z[0], -20, 20)), 0.05, 5)), math.exp(float(np.clip(z[1], -50, 50))), t, a, b)
 
     best = min((nelder_mead(cost, [math.log(k), math.log(len(t) / live * f)]) for k in (0.3, 0.7, 1.0) for f in (0.5, 1.0, 2.0)), key=lambda r: r[1])
-    return float(np.clip(math.exp(best[0][0]), 0.05, 5)), math.exp(best[0][1]), -best[1]
+    shape, rate = np.exp(np.clip(best[0], -50, 50))
+    return float(np.clip(shape, 0.05, 5)), float(rate), -best[1]
 
 
 def fit_gamma_mixed(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
@@ -69,7 +70,8 @@ def fit_gamma_mixed(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[float,
         return -gamma_mixed_ll(math.exp(float(np.clip(z[0], -30, 30))), math.exp(float(np.clip(z[1], -30, 30))), t, a, b)
 
     best = min((nelder_mead(cost, [math.log(x), math.log(rate / x)], 400) for x in (0.3, 1.0, 3.0)), key=lambda r: r[1])
-    return math.exp(best[0][0]), math.exp(best[0][1]), -best[1]
+    alpha, beta = np.exp(np.clip(best[0], -30, 30))
+    return float(alpha), float(beta), -best[1]
 
 
 def laplace(family: str, z: Sequence[float], t: np.ndarray, a: np.ndarray, b: np.ndarray, step: float = 0.02) -> np.ndarray:
