@@ -21,7 +21,7 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 HASH_BITS, LEVEL_BITS = 60, 12
 SOURCES_A_BROADCAST = 20_000
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 _KEY = ["no_source", "named"]
 
@@ -29,7 +29,9 @@ _KEY = ["no_source", "named"]
 def _keyed(docs: DataFrame) -> DataFrame:
     """`docs` with size, hash and the source as a join key without nulls."""
     source = F.col("source").cast("string")
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    # each word and the white space after it become one letter; lists of the words themselves would fill the heap
+    marks = F.translate(F.regexp_replace(F.col("text").cast("string"), WORD, "w"), " \t\n\x0b\f\r", "")
+    size = F.coalesce(F.length(marks), F.lit(0)).cast("bigint")
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
     hashed = F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("bigint")
     return docs.withColumns({"size": size, "hash": hashed, "no_source": source.isNull(), "named": F.coalesce(source, F.lit(""))})
