@@ -34,7 +34,7 @@ def spectral_power(windows: DataFrame, frequencies: DataFrame, by: str = "campai
     w = 2 * math.pi * F.col("f")
     a, b = F.col("a") / day, F.col("b") / day
     divisor = F.when(F.col("f") == 0, F.lit(1.0)).otherwise(w)
-    rows = frequencies.join(F.broadcast(windows), by)
+    rows = frequencies.join(windows, by)
     sums = rows.groupBy(by, "i", "f").agg(F.sum((F.sin(w * b) - F.sin(w * a)) / divisor).alias("re"), F.sum((F.cos(w * a) - F.cos(w * b)) / divisor).alias("im"), F.sum(b - a).alias("live"))
     power = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("live") * F.col("live"))
     return sums.select(by, "i", "f", power.alias("power"))
@@ -54,6 +54,6 @@ def flag_peaks(peaks: DataFrame, rationals: DataFrame, intervals: DataFrame, tol
     """
     f, tol = F.col("f"), F.col(tolerance)
     near = peaks.join(F.broadcast(rationals.select(F.col("f").alias("fa"))), F.abs(f - F.col("fa")) < tol, "left_semi").select(by, "peak_id").distinct().withColumn("rational", F.lit(True))
-    held = peaks.join(F.broadcast(intervals.select(F.col(by).alias("_by"), "f_lo", "f_hi")), (F.col(by) == F.col("_by")) & (f >= F.col("f_lo") - tol) & (f <= F.col("f_hi") + tol), "left_semi").select(by, "peak_id").distinct().withColumn("held", F.lit(True))
+    held = peaks.join(intervals.select(F.col(by).alias("_by"), "f_lo", "f_hi"), (F.col(by) == F.col("_by")) & (f >= F.col("f_lo") - tol) & (f <= F.col("f_hi") + tol), "left_semi").select(by, "peak_id").distinct().withColumn("held", F.lit(True))
     rows = peaks.join(near, [by, "peak_id"], "left").join(held, [by, "peak_id"], "left")
     return rows.withColumn("source", F.when(F.col("rational"), "day_rational").when(F.col("held"), "window_peak")).drop("rational", "held")

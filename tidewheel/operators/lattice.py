@@ -4,6 +4,10 @@ A lattice row is (campaign, period_id, sigma_id, tau_id, period_us, h, n_t0, vis
 start at t0 = i * h for i < n_t0, and `visits` lists the (u, w) of the template.  An
 event lies in few cells of a row; those are computed from its phase, so counting
 costs events by lattice rows by a handful, not events by cells.
+
+Sessions and totals grow with the data, so no join on a campaign is forced to
+broadcast: Spark broadcasts a side by its measured size, and splits a hot campaign
+otherwise.  Only tables made from constants carry the hint.
 """
 
 from __future__ import annotations
@@ -77,7 +81,7 @@ def lattice(spark: SparkSession, campaigns: DataFrame, periods_us: Sequence[int]
 
 def cell_counts(events: DataFrame, rows: DataFrame, origin: str = "tref") -> DataFrame:
     """n_in of each cell that holds an event: events (campaign, t, tref) against lattice rows."""
-    hit = events.join(F.broadcast(rows), "campaign").withColumn("v", F.explode("visits"))
+    hit = events.join(rows, "campaign").withColumn("v", F.explode("visits"))
     psi = F.pmod(F.col("t") - F.col(origin) - F.col("v.u"), F.col("period_us"))
     hit = hit.withColumn("psi", psi)
     h, w, last = F.col("h"), F.col("v.w"), F.col("n_t0") - 1
@@ -94,7 +98,7 @@ def cell_counts(events: DataFrame, rows: DataFrame, origin: str = "tref") -> Dat
 def cell_exposures(windows: DataFrame, rows: DataFrame, origin: str = "tref") -> DataFrame:
     """Live microseconds in the visits of every cell: windows (campaign, a, b, tref) against lattice rows."""
     cells = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_t0") - 1)))
-    joined = cells.join(F.broadcast(windows), "campaign").withColumn("v", F.explode("visits"))
+    joined = cells.join(windows, "campaign").withColumn("v", F.explode("visits"))
     start = F.col(origin) + F.col("i") * F.col("h")
     live = live_before(F.col("b") - start, F.col("period_us"), F.col("v.u"), F.col("v.w")) - live_before(F.col("a") - start, F.col("period_us"), F.col("v.u"), F.col("v.w"))
     return joined.groupBy(*KEY, "i", "period_us", "h").agg(F.sum(live).alias("e_us"))
@@ -105,9 +109,9 @@ def scan(events: DataFrame, windows: DataFrame, rows: DataFrame) -> DataFrame:
     live = windows.groupBy("campaign").agg(F.sum(F.col("b") - F.col("a")).alias("live_us"), F.min("a").alias("tref"))
     n = events.groupBy("campaign").agg(F.count("*").alias("n"))
     totals = live.join(n, "campaign", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    exposed = cell_exposures(windows.join(F.broadcast(live.select("campaign", "tref")), "campaign"), rows)
-    counted = cell_counts(events.join(F.broadcast(live.select("campaign", "tref")), "campaign"), rows)
-    cells = exposed.join(counted, [*KEY, "i"], "left").join(F.broadcast(totals), "campaign").withColumn("n_in", F.coalesce("n_in", F.lit(0)))
+    exposed = cell_exposures(windows.join(live.select("campaign", "tref"), "campaign"), rows)
+    counted = cell_counts(events.join(live.select("campaign", "tref"), "campaign"), rows)
+    cells = exposed.join(counted, [*KEY, "i"], "left").join(totals, "campaign").withColumn("n_in", F.coalesce("n_in", F.lit(0)))
     day = F.lit(float(DAY_US))
     ll = two_bin(F.col("n_in"), F.col("e_us") / day, F.col("n"), F.col("live_us") / day)
     return cells.withColumn("ll", F.round(ll, 6))

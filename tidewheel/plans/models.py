@@ -55,7 +55,7 @@ def _rates(spark: SparkSession, d: str) -> DataFrame:
 def m4_ll_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Weibull renewal at a fixed shape over the sessions that have events."""
     order = Window.partitionBy("campaign", "session").orderBy("t", "event_id")
-    rows = frames.observed(spark, d).join(F.broadcast(_rates(spark, d)), "campaign").withColumn("pace", F.col("rate") * _GAMMA)
+    rows = frames.observed(spark, d).join(_rates(spark, d), "campaign").withColumn("pace", F.col("rate") * _GAMMA)
     rows = rows.withColumns({"before": F.lag("t").over(order), "after": F.lead("t").over(order)})
     shape, pace, least = F.lit(SHAPE), F.col("pace"), F.lit(renewal.SHORTEST_GAP)
     gap, first, tail = F.greatest(_day(F.col("t") - F.col("before")), least), F.greatest(_day(F.col("t") - F.col("a")), least), F.greatest(_day(F.col("b") - F.col("t")), least)
@@ -76,7 +76,7 @@ _M5_SQL = (
 def m5_ll(spark: SparkSession, d: str) -> DataFrame:
     """Gamma-mixed Poisson at a fixed dispersion over all sessions."""
     n = frames.observed(spark, d).groupBy("campaign", "session").agg(F.count("*").alias("n"))
-    rows = frames.windows(spark, d).join(n, ["campaign", "session"], "left").join(F.broadcast(_rates(spark, d)), "campaign")
+    rows = frames.windows(spark, d).join(n, ["campaign", "session"], "left").join(_rates(spark, d), "campaign")
     ll = likelihood.negative_binomial(F.coalesce("n", F.lit(0)), _day(F.col("b") - F.col("a")), F.lit(ALPHA), F.col("rate") / ALPHA)
     return rows.groupBy("campaign").agg(F.count("*").alias("n_sessions"), F.round(F.sum(ll), 4).alias("ll"))
 
@@ -196,7 +196,7 @@ def alias_flag_live(spark: SparkSession, d: str) -> DataFrame:
     points = _power(spark, d).filter(F.col("power") > _LEAST).select(F.col("campaign").alias("c"), F.col("f").alias("fp"))
     rows = _candidates(spark, d)
     rational = alias.flag_peaks(rows, alias.day_rationals(spark), points.select(F.col("c").alias("campaign"), F.col("fp").alias("f_lo"), F.col("fp").alias("f_hi")).filter(F.lit(False)))
-    near = rows.join(F.broadcast(points), (F.col("campaign") == F.col("c")) & (F.col("fp") <= F.greatest(F.lit(3.0), 1.5 * F.col("f"))) & (F.abs(F.col("fp") - F.col("f")) < F.col("tol")), "left_semi").select("campaign", "peak_id", F.lit(True).alias("near"))
+    near = rows.join(points, (F.col("campaign") == F.col("c")) & (F.col("fp") <= F.greatest(F.lit(3.0), 1.5 * F.col("f"))) & (F.abs(F.col("fp") - F.col("f")) < F.col("tol")), "left_semi").select("campaign", "peak_id", F.lit(True).alias("near"))
     return rational.join(near, ["campaign", "peak_id"], "left").select("campaign", "peak_id", (F.col("source").isNotNull() | F.coalesce("near", F.lit(False))).alias("flagged"))
 
 

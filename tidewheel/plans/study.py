@@ -23,6 +23,7 @@ from tidewheel.sources.sinks import UnitStore
 
 Inputs = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
 MODEL_WEIGHT = {"M2": 1.0, "M3": 5.0}
+SHIPPED_VALUES = 50_000_000  # event and session times that a study may ship to every executor (400 MB)
 
 
 def clean_inputs(events: DataFrame, windows: DataFrame, gap: int = 100_000, tolerance: int = 30_000_000) -> DataFrame:
@@ -40,7 +41,13 @@ def clean_inputs(events: DataFrame, windows: DataFrame, gap: int = 100_000, tole
 
 
 def arrays(events: DataFrame, windows: DataFrame) -> Inputs:
-    """Each campaign's sorted event days and session edges; for campaigns whose tables fit one task by nature."""
+    """Each campaign's sorted event days and session edges, which studies ship to all executors.
+
+    Their number is checked first; a larger study has to be run by groups of campaigns.
+    """
+    size = events.count() + 2 * windows.count()
+    if size > SHIPPED_VALUES:
+        raise ValueError(f"{size} times are more than a study ships ({SHIPPED_VALUES}); run it by groups of campaigns")
     t = {r["campaign"]: np.asarray(r["t"]) for r in events.groupBy("campaign").agg(F.array_sort(F.collect_list("t")).alias("t")).toLocalIterator()}
     out = {}
     for r in windows.groupBy("campaign").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("w")).toLocalIterator():
