@@ -18,14 +18,20 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Computes `df` once into a table in the session's shared folder and reads it from there.
 
     The table survives lost executors, ends the lineage, and gives later plans its
     true size (a plan over checkpoint() carries the product of all sizes that it was
     joined from).  It is deleted when the driver ends.
+
+    A `narrow` table has rows of a few numbers, and is dealt out to as many files as
+    the cluster has cores: else each step of a loop leaves one file for each shuffle
+    partition, most of them next to empty.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.repartition(max(8, spark.sparkContext.defaultParallelism))
     jvm = spark._jvm
     path = f"{_shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)

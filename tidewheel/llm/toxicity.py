@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 The lexicon is learned: a term (or a stem that many terms share) is weighted by how
-much more often it stands in toxic texts, counted over distinct contexts so that
-copies of one text count once.  Folding maps homoglyphs and digit substitutions to
+much more often it stands in toxic texts, where it is counted by distinct contexts,
+so that copies of one text count once.  Folding maps homoglyphs and digit substitutions to
 letters one to one, so hits keep their places and word boundaries are checked on
 the text as written.  Hits inside exception phrases don't count.  The total weight,
 alone and normalised by length, gives the score through a logistic curve.
@@ -132,24 +132,27 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
     hash of doc_id.  Rows with a null in doc_id, toxic or text teach nothing; a
     doc_id labelled twice is toxic if once.  Without labels the lexicon is empty.
     """
-    marked = cut(labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
+    marked = cut(labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), narrow=True)
     n = marked.count()
     if n > rows:
-        marked = cut(marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(rows / n * (1 << 20))))
+        marked = cut(marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(rows / n * (1 << 20))), narrow=True)
     sample = cut(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(marked), "doc_id"))
     words = F.regexp_extract_all(fold_column(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     at = F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(F.try_element_at("w", i).alias("term"), F.when(i > 1, F.try_element_at("w", i - 1)).alias("prev"), F.try_element_at("w", i + 1).alias("next"))))
-    used = sample.select("toxic", words.alias("w")).filter(F.size("w") > 0).select("toxic", at.alias("t")).select("toxic", "t.*").groupBy("term", "prev", "next").agg(F.max("toxic").alias("t1"), F.min("toxic").alias("t0"))
-    used = cut(used.filter("term is not null"))
-    sums = [F.sum("t1").alias("p"), F.sum(1 - F.col("t0")).alias("q")]
-    total = used.agg(*sums).first()
+    used = sample.select("toxic", words.alias("w")).filter(F.size("w") > 0).select("toxic", at.alias("t")).select("toxic", "t.*").filter("term is not null")
+    # toxic texts by context, the many others by term alone: their contexts would fill the executors
+    hot = used.filter("toxic = 1").groupBy("term", "prev", "next").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("p"))
+    cold = used.filter("toxic = 0").groupBy("term").agg(F.count("*").alias("q"))
+    counted = cut(hot.join(cold, "term", "full").select("term", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("q", F.lit(0)).alias("q")), narrow=True)
+    sums = [F.sum("p").alias("p"), F.sum("q").alias("q")]
+    total = counted.agg(*sums).first()
     if not total["p"]:
         return Lexicon({}, {}, tuple(exceptions))
 
     def weigh(p: Column, q: Column) -> Column:
         return F.log((p + 0.5) / (total["p"] + 1.0)) - F.log((q + 0.5) / (total["q"] + 1.0))
 
-    terms = cut(used.groupBy("term").agg(*sums).withColumn("weight", weigh(F.col("p"), F.col("q"))))
+    terms = counted.withColumn("weight", weigh(F.col("p"), F.col("q")))
     strong = (F.col("p") >= LEAST_CONTEXTS) & (F.col("weight") >= LEAST_WEIGHT)
     top = terms.filter(strong).orderBy(F.desc("p"), "term").limit(LEXICON_TERMS).select("term", "weight", "q").toPandas()
     stems = terms.filter(F.length("term") > min(STEM_LETTERS)).withColumn("stem", F.explode(F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in STEM_LETTERS]))).filter("stem is not null")
@@ -160,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
     found = list(exceptions)
     if unsafe:
         marks = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in unsafe], "term string"))
-        near = used.join(marks, "term").select("t1", "t0", F.explode(F.array(F.concat_ws(" ", "prev", "term"), F.concat_ws(" ", "term", "next"))).alias("phrase"))
-        spared = near.filter(F.instr("phrase", " ") > 0).groupBy("phrase").agg(F.sum("t1").alias("p"), F.sum(1 - F.col("t0")).alias("q")).filter("p = 0 and q >= 3")
+        near = used.join(marks, "term").select("toxic", F.explode(F.array(F.concat_ws(" ", "prev", "term"), F.concat_ws(" ", "term", "next"))).alias("phrase"))
+        spared = near.filter(F.instr("phrase", " ") > 0).groupBy("phrase").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).filter("p = 0 and q >= 3")
         found += [r["phrase"] for r in spared.orderBy("phrase").limit(LEXICON_TERMS).collect()]
     draft = Lexicon(lexicon_words, dict(zip(stems["stem"], stems["weight"], strict=True)), tuple(found))
     fit = sample.mapInArrow(_weighed(draft), "doc_id bigint, score double, weight double, n_hits bigint").select("doc_id", "weight").join(F.broadcast(sample.select("doc_id", "toxic", F.length("text").alias("chars"))), "doc_id").toPandas()
