@@ -30,6 +30,7 @@ def test_extraction_leaves_out_what_is_not_the_article():
     assert main_text(page) == "Title & more\nOne bold, two three.\nFour <x> é.\na\nb"
     assert main_text("<p>a < b & c</p>") == "a < b & c"
     assert main_text("<div><p>unclosed <b>tags") == "unclosed tags"
+    assert main_text('<div class="entry"><h2 class="section-header">Part</h2><p>Body, with words.</p><ol class="commentlist"><li>I think so</ol><div class="adsbygoogle">x</div><div class="siteFooter">y</div></div>') == "Part\nBody, with words."
     for odd in (None, "", "<", "<!--", "<script>", "</p></div>", "<a href='", "plain words"):
         assert isinstance(main_text(odd), str)
     assert main_text("plain words") == "plain words"

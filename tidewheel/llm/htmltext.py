@@ -27,13 +27,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe object svg math".split())
 SKIPPED = RAW | frozenset("head nav header footer aside form button select option dialog menu canvas audio video".split())
 BLOCKS = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+BREAKING = BLOCKS | frozenset("head nav header footer aside form dialog menu".split())
 CONTAINERS = frozenset("article body div main section td".split())
 CLOSES_P = BLOCKS - {"body", "html"}
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widgets?|notice|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|comment-list|respond|replies|reply|disqus|reviews?|pagination|pager|toolbar|skip|hidden|alert|disclaimer|copyright)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:ads?|adsbygoogle|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|(?:site|top|main|side|page|sub)?nav|navbar|navigation|menu|breadcrumbs?|(?:site|page|top)?header|masthead|(?:site|page)?footer|sidebar|side|aside|widgets?|notice|cookies?|cookie-?(?:bar|banner|consent)|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|comment-?list|comment-?form|respond|replies|reply|disqus|pagination|pager|toolbar|skip|hidden|alert|disclaimer|copyright)(?:$|[\s_-]|\d)",
     re.I,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CAMEL = re.compile(r"([a-z])([A-Z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
@@ -70,7 +73,9 @@ def _boiler(tag: str, attrs: dict[str, str]) -> bool:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
         return True
-    return attrs.get("role", "").lower() in ROLES or any(BOILER.search(attrs[a]) for a in ("class", "id") if a in attrs)
+    if tag in HEADINGS:  # a section's heading is text, whatever its class is called
+        return False
+    return attrs.get("role", "").lower() in ROLES or any(BOILER.search(CAMEL.sub(r"\1-\2", attrs[a])) for a in ("class", "id") if a in attrs)
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -129,7 +134,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             if tag == "p" and all(n.tag != "p" for n in stack):
                 flush()
             elif any(n.tag == tag for n in stack):
-                if tag in BLOCKS or tag in SKIPPED or stack[-1].tag != tag:
+                if tag in BREAKING or stack[-1].tag != tag:
                     flush()
                 while stack.pop().tag != tag:
                     pass
@@ -144,11 +149,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         if tag == "a":
             in_link += 1
-        inline = tag not in BLOCKS and tag not in SKIPPED
-        if inline and not _boiler(tag, attrs):
-            continue
-        if not inline or _boiler(tag, attrs):
+        if tag in BREAKING:
             flush()
+        elif not _boiler(tag, attrs):
+            continue
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
@@ -255,5 +259,5 @@ def extract(pages: DataFrame) -> DataFrame:
     votes = rows.select("host", "html").mapInArrow(_votes, "host string, path string, score double")
     tally = votes.groupBy("host", "path").agg(F.sum(F.round("score", 3).cast("decimal(20,3)")).alias("votes"))
     first = tally.groupBy("host").agg(F.max(F.struct("votes", F.expr("transform(split(path, ''), c -> -ascii(c))").alias("order"), "path"))["path"].alias("path"))
-    winners = broadcast_if_small(cut(first), HOSTS_A_BROADCAST)
+    winners = broadcast_if_small(cut(first, narrow=True), HOSTS_A_BROADCAST)
     return rows.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
