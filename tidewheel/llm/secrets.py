@@ -82,11 +82,11 @@ def secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source")
     values = found.filter(F.size("base") > 0).select("doc_id", "row", "repository", "owner", F.explode("base").alias("s")).select("doc_id", "row", "repository", "owner", "s.kind", F.sha2(F.col("s.value").cast("binary"), 256).alias("secret"))
     repositories = values.groupBy("secret", "owner", "repository").agg(F.min("kind").alias("kind"))
     owners = repositories.groupBy("secret", "owner").agg(F.count("*").alias("repositories"), F.min("kind").alias("kind"))
-    owned = cut(owners.groupBy("secret").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.min("kind").alias("kind"), F.min("owner").alias("owner")))
+    owned = cut(owners.groupBy("secret").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.min("kind").alias("kind"), F.min("owner").alias("owner")), narrow=True)
     verdicts = values.join(owned.select("secret", "owners"), "secret").groupBy("doc_id", "row", "secret").agg(F.max("owners").alias("owners"))
-    verdicts = cut(verdicts.groupBy("doc_id", "row").agg(F.count_if(F.col("owners") >= OWNERS_OF_AN_EXAMPLE).alias("n_example"), F.count_if(F.col("owners") == 1).alias("n_live")))
+    verdicts = cut(verdicts.groupBy("doc_id", "row").agg(F.count_if(F.col("owners") >= OWNERS_OF_AN_EXAMPLE).alias("n_example"), F.count_if(F.col("owners") == 1).alias("n_live")), narrow=True)
 
-    added = cut(_bare(rows, owned.filter("owners = 1").select("secret", F.col("kind").alias("bare_kind"))))
+    added = cut(_bare(rows, owned.filter("owners = 1").select("secret", F.col("kind").alias("bare_kind"))), narrow=True)
     out = found.join(verdicts, ["doc_id", "row"], "left").join(added, ["doc_id", "row"], "left")
     base = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["stop"]))
     every = F.array_sort(F.concat(base, F.coalesce("bare", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
@@ -108,7 +108,7 @@ def _bare(rows: DataFrame, live: DataFrame) -> DataFrame:
     tokens = rows.filter("doc_id is not null").filter(F.col("text").rlike("[0-9]")).select("doc_id", "row", _blanked(F.col("text")).alias("text"))
     tokens = tokens.select("doc_id", "row", F.explode(F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(f"({BARE})"), F.lit(1)), lambda t: t.rlike("[0-9]")))).alias("token"))
     hits = tokens.select("doc_id", "row", F.sha2(F.col("token").cast("binary"), 256).alias("secret")).join(broadcast_if_small(live, VALUES_A_BROADCAST), "secret")
-    hits = cut(hits.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_set(F.struct("secret", "bare_kind"))).alias("known")))
+    hits = cut(hits.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_set(F.struct("secret", "bare_kind"))).alias("known")), narrow=True)
     texts = rows.select("doc_id", "row", "text").join(broadcast_if_small(hits, VALUES_A_BROADCAST), ["doc_id", "row"]).select("doc_id", "row", "known", _blanked(F.col("text")).alias("text"))
     spans = F.filter(_places(F.col("text"), BARE, 0), lambda s: F.map_contains_key("known", F.sha2(s["value"].cast("binary"), 256)))
     spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at("known", F.sha2(s["value"].cast("binary"), 256)).alias("kind"), s["stop"].alias("stop")))
