@@ -175,18 +175,23 @@ def _best(least: float, stars: bool):
 
 
 def _crossing(group: pa.RecordBatch, least: float) -> np.ndarray:
-    """Which rows may be linked: of different components and, in a group of two blocks, of different blocks."""
+    """Which rows may be linked: of different components and, in a group of two blocks, of different blocks.
+
+    A group of one block holds its rows, and maybe visitors from the bucket's other blocks.
+    """
     comp, block = np.asarray(group.column("comp")), np.asarray(group.column("block"))
     sig = _signatures(group)
-    two = group.column("x")[0].as_py() != group.column("y")[0].as_py()
+    x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
     values, counts = np.unique(comp, return_counts=True)
     ok = np.zeros((len(comp), len(comp)), dtype=bool)
     rows = np.flatnonzero(comp != values[np.argmax(counts)])  # pairs within the largest component need no test
     for s in range(0, len(rows), 256):
         r = rows[s : s + 256]
         ok[r] = (estimate(sig[r], sig) >= least) & (comp[r][:, None] != comp[None, :])
-        if two:
+        if x != y:
             ok[r] &= block[r][:, None] != block[None, :]
+        else:  # two visitors meet where one of them is at home
+            ok[r] &= (block[r][:, None] == x) | (block[None, :] == x)
     return ok
 
 
@@ -262,12 +267,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     described = cut(docs.mapInArrow(_describe(words), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary, bands array<bigint>"))
     # any row of a class has the class's signature; the least id decides which is named
-    classes = cut(described.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id")))
-    reps = cut(described.join(classes.select(F.col("id").alias("doc_id"), F.col("d1").alias("c1"), F.col("d2").alias("c2")), "doc_id").filter("d1 = c1 and d2 = c2").select(F.col("doc_id").alias("id"), "sig", "bands").dropDuplicates(["id"]))
+    classes = cut(described.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), narrow=True)
+    reps = cut(described.join(classes.select(F.col("id").alias("doc_id"), F.col("d1").alias("c1"), F.col("d2").alias("c2")), "doc_id").filter("d1 = c1 and d2 = c2").select(F.col("doc_id").alias("id"), "sig", "bands").dropDuplicates(["id"]), narrow=True)
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    members = cut(keyed.join(shared, "key").join(reps.select("id", "sig"), "id"))
-    candidates = cut(members.select("id").distinct())
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = cut(keyed.join(shared, "key").join(reps.select("id", "sig"), "id"), narrow=True)
+    candidates = cut(members.select("id").distinct(), narrow=True)
     texts = docs.withColumnRenamed("doc_id", "id").join(candidates, "id").join(classes.select("id", "d1", "d2"), "id")
     texts = cut(texts.mapInArrow(_own(words), "id bigint, text string").dropDuplicates(["id"]))
 
@@ -278,31 +283,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = None
     for stage in ("leaders", "partners", "all"):
         labelled = rows.join(label, "id")
+        visits = F.array("block")
         if stage != "leaders":
-            mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-            labelled = labelled.join(cut(mixed.select("key")), "key")
+            sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
+            mixed = sizes.agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all")).filter("m.c < all")
+            labelled = labelled.join(mixed.select("key", F.col("m.comp").alias("largest"), (F.col("all") - F.col("m.c")).alias("others")), "key")
+        few = F.lit(True)
         if stage == "all":
-            labelled = labelled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        else:
-            labelled = labelled.withColumn("other", F.col("block"))
-        grouped = labelled.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "comp", "block", "sig")
+            # few rows outside the largest component visit every block; many meet it block by block
+            few = F.col("others") <= BLOCK
+            visits = F.when(few & (F.col("comp") == F.col("largest")), visits).otherwise(F.sequence(F.lit(0), F.col("g") - 1))
+        labelled = labelled.withColumn("other", F.explode(visits))
+        x, y = (F.when(few, F.col("other")).otherwise(f("block", "other")) for f in (F.least, F.greatest))
+        grouped = labelled.select("key", x.alias("x"), y.alias("y"), "id", "comp", "block", "sig")
         grouped = grouped.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
         if stage == "all":
             involved = cut(grouped.mapInArrow(_involved(least), grouped.schema))
             grouped = involved.join(texts, "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-            links = cut(grouped.mapInArrow(_links(words, percent, least), "a bigint, b bigint"))
+            links = cut(grouped.mapInArrow(_links(words, percent, least), "a bigint, b bigint"), narrow=True)
         else:
             best = grouped.mapInArrow(_best(least, stage == "leaders"), "a bigint, b bigint, est double")
             best = best.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-            pairs = cut(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            pairs = cut(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), narrow=True)
             sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-            links = cut(sides.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, percent), "a bigint, b bigint, linked boolean").filter("linked").select("a", "b"))
+            links = cut(sides.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, percent), "a bigint, b bigint, linked boolean").filter("linked").select("a", "b"), narrow=True)
         if not links.isEmpty():
             found = links if found is None else found.union(links)
-            label = cut(candidates.join(components(found).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("comp")))
+            label = cut(candidates.join(components(found).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("comp")), narrow=True)
 
     by_class = classes.join(label, "id", "left").select("d1", "d2", F.coalesce("comp", "id").alias("component_id"))
-    by_class = cut(by_class.withColumn("full", F.lit(True)))
+    by_class = cut(by_class.withColumn("full", F.lit(True)), narrow=True)
     full = F.col("n_shingles") > 0
     rows = described.select("doc_id", "n_shingles", "d1", "d2", full.alias("full"))
     joined = rows.join(by_class, ["d1", "d2", "full"], "left")
@@ -312,9 +322,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def without_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that stand for their group: one row of each component, and all rows with a null doc_id."""
-    found = cut(near_duplicates(docs, words, percent).filter("doc_id is not null"))
-    dropped = cut(found.filter(~F.col("kept")).select("doc_id").distinct())
-    again = cut(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    found = cut(near_duplicates(docs, words, percent).filter("doc_id is not null"), narrow=True)
+    dropped = cut(found.filter(~F.col("kept")).select("doc_id").distinct(), narrow=True)
+    again = cut(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), narrow=True)
     rows = docs.join(broadcast_if_small(dropped, DROPPED_A_BROADCAST), "doc_id", "left_anti").select(docs.columns)
     if again.isEmpty():
         return rows
