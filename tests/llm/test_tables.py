@@ -74,6 +74,25 @@ def test_vectors_recall_ties_and_odd_rows(spark):
     assert vectors.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<double>")).count() == 0
 
 
+def test_vectors_are_exact_within_a_hot_group_of_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2400, 16))
+    x[:600] = x[0]
+    x[600:1200] = x[600] + 1e-4 * rng.standard_normal((600, 16))
+    ids = rng.permutation(2400)
+    rows = [(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)]
+    got = {}
+    for r in vectors.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1), modulus=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 2400, 20))
+    for q, near in got.items():
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(axis=1))
+        d[ids == q] = np.inf
+        best = np.lexsort((ids, d))[:10]
+        assert [v for v, _ in near] == ids[best].tolist()
+        assert np.allclose([s for _, s in near], d[best], rtol=1e-12, atol=0)
+
+
 def test_score_aware_coding_lowers_the_parallel_residual():
     x = np.random.default_rng(1).standard_normal((2000, 16))
     book = vectors.fit(x)

@@ -6,7 +6,10 @@ product quantiser of 16 centroids a subspace, trained to weigh the residual that
 parallel to the vector more than the orthogonal one, since the parallel part moves
 the largest products most.  A query's products with all centroids are a small
 table; a scan adds table entries by code, and the best of each block are measured
-exactly on the original vectors.
+exactly on the original vectors.  The k-th of these distances and the stored length
+of each residual then tell which rows of the block can still be among the nearest;
+all of them are measured too, so that the answer is exact, and copies or near
+copies that share a code are told apart.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ SUBSPACE = 2
 PARALLEL = 4.0  # how much more a parallel residual costs
 QUERIES_A_PASS = 8_192
 BLOCK = 4_096
-RERANK = 12  # exact measurements for each neighbour wanted, in each block
+RERANK = 12  # first measurements for each neighbour wanted, in each block
+PAIRS = 1 << 17  # measured at once
 
 
 @dataclass(frozen=True)
@@ -42,6 +46,9 @@ class Codebooks:
         padded[:, : self.dims] = x
         return padded.reshape(len(x), m, d)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.centroids[j][codes[:, j]] for j in range(len(self.centroids))], axis=1)[:, : self.dims]
+
     def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """A centroid for each vector and subspace, by coordinate descent on the score-aware loss."""
         parts = self.split(x)
@@ -117,31 +124,51 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 
 def index(vectors: DataFrame, book: Codebooks) -> DataFrame:
-    """vec_id, vector, code (packed) and half (half the squared norm) of every row."""
+    """vec_id, vector, code (packed), half (half the squared norm), off (the residual's length) and far (the coded vector's squared norm) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(s, BLOCK)
                 x = _matrix(part.column("vector"))
-                codes = pack(book.encode(x))
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("vector"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array((x**2).sum(axis=1) / 2)], names=["vec_id", "vector", "code", "half"])
+                codes = book.encode(x)
+                coded = book.decode(codes)
+                half, off, far = (x**2).sum(axis=1) / 2, np.sqrt(((x - coded) ** 2).sum(axis=1)), (coded**2).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("vector"), pa.array([c.tobytes() for c in pack(codes)], pa.binary()), pa.array(half), pa.array(off), pa.array(far)], names=["vec_id", "vector", "code", "half", "off", "far"])
+
+    return vectors.mapInArrow(run, "vec_id bigint, vector array<double>, code binary, half double, off double, far double")
+
 
-    return vectors.mapInArrow(run, "vec_id bigint, vector array<double>, code binary, half double")
+def _least(q: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (query, id, distance) the first `k` of each query, by distance and then id."""
+    order = np.lexsort((ids, dist, q))
+    q = q[order]
+    kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[kept], ids[order][kept], dist[order][kept]
 
 
-def _merge(ids: np.ndarray, dist: np.ndarray, new_ids: np.ndarray, new_dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, dist = np.concatenate([ids, new_ids], axis=1), np.concatenate([dist, new_dist], axis=1)
-    order = np.lexsort((ids, dist), axis=1)[:, :k]
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+def _measured(x: np.ndarray, vec_ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, q: np.ndarray, r: np.ndarray, best: tuple[np.ndarray, np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`best` with the pairs of queries `q` and rows `r`, measured on the original vectors."""
+    for s in range(0, len(q), PAIRS):
+        some, row = q[s : s + PAIRS], r[s : s + PAIRS]
+        other = vec_ids[row] != query_ids[some]
+        some, row = some[other], row[other]
+        dist = np.sqrt(((x[row] - queries[some]) ** 2).sum(axis=1))
+        fine = np.isfinite(dist)
+        best = _least(*(np.concatenate([a, b]) for a, b in zip(best, (some[fine], vec_ids[row[fine]], dist[fine]), strict=True)), k)
+    return best
 
 
 def _scan(book: Codebooks, query_ids: np.ndarray, queries: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_q = len(query_ids)
-        ids, dist = np.zeros((n_q, 0), np.int64), np.zeros((n_q, 0))
         m, c, _ = book.centroids.shape
-        tables = np.einsum("qjd,jcd->jqc", book.split(queries), book.centroids).astype(np.float32)
+        exact_tables = np.einsum("qjd,jcd->jqc", book.split(queries), book.centroids)
+        tables = exact_tables.astype(np.float32)
+        reach = np.abs(exact_tables).max(axis=2).sum(axis=0)
+        square = (queries**2).sum(axis=1)
+        nothing = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        best = {s: nothing for s in range(0, n_q, 256)}
         pending: list[pa.RecordBatch] = []
         held = 0
 
@@ -159,27 +186,39 @@ def _scan(book: Codebooks, query_ids: np.ndarray, queries: np.ndarray, k: int):
                 yield pa.concat_batches(pending)
 
         for block in blocks():
-            x, vec_ids, half = _matrix(block.column("vector")), np.asarray(block.column("vec_id")), np.asarray(block.column("half"))
+            x, vec_ids = _matrix(block.column("vector")), np.asarray(block.column("vec_id"))
+            half, off, far = (np.asarray(block.column(name)) for name in ("half", "off", "far"))
             codes = np.frombuffer(b"".join(block.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
             codes = np.stack([codes & 15, codes >> 4], axis=2).reshape(len(x), -1)[:, :m].astype(np.int64)
             wide = min(len(x), RERANK * k + 1)
-            for s in range(0, n_q, 256):
-                q = queries[s : s + 256]
+            for s in best:
+                q, names, length = queries[s : s + 256], query_ids[s : s + 256], square[s : s + 256]
                 score = np.repeat(-half[None, :].astype(np.float32), len(q), axis=0)
                 for j in range(m):
                     score += tables[j, s : s + 256][:, codes[:, j]]
                 near = np.argpartition(-score, wide - 1, axis=1)[:, :wide] if wide < len(x) else np.repeat(np.arange(len(x))[None], len(q), axis=0)
-                exact = np.sqrt(((x[near] - q[:, None, :]) ** 2).sum(axis=2))
-                own = vec_ids[near] == query_ids[s : s + 256, None]
-                exact[own] = np.inf
-                i, d = _merge(ids[s : s + 256], dist[s : s + 256], vec_ids[near], exact, k)
-                if s == 0:
-                    next_ids, next_dist = np.full((n_q, i.shape[1]), -1), np.full((n_q, i.shape[1]), np.inf)
-                next_ids[s : s + 256], next_dist[s : s + 256] = i, d
-            ids, dist = next_ids, next_dist
-        if ids.shape[1]:
-            q, j = np.nonzero(np.isfinite(dist))
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids[q, j]), pa.array(dist[q, j])], names=["query_id", "vec_id", "score"])
+                best[s] = _measured(x, vec_ids, names, q, np.repeat(np.arange(len(q)), wide), near.ravel(), best[s], k)
+                if wide == len(x):
+                    continue
+                limit = np.full(len(q), np.inf)  # a query's k-th distance so far
+                last = np.arange(len(best[s][0])) - np.searchsorted(best[s][0], best[s][0]) == k - 1
+                limit[best[s][0][last]] = best[s][2][last]
+                # A row can't be nearer than its coded vector less the residual's length: |q - coded| <= limit + off.
+                slack = 2.0**-20 * (m + 2) * (reach[s : s + 256] + half.max()) + 2.0**-40 * (far.max() + off.max() ** 2) + 1e-36
+                room = (limit**2 - length + slack)[:, None] + (2 * half - far + off**2)[None, :] + 2 * limit[:, None] * off[None, :]
+                may = ~(-2.0 * score > room) | ~np.isfinite(2.0 * score)
+                np.put_along_axis(may, near, False, axis=1)
+                rows = np.flatnonzero(may.any(axis=0))
+                if not len(rows):
+                    continue
+                # Products of whole vectors leave rounding alone in doubt; what is within it is measured.
+                squares = length[:, None] + 2 * half[rows][None, :]
+                beyond = squares - 2 * (q @ x[rows].T) - 2.0**-50 * (x.shape[1] + 8) * squares > (limit**2)[:, None]
+                some, row = np.nonzero(may[:, rows] & ~beyond)
+                best[s] = _measured(x, vec_ids, names, q, some, rows[row], best[s], k)
+        for s, (q, ids, dist) in best.items():
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[s + q]), pa.array(ids), pa.array(dist)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -187,8 +226,9 @@ def _scan(book: Codebooks, query_ids: np.ndarray, queries: np.ndarray, k: int):
 def nearest(vectors: DataFrame, modulus: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score for the rows of `vectors` (vec_id, embedding) whose vec_id is divisible by `modulus`.
 
-    score is the Euclidean distance in double precision on the original vectors;
-    ties go to the smaller vec_id; all candidates come back if fewer than `k`.  A
+    The rows are the exact nearest ones, whatever share of a block is copies or near
+    copies.  score is the Euclidean distance in double precision on the original
+    vectors; ties go to the smaller vec_id; all candidates come back if fewer than `k`.  A
     row is no candidate for queries of its own vec_id.  Rows with a null vec_id, or
     a vector that is null, empty, zero, or has null or non-finite components take
     no part, nor do vectors of another length than the most frequent one (ties: the
