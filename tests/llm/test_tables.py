@@ -37,6 +37,34 @@ def test_extraction_leaves_out_what_is_not_the_article():
     assert len(main_text("<article>" + "<p>word</p>" * 50_000 + "</article>")) == 5 * 50_000 - 1
 
 
+def test_extraction_keeps_headings_leads_and_sections_of_pages_in_divs():
+    many = "<p>" + "Some words of the long text, and more. " * 60 + "</p>"
+    some = "<p>" + "Other words of the next part, and more. " * 20 + "</p>"
+
+    def plain(*parts):
+        return "\n".join(p.replace("<p>", "").replace("</p>", "").strip() for p in parts)
+
+    for text in (many, some, "<p>Few, words.</p>"):
+        page = f"<body><div class=menu>m</div><div class=post><h1>Title</h1><p>Lead.</p><div class=body>{text}</div></div><div class=footer>f</div></body>"
+        assert main_text(page) == plain("Title", "Lead.", text)
+        deep = f"<body><div class=post><h1>Title</h1><div><p>Lead.</p><div><div><div><div class=body>{text}</div></div><p>By me</p></div></div></div></body>"
+        assert main_text(deep) == plain("Title", "Lead.", text, "By me")
+        assert main_text(f"<body><section>{many}</section><section>{text}</section></body>") == plain(many, text)
+        assert main_text(f"<body><div class=one>{text}</div><div class=two>{many}</div></body>") == plain(text, many)
+        links = "<ul>" + "<li><a href=/>Elsewhere</a>" * 5 + "</ul>"
+        assert main_text(f"<body>{links}<div class=post><h1>Title</h1><div>{text}</div></div></body>") == plain("Title", text)
+        assert main_text(f"<main><h1>Title</h1><article>{text}</article></main>") == plain("Title", text)
+        assert main_text(f"<main><article>{many}</article><article>{text}</article></main>") == plain(many, text)
+    assert main_text(f"<body><div>Unnamed, notice.</div><article><h1>Title</h1><div>{many}</div></article></body>") == plain("Title", many)
+
+
+def test_a_host_path_does_not_drop_a_lead(spark):
+    page = "<body><div class=post>{}<div class=body><p>" + "Some words, and more. " * 30 + "</p></div></div></body>"
+    rows = [(i, "https://h.org/a", page.format("")) for i in range(9)] + [(9, "https://h.org/b", page.format("<h1>Title</h1>"))]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[9] == "Title\n" + got[0] and got[0].startswith("Some words")
+
+
 def test_hosts_agree_on_a_path(spark):
     usual = "<body><div class='menu'>m</div><div class='post-{0}'><p>Long text number {0}, with commas, and more words.</p></div><div class='tail'><p>{1}</p></div></body>"
     rows = [(i, "https://h.org/a", usual.format(i, "x")) for i in range(9)] + [(20, "https://h.org/b", usual.format(20, "A tail, that, is longer, than, the post, here, in, this, page. " * 4))]

@@ -2,7 +2,8 @@
 
 Pass one parses each page, scores its containers (text that is neither boilerplate
 nor links) and votes for the generalised tag-class paths of its best ones; Spark
-sums the votes by host.  Pass two takes each page's text from the path that won on
+sums the votes by host.  A best container is widened to the ones around it while
+they add text, so headings, leads and further sections stay.  Pass two takes each page's text from the path that won on
 its host, or from the page's own best container where that path is missing.
 """
 
@@ -49,10 +50,13 @@ class Node:
     path: str
     parent: Node | None
     skipped: bool
+    holder: Node | None = None  # the nearest container around it
     blocks: list[int] = field(default_factory=list)
     text: int = 0  # characters of its own subtree outside boilerplate
     links: int = 0
     marks: int = 0
+    heads: int = 0
+    flow: int = 0  # characters that are no links and in no container within it
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -84,6 +88,10 @@ def _step(tag: str, attrs: dict[str, str]) -> str:
     return ".".join([tag, *names[:4]])
 
 
+def _holds(node: Node) -> bool:
+    return node.tag in CONTAINERS or node.parent is None
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """The container nodes in page order, and each block's (innermost node, text) outside boilerplate."""
     root = Node("", "", None, False)
@@ -104,10 +112,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 node = stack[-1]
                 blocks.append((node, text))
                 marks = sum(text.count(c) for c in ".,;:!?")
+                head = stack[-1].tag in HEADINGS
+                (node if _holds(node) else node.holder).flow += len(text) - min(linked, len(text))
                 while node is not None:
                     node.text += len(text)
                     node.links += min(linked, len(text))
                     node.marks += marks
+                    node.heads += head
                     node = node.parent
         linked = 0
 
@@ -163,7 +174,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if tag in CLOSED_BY_SAME and stack[-1].tag in CLOSED_BY_SAME[tag]:
             stack.pop()
         up = stack[-1]
-        node = Node(tag, f"{up.path}/{_step(tag, attrs)}", up, up.skipped or _boiler(tag, attrs))
+        node = Node(tag, f"{up.path}/{_step(tag, attrs)}", up, up.skipped or _boiler(tag, attrs), up if _holds(up) else up.holder)
         nodes.append(node)
         if m[0].endswith("/>") and tag in ("svg", "math"):
             continue
@@ -184,29 +195,63 @@ def _score(node: Node) -> float:
 
 
 def best_container(nodes: list[Node]) -> Node:
-    """The highest score; a smaller container wins over one that holds it unless that adds much."""
+    """The highest score, a smaller container before one that holds it unless that adds much; then widened to what adds text to it."""
     top, most = nodes[0], -1.0
     for node in nodes:
-        if (node.tag in CONTAINERS or node.parent is None) and not node.skipped and node.text:
+        if _holds(node) and not node.skipped and node.text:
             score = _score(node)
             if score > most or (score >= 0.9 * most and _within(node, top)):
                 top, most = node, score
-    return top
+    return widened(nodes, [top])[0]
 
 
-def _within(node: Node, outer: Node) -> bool:
+def widened(nodes: list[Node], chosen: list[Node], strangers: bool = True) -> list[Node]:
+    """For each of `chosen` the widest container around it that adds text, up to one that adds mostly links.
+
+    Text is what stands in that container itself (a heading, a lead), in a container
+    of the same tag and classes as the one within, or, with `strangers`, in any
+    other with a heading or a punctuation mark.  Around an article or main only
+    another one of the same tag and classes counts.
+    """
+    held: dict[int, list[Node]] = {}
+    for node in nodes:
+        if node.holder is not None and _holds(node) and not node.skipped and node.text:
+            held.setdefault(id(node.holder), []).append(node)
+    wide = []
+    for top in chosen:
+        below = top
+        declared = [n for n in _around(top) if n.tag in ("article", "main")]
+        last = declared[-1] if declared else None
+        past = last is top
+        while (up := below.holder) is not None and 2 * (up.links - below.links) <= up.text - below.text:
+            others = [n for n in held.get(id(up), ()) if n is not below and 2 * n.links <= n.text]
+            same = any(n.path == below.path for n in others)
+            if past:
+                adds = same and below.tag in ("article", "main")
+            else:
+                adds = same or up.flow > 0 or (strangers and any(n.marks or n.heads for n in others))
+            if adds:
+                top = up
+            past = past or up is last
+            below = up
+        wide.append(top)
+    return wide
+
+
+def _around(node: Node | None) -> Iterator[Node]:
     while node is not None:
-        if node is outer:
-            return True
+        yield node
         node = node.parent
-    return False
+
+
+def _within(node: Node, outer: Node) -> bool:
+    return any(n is outer for n in _around(node))
 
 
 def text_at(nodes: list[Node], blocks: list[tuple[Node, str]], path: str | None) -> str:
     """Joined blocks under the nodes of `path`, or under the page's own best container."""
     chosen = [n for n in nodes if path and n.path == path and not n.skipped and n.text]
-    if not chosen:
-        chosen = [best_container(nodes)]
+    chosen = widened(nodes, chosen, strangers=False) if chosen else [best_container(nodes)]
     inside: dict[int, bool] = {id(n): True for n in chosen}
 
     def under(node: Node | None) -> bool:
