@@ -241,6 +241,18 @@ def test_ownership_tells_examples_from_live_secrets(spark):
     assert got[51]["spans"] == f"assign:{at}:{at + len(live)}" and got[51]["n_assign"] == 0 and got[52]["spans"] == ""
 
 
+def test_bare_live_values_are_found_at_sentence_ends_and_behind_keys(spark):
+    values = ["Zk39dk2LqW81", "qRtYuIoPlKjH", "abCD12+/efGH=="]
+    texts = [f"password={v} here" for v in values]
+    bare = [f.format(v) for v in values for f in ("It was {}.", "pw={}", "x=y={}", "Use pw={}. Then", "{}/", "so {} it is")]
+    rows = [(i, t, "me") for i, t in enumerate(texts + bare + ["token: wonderful thing", "a wonderful day"])]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secrets(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    for i, text, _ in rows[3:-2]:
+        v = values[(i - 3) // 6]
+        assert got[i] == f"assign:{text.index(v)}:{text.index(v) + len(v)}", text
+    assert got[len(rows) - 1] == ""
+
+
 @there
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")

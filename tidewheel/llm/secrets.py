@@ -24,6 +24,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}+"
 BARE = r"[A-Za-z0-9+/_.=-]{8,}"
+UNLIKE_A_WORD = r"[0-9]|[a-z][A-Z]"
 _OPEN, _CLOSE = "\x01", "\x02"
 _SPAN = "struct<start:int,kind:int,stop:int,value:string>"
 
@@ -66,7 +67,10 @@ def secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source")
     Reads doc_id, text and the columns that name repository and owner.  Counts and
     hash are of the base forms; `spans` lists all as kind:start:end by start and
     then kind (code points, end exclusive), a bare live value under the kind that
-    gave it away.  n_example counts base values that `OWNERS_OF_AN_EXAMPLE` or more
+    gave it away.  A bare value is a run of value characters, whole or without the
+    `key=` before it or the `.`, `/` and `=` after it, that has a digit or a capital
+    after a small letter: values spelt like words would be found in plain prose.
+    n_example counts base values that `OWNERS_OF_AN_EXAMPLE` or more
     owners carry, n_live those of one owner.  Null owners count as one owner.  Null
     and empty texts have no spans.  Repeated rows have equal results each; rows with
     a null doc_id keep base spans only.  No rows give no rows.
@@ -103,13 +107,29 @@ def _blanked(text: Column) -> Column:
     return text
 
 
+def _forms(run: Column) -> Column:
+    """off and value of what may be meant by a run: whole, after its first or last `key=`, and without the end of a sentence, path or padding."""
+    core = F.rtrim(run, F.lit("./="))
+    heads = F.array_distinct(F.array(F.lit(0), F.length(F.regexp_extract(core, "^([^=]*=+)", 1)), F.length(F.regexp_extract(core, "^(.*=)", 1))))
+    ends = F.array_distinct(F.array(run, F.rtrim(run, F.lit("./")), core))
+    forms = F.flatten(F.transform(heads, lambda h: F.transform(ends, lambda e: F.struct(h.alias("off"), F.substr(e, h + 1).alias("value")))))
+    return F.filter(forms, lambda f: (F.length(f["value"]) >= LEAST_VALUE) & f["value"].rlike(UNLIKE_A_WORD))
+
+
 def _bare(rows: DataFrame, live: DataFrame) -> DataFrame:
-    """doc_id, row and the spans `bare` of live values that stand outside base matches."""
-    tokens = rows.filter("doc_id is not null").filter(F.col("text").rlike("[0-9]")).select("doc_id", "row", _blanked(F.col("text")).alias("text"))
-    tokens = tokens.select("doc_id", "row", F.explode(F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(f"({BARE})"), F.lit(1)), lambda t: t.rlike("[0-9]")))).alias("token"))
+    """doc_id, row and the spans `bare` of live values that stand outside base matches; of a run's forms the longest counts."""
+    tokens = rows.filter("doc_id is not null").filter(F.col("text").rlike(UNLIKE_A_WORD)).select("doc_id", "row", _blanked(F.col("text")).alias("text"))
+    runs = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(f"({BARE})"), F.lit(1)), lambda t: t.rlike(UNLIKE_A_WORD)))
+    tokens = tokens.select("doc_id", "row", F.explode(runs).alias("run")).select("doc_id", "row", F.explode(_forms(F.col("run"))["value"]).alias("token"))
     hits = tokens.select("doc_id", "row", F.sha2(F.col("token").cast("binary"), 256).alias("secret")).join(broadcast_if_small(live, VALUES_A_BROADCAST), "secret")
     hits = cut(hits.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_set(F.struct("secret", "bare_kind"))).alias("known")), narrow=True)
     texts = rows.select("doc_id", "row", "text").join(broadcast_if_small(hits, VALUES_A_BROADCAST), ["doc_id", "row"]).select("doc_id", "row", "known", _blanked(F.col("text")).alias("text"))
-    spans = F.filter(_places(F.col("text"), BARE, 0), lambda s: F.map_contains_key("known", F.sha2(s["value"].cast("binary"), 256)))
-    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.element_at("known", F.sha2(s["value"].cast("binary"), 256)).alias("kind"), s["stop"].alias("stop")))
+
+    def longest(run: Column) -> Column:
+        known = F.filter(_forms(run), lambda f: F.map_contains_key("known", F.sha2(f["value"].cast("binary"), 256)))
+        return F.array_max(F.transform(known, lambda f: F.struct(F.length(f["value"]).alias("n"), (-f["off"]).alias("before"), F.element_at("known", F.sha2(f["value"].cast("binary"), 256)).alias("kind"))))
+
+    found = F.transform(_places(F.col("text"), BARE, 0), lambda s: F.struct(s["start"].alias("start"), longest(s["value"]).alias("hit")))
+    found = F.filter(found, lambda s: s["hit"].isNotNull())
+    spans = F.transform(found, lambda s: F.struct((s["start"] - s["hit"]["before"]).alias("start"), s["hit"]["kind"].alias("kind"), (s["start"] - s["hit"]["before"] + s["hit"]["n"]).alias("stop")))
     return texts.select("doc_id", "row", spans.alias("bare")).groupBy("doc_id", "row").agg(F.first("bare").alias("bare"))
