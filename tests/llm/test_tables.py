@@ -253,6 +253,13 @@ def test_bare_live_values_are_found_at_sentence_ends_and_behind_keys(spark):
     assert got[len(rows) - 1] == ""
 
 
+def test_a_value_in_many_repositories_of_one_owner_is_an_example(spark):
+    rows = [(i, f"password=placeholder12 in file {i}", "hot") for i in range(40)] + [(50, "bare placeholder12 here", "hot"), (60, "token=Zk39dk2LqW81", "hot"), (61, "token=Zk39dk2LqW81", "hot")]
+    got = {r["doc_id"]: r for r in secrets.secrets(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert {(got[i]["n_example"], got[i]["n_live"]) for i in range(40)} == {(1, 0)} and got[50]["spans"] == ""
+    assert (got[60]["n_example"], got[60]["n_live"]) == (0, 1)
+
+
 @there
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")

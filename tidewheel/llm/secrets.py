@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership, in DataFrame operations only.
 
 Base forms are found in every text.  Hashes of the values are then counted over the
-corpus by distinct repositories and owners: a value that several owners carry is a
-widely copied example, one that only its owner has looks live.  Live values are also
+corpus by distinct repositories and owners: a value that several owners carry, or
+that stands in many repositories, is a widely copied example; one that only its
+owner has, in few of them, looks live.  Live values are also
 searched for bare, without the assignment that gave them away, and those places are
 added to the spans.
 """
@@ -16,6 +17,7 @@ from tidewheel.llm.session import broadcast_if_small, cut
 
 KINDS = ("assign", "access", "hex")
 OWNERS_OF_AN_EXAMPLE = 3
+REPOSITORIES_OF_AN_EXAMPLE = 10
 LEAST_VALUE = 8
 VALUES_A_BROADCAST = 200_000
 
@@ -71,7 +73,8 @@ def secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source")
     `key=` before it or the `.`, `/` and `=` after it, that has a digit or a capital
     after a small letter: values spelt like words would be found in plain prose.
     n_example counts base values that `OWNERS_OF_AN_EXAMPLE` or more
-    owners carry, n_live those of one owner.  Null owners count as one owner.  Null
+    owners carry or that `REPOSITORIES_OF_AN_EXAMPLE` or more repositories hold,
+    n_live those of one owner in fewer repositories.  Null owners count as one owner.  Null
     and empty texts have no spans.  Repeated rows have equal results each; rows with
     a null doc_id keep base spans only.  No rows give no rows.
     """
@@ -87,10 +90,12 @@ def secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source")
     repositories = values.groupBy("secret", "owner", "repository").agg(F.min("kind").alias("kind"))
     owners = repositories.groupBy("secret", "owner").agg(F.count("*").alias("repositories"), F.min("kind").alias("kind"))
     owned = cut(owners.groupBy("secret").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.min("kind").alias("kind"), F.min("owner").alias("owner")), narrow=True)
-    verdicts = values.join(owned.select("secret", "owners"), "secret").groupBy("doc_id", "row", "secret").agg(F.max("owners").alias("owners"))
-    verdicts = cut(verdicts.groupBy("doc_id", "row").agg(F.count_if(F.col("owners") >= OWNERS_OF_AN_EXAMPLE).alias("n_example"), F.count_if(F.col("owners") == 1).alias("n_live")), narrow=True)
+    example = (F.col("owners") >= OWNERS_OF_AN_EXAMPLE) | (F.col("repositories") >= REPOSITORIES_OF_AN_EXAMPLE)
+    judged = owned.select("secret", "kind", example.alias("example"), (~example & (F.col("owners") == 1)).alias("live"))
+    verdicts = values.join(judged.drop("kind"), "secret").select("doc_id", "row", "secret", "example", "live").distinct()
+    verdicts = cut(verdicts.groupBy("doc_id", "row").agg(F.count_if("example").alias("n_example"), F.count_if("live").alias("n_live")), narrow=True)
 
-    added = cut(_bare(rows, owned.filter("owners = 1").select("secret", F.col("kind").alias("bare_kind"))), narrow=True)
+    added = cut(_bare(rows, judged.filter("live").select("secret", F.col("kind").alias("bare_kind"))), narrow=True)
     out = found.join(verdicts, ["doc_id", "row"], "left").join(added, ["doc_id", "row"], "left")
     base = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["stop"]))
     every = F.array_sort(F.concat(base, F.coalesce("bare", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
