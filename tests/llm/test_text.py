@@ -86,6 +86,14 @@ def test_near_duplicates_on_odd_rows(spark):
     assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 0, 1]
 
 
+def test_each_text_of_a_repeated_id_is_decided_on(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = [(1, a), (7, a), (7, b), (7, b), (8, b), (9, c), (9, a), (9, None), (10, "v w x y z z z"), (None, a)]
+    left = sorted(((r["doc_id"], r["text"]) for r in neardup.without_duplicates(docs(spark, rows)).collect()), key=repr)
+    texts = [t for i, t in left if i is not None]
+    assert sorted(t for t in texts if t) == sorted([a, b, c, rows[8][1]]) and (9, None) in left and (9, c) in left and (None, a) in left
+
+
 def test_estimates_take_out_chance_collisions():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, (200, neardup.HASHES), dtype=np.uint64)

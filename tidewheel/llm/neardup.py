@@ -320,17 +320,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _numbered(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """`rows` with a __row of its own for each text of a repeated doc_id; the text of the least hash keeps the id."""
+    rows = rows.withColumn("__text", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    texts = rows.join(again, rows["__row"] == again["again"]).select("again", F.col("__text").alias("digest")).distinct()
+    texts = cut(texts, narrow=True)
+    first = texts.groupBy("again").agg(F.min("digest").alias("first"))
+    top = rows.agg(F.max("__row")).first()[0]
+    others = texts.join(first, "again").filter("digest > first").select("again", "digest", (F.monotonically_increasing_id() + F.lit(top + 1)).alias("number"))
+    others = broadcast_if_small(cut(others, narrow=True), DROPPED_A_BROADCAST)
+    joined = rows.join(others, (rows["__row"] == others["again"]) & (rows["__text"] == others["digest"]), "left")
+    return joined.withColumn("__row", F.coalesce("number", "__row")).drop("again", "digest", "number", "__text")
+
+
 def without_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that stand for their group: one row of each component, and all rows with a null doc_id."""
-    found = cut(near_duplicates(docs, words, percent).filter("doc_id is not null"), narrow=True)
-    dropped = cut(found.filter(~F.col("kept")).select("doc_id").distinct(), narrow=True)
-    again = cut(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), narrow=True)
-    rows = docs.join(broadcast_if_small(dropped, DROPPED_A_BROADCAST), "doc_id", "left_anti").select(docs.columns)
-    if again.isEmpty():
-        return rows
-    again = broadcast_if_small(again, DROPPED_A_BROADCAST)
-    once = rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return rows.join(again, "doc_id", "left_anti").select(docs.columns).union(once)
+    """The rows of `docs` that stand for their group: one row of each component, and all rows with a null doc_id.
+
+    Where a doc_id repeats, each of its texts is decided on by itself.
+    """
+    rows = docs.withColumn("__row", F.col("doc_id").cast("bigint"))
+    again = cut(rows.filter("__row is not null").groupBy("__row").count().filter("count > 1").select(F.col("__row").alias("again")), narrow=True)
+    repeated = not again.isEmpty()
+    if repeated:
+        again = broadcast_if_small(again, DROPPED_A_BROADCAST)
+        rows = _numbered(rows, again)
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), words, percent)
+    dropped = cut(found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("__row")).distinct(), narrow=True)
+    rows = rows.join(broadcast_if_small(dropped, DROPPED_A_BROADCAST), "__row", "left_anti")
+    if not repeated:
+        return rows.select(docs.columns)
+    match = F.col("doc_id").cast("bigint") == F.col("again")
+    once = rows.join(again, match, "left_semi").dropDuplicates(["__row"])
+    return rows.join(again, match, "left_anti").select(docs.columns).union(once.select(docs.columns))
 
 
 def _own(k: int):
