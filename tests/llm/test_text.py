@@ -229,6 +229,14 @@ def test_personal_data_and_redaction(spark):
     assert pii.personal_data(docs(spark, [])).count() == 0 and pii.redacted(docs(spark, [])).count() == 0
 
 
+def test_redaction_covers_the_union_of_overlapping_spans():
+    text = "from 10.0.0.1 4111 1111 1111 111 on"
+    assert pii.redact(text, "ip:5:13,card:12:32") == "from [IP][CARD] on"
+    assert pii.redact(text, "card:5:32,ip:5:13") == "from [CARD] on"
+    found = next(t for i in range(10) if (t := f"from 10.0.0.1 4111 1111 1111 11{i} on") and len(pii.base_spans(t)) > 1)
+    assert pii.redact(found, pii.joined(sorted(pii.base_spans(found)))) == "from [IP][CARD] on"
+
+
 def test_contexts_reveal_unseen_forms(spark):
     seeds = [(i, f"word{i} please reach user{i}@mail.org soon") for i in range(12)]
     hidden = [(100, "filler please reach odd(at)mail.org soon"), (101, "nothing of that kind odd(at)mail.org here")]

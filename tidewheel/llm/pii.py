@@ -227,13 +227,16 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(text: str, spans: str) -> str:
-    """`text` with each span replaced by its kind in brackets; of overlapping spans the first stays."""
+    """`text` with each span replaced by its kind in brackets; of a span that overlaps earlier ones the rest is."""
     out, free = [], 0
     for span in spans.split(",") if spans else ():
         kind, start, stop = span.split(":")
         if int(start) >= free:
             out += [text[free : int(start)], f"[{kind.upper()}]"]
             free = int(stop)
+        elif int(stop) > free:
+            out.append(f"[{kind.upper()}]")
+            free = int(stop)
     return "".join([*out, text[free:]])
 
 
