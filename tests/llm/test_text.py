@@ -1,6 +1,7 @@
 """Near-duplicates, language, toxicity, quality and personal data: brute force, and odd rows."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -86,6 +87,13 @@ def test_near_duplicates_on_odd_rows(spark):
     assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 0, 1]
 
 
+def test_the_estimate_rejects_true_pairs_no_more_often_than_the_bands():
+    equal, n = 0.8 + 0.2 / 2**neardup.BITS, neardup.HASHES
+    needed = math.ceil(n * ((0.8 - neardup.MARGIN) * (1 - 2**-neardup.BITS) + 2**-neardup.BITS))
+    rejected = sum(math.comb(n, i) * equal**i * (1 - equal) ** (n - i) for i in range(needed))
+    assert rejected <= (1 - 0.8 ** (n // neardup.BANDS)) ** neardup.BANDS
+
+
 def test_each_text_of_a_repeated_id_is_decided_on(spark):
     a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
     rows = [(1, a), (7, a), (7, b), (7, b), (8, b), (9, c), (9, a), (9, None), (10, "v w x y z z z"), (None, a)]

@@ -29,7 +29,7 @@ from tidewheel.llm.session import broadcast_if_small, cut
 from tidewheel.llm.textkernel import Words, mix64, text_slices, utf8
 
 HASHES, BANDS, BITS = 128, 32, 4
-MARGIN = 0.16  # over four standard deviations of the estimate at a similarity of 0.8
+MARGIN = 0.22  # over five standard deviations of the estimate at a similarity of 0.8
 LEADERS = 4
 BLOCK = 256
 DROPPED_A_BROADCAST = 500_000
