@@ -78,6 +78,24 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
     assert got == want
 
 
+def test_texts_of_one_template_meet_by_rare_shingles(spark, monkeypatch):
+    """Many texts that share 70 % and link to few others: the large buckets' way, at a bucket size of 16."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    met = []
+    by_prefix = neardup._by_prefix
+    monkeypatch.setattr(neardup, "_by_prefix", lambda *a: met.append(1) or by_prefix(*a))
+    rng = random.Random(13)
+    base = [f"t{i}" for i in range(80)]
+    rows = [(i, " ".join(base + [f"u{i}_{j}" for j in range(18)])) for i in range(150)]
+    for i in range(0, 150, 10):  # copies that differ from their original by a few words, also outside the template
+        words = rows[i][1].split()
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((200 + i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, rows), 4).collect()}
+    assert got == brute_components(rows, 4) and met
+
+
 def test_near_duplicates_on_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (7, "a b c d e f")]
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark, rows)).collect()), key=repr)

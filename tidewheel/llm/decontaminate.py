@@ -75,7 +75,7 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent:
     probes = texts.select("doc_id", F.explode(F.filter(_hashes(F.col("text"), words), lambda h: h <= top)).alias("h"))
     hits = probes.join(broadcast_if_small(sketch, SKETCH_ROWS_A_BROADCAST), "h")
     hits = hits.groupBy("doc_id", "item_id", "needed").agg(F.count("*").alias("hits")).filter("hits >= needed").select("doc_id", "item_id")
-    candidates = cut(hits, narrow=True)
+    candidates = cut(hits, rows=0)
     pairs = texts.join(broadcast_if_small(candidates, CANDIDATES_A_BROADCAST), "doc_id")
     pairs = pairs.join(item_rows.select("item_id", "item_shingles"), "item_id")
     shared = F.size(F.array_intersect("item_shingles", _shingles(F.col("text"), words)))
@@ -85,7 +85,7 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent:
 
 def decontaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that hold no item; rows with a null doc_id stay."""
-    found = cut(contained_items(docs, items, words, percent).select("doc_id").distinct(), narrow=True)
+    found = cut(contained_items(docs, items, words, percent).select("doc_id").distinct(), rows=0)
     return docs.join(broadcast_if_small(found, CANDIDATES_A_BROADCAST), "doc_id", "left_anti").select(docs.columns)
 
 

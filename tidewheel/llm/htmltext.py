@@ -304,5 +304,5 @@ def extract(pages: DataFrame) -> DataFrame:
     votes = rows.select("host", "html").mapInArrow(_votes, "host string, path string, score double")
     tally = votes.groupBy("host", "path").agg(F.sum(F.round("score", 3).cast("decimal(20,3)")).alias("votes"))
     first = tally.groupBy("host").agg(F.max(F.struct("votes", F.expr("transform(split(path, ''), c -> -ascii(c))").alias("order"), "path"))["path"].alias("path"))
-    winners = broadcast_if_small(cut(first, narrow=True), HOSTS_A_BROADCAST)
+    winners = broadcast_if_small(cut(first, rows=0), HOSTS_A_BROADCAST)
     return rows.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")

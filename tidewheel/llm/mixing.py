@@ -68,10 +68,10 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
 def _plan(sizes: DataFrame, docs: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     source = F.col("source").cast("string")
     named = docs.select(source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("named"), F.lit(0).cast("bigint").alias("size"))
-    sources = cut(sizes.select(*_KEY, "size").union(named).groupBy(*_KEY).agg(F.sum("size").alias("source_size")), narrow=True)
+    sources = cut(sizes.select(*_KEY, "size").union(named).groupBy(*_KEY).agg(F.sum("size").alias("source_size")), rows=0)
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     targets = _targets(sources, weights, share, most).withColumn("base", base)
-    targets = cut(targets.withColumn("need", F.col("target") - F.col("base") * F.col("source_size")), narrow=True)
+    targets = cut(targets.withColumn("need", F.col("target") - F.col("base") * F.col("source_size")), rows=0)
     everything = (1 << HASH_BITS) - 1
     state = cut(targets.select(*_KEY, "need", F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("below"), F.lit(None).cast("bigint").alias("up_to")))
     inside = sizes
@@ -83,17 +83,17 @@ def _plan(sizes: DataFrame, docs: DataFrame, weights: Sequence[float], share: fl
         upward = Window.partitionBy(*_KEY).orderBy("bucket")
         sums = sums.withColumn("upto", F.col("below") + F.sum("size").over(upward))
         crossing = sums.filter("upto > need").groupBy(*_KEY).agg(F.min(F.struct("bucket", "upto", "size", "least", "most", "need")).alias("c")).select(*_KEY, "c.*")
-        crossing = cut(crossing.withColumn("below", F.col("upto") - F.col("size")), narrow=True)
+        crossing = cut(crossing.withColumn("below", F.col("upto") - F.col("size")), rows=0)
         nearer = F.col("upto") - F.col("need") < F.col("need") - F.col("below")
         done = F.when(F.col("least") == F.col("most"), F.when(nearer, F.col("least")).otherwise(F.col("least") - 1))
         found = crossing.select(*_KEY, F.col("bucket").alias("c_prefix"), F.col("below").alias("c_below"), done.alias("c_up_to"), F.lit(True).alias("crosses"))
         # a source whose budget ends in no bucket takes all its documents
         settled = F.when(F.col("up_to").isNotNull(), F.col("up_to")).when(F.col("crosses"), F.col("c_up_to")).otherwise(F.lit(everything))
-        state = cut(state.join(found, _KEY, "left").select(*_KEY, "need", F.coalesce("c_prefix", "prefix").alias("prefix"), F.coalesce("c_below", "below").alias("below"), settled.alias("up_to")), narrow=True)
+        state = cut(state.join(found, _KEY, "left").select(*_KEY, "need", F.coalesce("c_prefix", "prefix").alias("prefix"), F.coalesce("c_below", "below").alias("below"), settled.alias("up_to")), rows=0)
         if state.filter("up_to is null").isEmpty():
             break
-        inside = cut(inside.select(*_KEY, "hash", "size"), narrow=True)
-    return cut(targets.join(state.select(*_KEY, "up_to"), _KEY).select(*_KEY, "source_size", "target", "base", "up_to"), narrow=True)
+        inside = cut(inside.select(*_KEY, "hash", "size"), rows=0)
+    return cut(targets.join(state.select(*_KEY, "up_to"), _KEY).select(*_KEY, "source_size", "target", "base", "up_to"), rows=0)
 
 
 def _copies() -> Column:

@@ -13,6 +13,13 @@ partner that is still in another component.  After those a group of thousands of
 near copies is one component but for its outliers, and the last round compares
 these, and whatever else shares a bucket across components, with every block of
 their bucket; it confirms inside the task, so that only links come out.
+
+A bucket with more than `BLOCK` rows outside its largest component is no group of
+copies: its texts share much, a template say, but not enough.  The last round meets
+them by an exact prefix filter instead: with all shingles in one order, rare ones
+first, two texts as similar as asked share a shingle that is among the first
+n - ceil(0.8 n) + 1 of each, and among the first n - ceil(1.6 n / 1.8) + 1 of the
+smaller one, which leads.  A template's shingles are frequent, so nobody leads there.
 """
 
 from __future__ import annotations
@@ -21,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.components import components
-from tidewheel.llm.session import broadcast_if_small, cut
+from tidewheel.llm.session import broadcast_if_small, cut, drop
 from tidewheel.llm.textkernel import Words, mix64, text_slices, utf8
 
 HASHES, BANDS, BITS = 128, 32, 4
@@ -33,6 +40,8 @@ MARGIN = 0.22  # over five standard deviations of the estimate at a similarity o
 LEADERS = 4
 BLOCK = 256
 DROPPED_A_BROADCAST = 500_000
+LABELS_A_BROADCAST = 500_000
+FREQUENCY_BITS = 20  # shingle frequencies are kept for so many bits of the hash; any order is right, this one is quick
 
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -251,6 +260,77 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _frequencies(k: int):
+    """How often shingles occur by the top bits of their hash, summed within a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)
+        for batch in batches:
+            for part in text_slices(batch):
+                h, _ = Words(*utf8(part.column("text"))).shingle_sets(k)
+                total += np.bincount((h >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+
+    return run
+
+
+def _prefixes(k: int, percent: int, frequency):
+    """(id, key, lead) for the shingles of each text's prefix: rare ones first; those lead that must meet a text at least as large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequency.value
+        for batch in batches:
+            for part in text_slices(batch):
+                h, offs = Words(*utf8(part.column("text"))).shingle_sets(k)
+                n = np.diff(offs)
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((h, often[(h >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)], row))
+                place = np.arange(len(h)) - np.repeat(offs[:-1], n)
+                kept = place < np.repeat(n + (-percent * n) // 100 + 1, n)
+                lead = place < np.repeat(n + (-2 * percent * n) // (100 + percent) + 1, n)
+                first = order[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(part.column("id"))[row[first]]), pa.array(h[first].view(np.int64)), pa.array(lead[kept])], names=["id", "key", "lead"])
+
+    return run
+
+
+def _by_prefix(texts: DataFrame, ids: DataFrame, signed: DataFrame, words: int, percent: int) -> DataFrame:
+    """Buckets (id, key, lead, n, leads, sig) of the texts with `ids` that share a shingle of their prefixes, at which one of them leads."""
+    own = texts.join(ids, "id", "left_semi").select("id", "text")
+    table = own.mapInArrow(_frequencies(words), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(1 << FREQUENCY_BITS, dtype=np.int64)  # bounded: one number for each value of the top bits
+    often[table["bucket"]] = table["n"]
+    shared = own.sparkSession.sparkContext.broadcast(often)
+    keyed = _shared_keys(own.mapInArrow(_prefixes(words, percent, shared), "id bigint, key bigint, lead boolean"))
+    return keyed.withColumn("leads", F.count_if("lead").over(Window.partitionBy("key"))).filter("leads > 0").join(signed, "id")
+
+
+def _shared_keys(keyed: DataFrame) -> DataFrame:
+    """The rows (id, key) whose key is not theirs alone, with the number `n` of its rows: one shuffle."""
+    return keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+
+
+def _mixed(labelled: DataFrame) -> DataFrame:
+    """Each key with rows of several components: the largest component, and how many rows are in others."""
+    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
+    found = sizes.agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all")).filter("m.c < all")
+    return found.select("key", F.col("m.comp").alias("largest"), (F.col("all") - F.col("m.c")).alias("others"))
+
+
+def _blocked(members: DataFrame) -> DataFrame:
+    """Adds the number `g` of blocks of each bucket and the `block` of each row."""
+    return members.withColumn("g", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "g").cast("int"))
+
+
+def _met(labelled: DataFrame, visits: Column, few: Column) -> DataFrame:
+    """The rows of each meeting (key, x, y), in order: x = y where a block is at home, else two blocks of it."""
+    rows = labelled.withColumn("other", F.explode(visits))
+    x, y = (F.when(few, F.col("other")).otherwise(f("block", "other")) for f in (F.least, F.greatest))
+    rows = rows.select("key", x.alias("x"), y.alias("y"), "id", "comp", "block", "sig")
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of `docs` (doc_id, text; other columns are not read).
 
@@ -266,53 +346,69 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     described = cut(docs.mapInArrow(_describe(words), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, sig binary, bands array<bigint>"))
+    size = described.count()
     # any row of a class has the class's signature; the least id decides which is named
-    classes = cut(described.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), narrow=True)
-    reps = cut(described.join(classes.select(F.col("id").alias("doc_id"), F.col("d1").alias("c1"), F.col("d2").alias("c2")), "doc_id").filter("d1 = c1 and d2 = c2").select(F.col("doc_id").alias("id"), "sig", "bands").dropDuplicates(["id"]), narrow=True)
-    keyed = reps.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = cut(keyed.join(shared, "key").join(reps.select("id", "sig"), "id"), narrow=True)
-    candidates = cut(members.select("id").distinct(), narrow=True)
+    classes = cut(described.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), rows=size)
+    reps = cut(described.join(classes.select(F.col("id").alias("doc_id"), F.col("d1").alias("c1"), F.col("d2").alias("c2")), "doc_id").filter("d1 = c1 and d2 = c2").select(F.col("doc_id").alias("id"), "sig", "bands").dropDuplicates(["id"]))
+    signed = reps.select("id", "sig")
+    members = cut(_shared_keys(reps.select("id", F.explode("bands").alias("key"))).join(signed, "id"))
+    candidates = cut(members.select("id").distinct(), rows=size)
     texts = docs.withColumnRenamed("doc_id", "id").join(candidates, "id").join(classes.select("id", "d1", "d2"), "id")
     texts = cut(texts.mapInArrow(_own(words), "id bigint, text string").dropDuplicates(["id"]))
 
     least = percent / 100 - MARGIN
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.withColumn("g", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "g").cast("int"))
+    bands = _blocked(members)
     label = candidates.select(F.col("id"), F.col("id").alias("comp"))
     found = None
-    for stage in ("leaders", "partners", "all"):
-        labelled = rows.join(label, "id")
-        visits = F.array("block")
-        if stage != "leaders":
-            sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
-            mixed = sizes.agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("all")).filter("m.c < all")
-            labelled = labelled.join(mixed.select("key", F.col("m.comp").alias("largest"), (F.col("all") - F.col("m.c")).alias("others")), "key")
-        few = F.lit(True)
-        if stage == "all":
-            # few rows outside the largest component visit every block; many meet it block by block
-            few = F.col("others") <= BLOCK
-            visits = F.when(few & (F.col("comp") == F.col("largest")), visits).otherwise(F.sequence(F.lit(0), F.col("g") - 1))
-        labelled = labelled.withColumn("other", F.explode(visits))
-        x, y = (F.when(few, F.col("other")).otherwise(f("block", "other")) for f in (F.least, F.greatest))
-        grouped = labelled.select("key", x.alias("x"), y.alias("y"), "id", "comp", "block", "sig")
-        grouped = grouped.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-        if stage == "all":
-            involved = cut(grouped.mapInArrow(_involved(least), grouped.schema))
-            grouped = involved.join(texts, "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-            links = cut(grouped.mapInArrow(_links(words, percent, least), "a bigint, b bigint"), narrow=True)
-        else:
-            best = grouped.mapInArrow(_best(least, stage == "leaders"), "a bigint, b bigint, est double")
-            best = best.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-            pairs = cut(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), narrow=True)
-            sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-            links = cut(sides.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, percent), "a bigint, b bigint, linked boolean").filter("linked").select("a", "b"), narrow=True)
+    home, everywhere = F.array("block"), F.sequence(F.lit(0), F.col("g") - 1)
+
+    def join(links: DataFrame) -> None:
+        """Adds confirmed links to what was found and names the components anew."""
+        nonlocal found, label
         if not links.isEmpty():
             found = links if found is None else found.union(links)
-            label = cut(candidates.join(components(found).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("comp")), narrow=True)
+            label = cut(candidates.join(components(found).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("comp")), rows=size)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(broadcast_if_small(label, LABELS_A_BROADCAST), "id")
+
+    for leaders in (True, False):
+        rows = labelled(bands)
+        if not leaders:
+            rows = rows.join(_mixed(rows).select("key"), "key", "left_semi")
+        best = _met(rows, home, F.lit(True)).mapInArrow(_best(least, leaders), "a bigint, b bigint, est double")
+        best = best.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
+        pairs = cut(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows=size)
+        sides = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        join(cut(sides.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(words, percent), "a bigint, b bigint, linked boolean").filter("linked").select("a", "b"), rows=size))
+
+    def across(rows: DataFrame, visitor: Column, few: Column) -> DataFrame:
+        """The links between components: few visitors go to every block of their bucket; many rows meet block by block."""
+        met = _met(rows, F.when(few & ~visitor, home).otherwise(everywhere), few)
+        involved = cut(met.mapInArrow(_involved(least), met.schema))
+        met = involved.join(texts, "id").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+        links = cut(met.mapInArrow(_links(words, percent, least), "a bigint, b bigint"), rows=involved.count())
+        drop(involved)
+        return links
+
+    rows = labelled(bands)
+    mixed = cut(_mixed(rows), rows=BANDS * size)
+    outside = F.col("comp") != F.col("largest")
+    small = across(rows.join(mixed.filter(F.col("others") <= BLOCK), "key"), outside, F.lit(True))
+    many = mixed.filter(F.col("others") > BLOCK).select("key")
+    if many.isEmpty():
+        join(small)
+    else:
+        ids = cut(members.join(many, "key", "left_semi").select("id").distinct(), rows=size)
+        rows = labelled(_blocked(cut(_by_prefix(texts, ids, signed, words, percent))))
+        rows = rows.join(_mixed(rows), "key")
+        visitor = F.when(F.col("others") <= F.col("leads"), outside).otherwise(F.col("lead"))
+        join(cut(small.union(across(rows, visitor, F.least("others", "leads") <= BLOCK)), rows=size))
 
     by_class = classes.join(label, "id", "left").select("d1", "d2", F.coalesce("comp", "id").alias("component_id"))
-    by_class = cut(by_class.withColumn("full", F.lit(True)), narrow=True)
+    by_class = cut(by_class.withColumn("full", F.lit(True)), rows=size)
+    for table in (reps, members, texts):
+        drop(table)
     full = F.col("n_shingles") > 0
     rows = described.select("doc_id", "n_shingles", "d1", "d2", full.alias("full"))
     joined = rows.join(by_class, ["d1", "d2", "full"], "left")
@@ -324,11 +420,11 @@ def _numbered(rows: DataFrame, again: DataFrame) -> DataFrame:
     """`rows` with a __row of its own for each text of a repeated doc_id; the text of the least hash keeps the id."""
     rows = rows.withColumn("__text", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
     texts = rows.join(again, rows["__row"] == again["again"]).select("again", F.col("__text").alias("digest")).distinct()
-    texts = cut(texts, narrow=True)
+    texts = cut(texts)
     first = texts.groupBy("again").agg(F.min("digest").alias("first"))
     top = rows.agg(F.max("__row")).first()[0]
     others = texts.join(first, "again").filter("digest > first").select("again", "digest", (F.monotonically_increasing_id() + F.lit(top + 1)).alias("number"))
-    others = broadcast_if_small(cut(others, narrow=True), DROPPED_A_BROADCAST)
+    others = broadcast_if_small(cut(others, rows=texts.count()), DROPPED_A_BROADCAST)
     joined = rows.join(others, (rows["__row"] == others["again"]) & (rows["__text"] == others["digest"]), "left")
     return joined.withColumn("__row", F.coalesce("number", "__row")).drop("again", "digest", "number", "__text")
 
@@ -339,13 +435,14 @@ def without_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     Where a doc_id repeats, each of its texts is decided on by itself.
     """
     rows = docs.withColumn("__row", F.col("doc_id").cast("bigint"))
-    again = cut(rows.filter("__row is not null").groupBy("__row").count().filter("count > 1").select(F.col("__row").alias("again")), narrow=True)
+    size = docs.count()
+    again = cut(rows.filter("__row is not null").groupBy("__row").count().filter("count > 1").select(F.col("__row").alias("again")), rows=size)
     repeated = not again.isEmpty()
     if repeated:
         again = broadcast_if_small(again, DROPPED_A_BROADCAST)
         rows = _numbered(rows, again)
     found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), words, percent)
-    dropped = cut(found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("__row")).distinct(), narrow=True)
+    dropped = cut(found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("__row")).distinct(), rows=size)
     rows = rows.join(broadcast_if_small(dropped, DROPPED_A_BROADCAST), "__row", "left_anti")
     if not repeated:
         return rows.select(docs.columns)

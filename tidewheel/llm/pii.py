@@ -187,19 +187,19 @@ def _count_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 def discover(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     """doc_id, row, start, kind, stop of candidates that the graph trusts; None if no pattern has enough seeds."""
     edges = found.select("doc_id", "row", F.explode("edges").alias("e")).select("doc_id", "row", "e.*")
-    patterns = cut(edges.filter("seed").groupBy("pattern", "kind", "instance").count().groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS), narrow=True)
+    patterns = cut(edges.filter("seed").groupBy("pattern", "kind", "instance").count().groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS), rows=0)
     if patterns.isEmpty():
         return None
-    graph = cut(edges.join(patterns.select("pattern", "kind"), ["pattern", "kind"]).groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), narrow=True)
+    graph = cut(edges.join(patterns.select("pattern", "kind"), ["pattern", "kind"]).groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), rows=0)
     if graph.filter("not seed").isEmpty():
         return None
-    places = cut(_count_patterns(docs, patterns.select("pattern").distinct()), narrow=True)
+    places = cut(_count_patterns(docs, patterns.select("pattern").distinct()), rows=0)
     trust = graph.select("kind", "instance", F.col("seed").cast("double").alias("trust")).groupBy("kind", "instance").agg(F.max("trust").alias("trust"))
     for _ in range(ROUNDS):
         scored = graph.join(trust, ["kind", "instance"]).groupBy("pattern", "kind").agg(F.sum(F.col("trust") * F.col("n")).alias("mass")).join(places, "pattern")
-        scored = cut(scored.select("pattern", "kind", F.least(F.lit(1.0), F.col("mass") / (F.col("places") + 1)).alias("confidence")), narrow=True)
+        scored = cut(scored.select("pattern", "kind", F.least(F.lit(1.0), F.col("mass") / (F.col("places") + 1)).alias("confidence")), rows=0)
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
-        trust = cut(graph.join(scored, ["pattern", "kind"]).groupBy("kind", "instance").agg(F.max("seed").alias("seed"), doubt.alias("doubt")).select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.col("doubt")).alias("trust")), narrow=True)
+        trust = cut(graph.join(scored, ["pattern", "kind"]).groupBy("kind", "instance").agg(F.max("seed").alias("seed"), doubt.alias("doubt")).select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.col("doubt")).alias("trust")), rows=0)
     trusted = trust.filter(F.col("trust") >= LEAST_TRUST).select("kind", "instance")
     return edges.filter("not seed").join(trusted, ["kind", "instance"]).select("doc_id", "row", "start", "kind", "stop").distinct()
 
@@ -218,7 +218,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = found.select("doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.col("base").alias("spans"))
     if more is None:
         return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "row")
-    added = cut(more.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more")), narrow=True)
+    added = cut(more.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more")), rows=0)
     names = F.array(*map(F.lit, KINDS))
     parts = F.transform(F.filter(F.split("spans", ","), lambda x: x != ""), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(2)).cast("int").alias("start"), (F.array_position(names, F.split_part(x, F.lit(":"), F.lit(1))) - 1).cast("int").alias("kind"), F.split_part(x, F.lit(":"), F.lit(3)).cast("int").alias("stop")))
     text = F.array_join(F.transform(F.array_sort(F.array_union(parts, F.col("more"))), lambda x: F.concat(F.element_at(names, x["kind"] + 1), F.lit(":"), x["start"].cast("string"), F.lit(":"), x["stop"].cast("string"))), ",")
@@ -270,7 +270,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     if more is None:
         marked = docs.withColumn("__more", F.lit(None).cast(spans))
     else:
-        added = cut(more.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("__more")), narrow=True)
+        added = cut(more.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("__more")), rows=0)
         added = added.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__more")
         on = (docs["doc_id"].cast("bigint") == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__row"))
         marked = docs.join(broadcast_if_small(added, ROWS_A_BROADCAST), on, "left").drop("__id", "__row")

@@ -89,13 +89,13 @@ def secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source")
     values = found.filter(F.size("base") > 0).select("doc_id", "row", "repository", "owner", F.explode("base").alias("s")).select("doc_id", "row", "repository", "owner", "s.kind", F.sha2(F.col("s.value").cast("binary"), 256).alias("secret"))
     repositories = values.groupBy("secret", "owner", "repository").agg(F.min("kind").alias("kind"))
     owners = repositories.groupBy("secret", "owner").agg(F.count("*").alias("repositories"), F.min("kind").alias("kind"))
-    owned = cut(owners.groupBy("secret").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.min("kind").alias("kind"), F.min("owner").alias("owner")), narrow=True)
+    owned = cut(owners.groupBy("secret").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.min("kind").alias("kind"), F.min("owner").alias("owner")), rows=0)
     example = (F.col("owners") >= OWNERS_OF_AN_EXAMPLE) | (F.col("repositories") >= REPOSITORIES_OF_AN_EXAMPLE)
     judged = owned.select("secret", "kind", example.alias("example"), (~example & (F.col("owners") == 1)).alias("live"))
     verdicts = values.join(judged.drop("kind"), "secret").select("doc_id", "row", "secret", "example", "live").distinct()
-    verdicts = cut(verdicts.groupBy("doc_id", "row").agg(F.count_if("example").alias("n_example"), F.count_if("live").alias("n_live")), narrow=True)
+    verdicts = cut(verdicts.groupBy("doc_id", "row").agg(F.count_if("example").alias("n_example"), F.count_if("live").alias("n_live")), rows=0)
 
-    added = cut(_bare(rows, judged.filter("live").select("secret", F.col("kind").alias("bare_kind"))), narrow=True)
+    added = cut(_bare(rows, judged.filter("live").select("secret", F.col("kind").alias("bare_kind"))), rows=0)
     out = found.join(verdicts, ["doc_id", "row"], "left").join(added, ["doc_id", "row"], "left")
     base = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["stop"]))
     every = F.array_sort(F.concat(base, F.coalesce("bare", F.array().cast("array<struct<start:int,kind:int,stop:int>>"))))
@@ -127,7 +127,7 @@ def _bare(rows: DataFrame, live: DataFrame) -> DataFrame:
     runs = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(f"({BARE})"), F.lit(1)), lambda t: t.rlike(UNLIKE_A_WORD)))
     tokens = tokens.select("doc_id", "row", F.explode(runs).alias("run")).select("doc_id", "row", F.explode(_forms(F.col("run"))["value"]).alias("token"))
     hits = tokens.select("doc_id", "row", F.sha2(F.col("token").cast("binary"), 256).alias("secret")).join(broadcast_if_small(live, VALUES_A_BROADCAST), "secret")
-    hits = cut(hits.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_set(F.struct("secret", "bare_kind"))).alias("known")), narrow=True)
+    hits = cut(hits.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_set(F.struct("secret", "bare_kind"))).alias("known")), rows=0)
     texts = rows.select("doc_id", "row", "text").join(broadcast_if_small(hits, VALUES_A_BROADCAST), ["doc_id", "row"]).select("doc_id", "row", "known", _blanked(F.col("text")).alias("text"))
 
     def longest(run: Column) -> Column:

@@ -132,10 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
     hash of doc_id.  Rows with a null in doc_id, toxic or text teach nothing; a
     doc_id labelled twice is toxic if once.  Without labels the lexicon is empty.
     """
-    marked = cut(labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), narrow=True)
+    marked = cut(labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), rows=0)
     n = marked.count()
     if n > rows:
-        marked = cut(marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(rows / n * (1 << 20))), narrow=True)
+        marked = cut(marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(rows / n * (1 << 20))), rows=0)
     sample = cut(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(marked), "doc_id"))
     words = F.regexp_extract_all(fold_column(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     at = F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(F.try_element_at("w", i).alias("term"), F.when(i > 1, F.try_element_at("w", i - 1)).alias("prev"), F.try_element_at("w", i + 1).alias("next"))))
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
     # toxic texts by context, the many others by term alone: their contexts would fill the executors
     hot = used.filter("toxic = 1").groupBy("term", "prev", "next").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("p"))
     cold = used.filter("toxic = 0").groupBy("term").agg(F.count("*").alias("q"))
-    counted = cut(hot.join(cold, "term", "full").select("term", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("q", F.lit(0)).alias("q")), narrow=True)
+    counted = cut(hot.join(cold, "term", "full").select("term", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("q", F.lit(0)).alias("q")), rows=0)
     sums = [F.sum("p").alias("p"), F.sum("q").alias("q")]
     total = counted.agg(*sums).first()
     if not total["p"]:
