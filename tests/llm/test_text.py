@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -272,3 +273,44 @@ def test_contexts_reveal_unseen_forms(spark):
     at = text.index("odd(")
     assert got[100] == f"email:{at}:{at + len('odd(at)mail.org')}"
     assert got[101].startswith("email:") and got[205] == ""  # a trusted form is personal data wherever it stands
+
+
+def test_contexts_of_any_length_and_of_rows_without_an_id(spark):
+    seeds = [(i, f"é word{i} {'x' * 130} reach user{i}@mail.org soon") for i in range(12)]
+    hidden = [(100, f"ü filler {'x' * 130} reach odd(at)mail.org soon"), (None, f"other {'x' * 130} reach even(at)mail.org")]
+    rows = docs(spark, seeds + hidden)
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(rows).collect()}
+    for i, text in hidden:
+        at = text.index("odd(") if i else text.index("even(")
+        assert got[i] == f"email:{at}:{at + len(text[at:].split()[0])}"
+    texts = {r["doc_id"]: r["text"] for r in pii.redacted(rows).collect()}
+    assert texts[None].endswith("reach [EMAIL]") and "[EMAIL]" in texts[100]
+
+
+def test_pattern_counts_match_the_texts(spark):
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice("ab cd ef gh é".split()) for _ in range(rng.randrange(0, 40)))) for i in range(60)] + [(99, None)]
+    want = {}
+    for _, t in rows:
+        words = (t or "").split()
+        for pair in zip(words, words[1:], strict=False):
+            want[pair] = want.get(pair, 0) + 1
+    h = {p: int(pii._pair(pii.Words(*pii.utf8(pii.pa.array([" ".join(p)]))).hash)[0]) for p in list(want)[:9]}
+    got = pii._count_patterns(docs(spark, rows), spark.createDataFrame([(v,) for v in h.values()], "pattern bigint")).collect()
+    assert {r["pattern"]: r["places"] for r in got} == {v: want[p] for p, v in h.items()}
+
+
+def test_loose_spans_beside_many_base_spans_match_the_plain_rule():
+    rng = random.Random(22)
+    for _ in range(300):
+        text = " ".join(rng.choice(["a@b.cd", "x(at)y.org", "10.0.0.1", "1.2.3", "+1 (353) 555-0764", "(353) 555-0764 12", "4111 1111 1111 1111"]) for _ in range(rng.randrange(8)))
+        base = pii.base_spans(text)
+        want = sorted((m.start(), k, m.end()) for k, kind in enumerate(pii.KINDS) for m in pii._LOOSE[kind].finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base))
+        assert pii.loose_spans(text, base) == want
+
+
+def test_a_text_of_many_spans_takes_linear_time(spark):
+    text = " ".join(f"user{i}@mail.org user{i}(at)mail.org" for i in range(100_000))
+    began = time.monotonic()
+    got = pii.personal_data(docs(spark, [(1, text), (2, "mail a@b.cd")])).collect()
+    assert {r["n_email"] for r in got} == {100_000, 1} and time.monotonic() - began < 60

@@ -9,7 +9,9 @@ patterns that it follows.  Candidates that end up trusted are added to the spans
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ KINDS = ("email", "ip", "card", "phone")
 LEAST_SEEDS = 3  # different seeds that a pattern must precede
 LEAST_TRUST = 0.6
 ROUNDS = 3
-PATTERNS_A_PASS = 500_000
+FILTER_BITS = 24  # of the filter that word pairs pass before they are counted; a full one lets more pass, and none is lost
 ROWS_A_BROADCAST = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -91,11 +93,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind index, end) of candidate forms that overlap no base form."""
+    """(start, kind index, end) of candidate forms that overlap no base form (`base` is sorted by start)."""
+    starts = [s for s, _, _ in base]
+    reach = list(itertools.accumulate((e for _, _, e in base), max))
     found = []
     for k, kind in enumerate(KINDS):
         for m in _LOOSE[kind].finditer(text):
-            if not any(s < m.end() and m.start() < e for s, _, e in base):
+            before = bisect.bisect_left(starts, m.end())  # base forms that begin before the candidate ends
+            if not before or reach[before - 1] <= m.start():
                 found.append((m.start(), k, m.end()))
     return sorted(found)
 
@@ -104,31 +109,48 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-_BEFORE = re.compile(r"(\S+)\s+(\S+)\s*$")
-
-
-def _pattern(text: str, start: int) -> str | None:
-    """The two words before `start`, ASCII-lowered, as the corpus pass hashes them."""
-    left = text[max(0, start - 120) : start]
-    if not left or not left[-1:].isspace():
-        return None  # the form is part of a longer word
-    m = _BEFORE.search(left)
-    return f"{m[1]} {m[2]}" if m else None
-
-
-def _hash_words(texts: list[str]) -> np.ndarray:
-    w = Words(*utf8(pa.array(texts, pa.string())))
-    ok = w.count == 2
-    out = np.zeros(len(texts), dtype=np.uint64)
-    first = w.first[ok]
-    out[ok] = mix64(w.hash[first] * np.uint64(0x9FB21C651E98DF25) + w.hash[first + 1])
+def _pair(words: np.ndarray) -> np.ndarray:
+    """A hash of each word with the next one, from the words' hashes."""
+    return mix64(words[:-1] * np.uint64(0x9FB21C651E98DF25) + words[1:]).view(np.int64)
+
+
+def _byte_places(text: str, places: np.ndarray) -> np.ndarray:
+    """Code points to bytes of UTF-8."""
+    if text.isascii():
+        return places
+    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    return np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[places]
+
+
+def _contexts(texts: list[str], text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The pair hash of the two words before each start (a code point of its text); 0 where no word begins or two words are missing."""
+    data, offsets = utf8(pa.array(texts, pa.string()))
+    words = Words(data, offsets)
+    out = np.zeros(len(start), dtype=np.int64)
+    if len(words.hash) < 3:
+        return out
+    pairs = _pair(words.hash)
+    places = np.zeros(len(start), dtype=np.int64)
+    for i in np.unique(text):  # the starts are sorted by text
+        own = slice(*np.searchsorted(text, [i, i + 1]))
+        places[own] = offsets[i] + _byte_places(texts[i], start[own])
+    at = np.minimum(np.searchsorted(words.start, places), len(words.start) - 1)
+    ok = (words.start[at] == places) & (at - words.first[text] >= 2)
+    out[ok] = pairs[at[ok] - 2]
     return out
 
 
-_FOUND = "doc_id bigint, row bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, edges array<struct<pattern:bigint,kind:int,instance:string,seed:boolean,start:int,stop:int>>"
+_KEY = ["h1", "h2"]
+_FOUND = "doc_id bigint, h1 bigint, h2 bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, edges array<struct<pattern:bigint,kind:int,instance:string,seed:boolean,start:int,stop:int>>"
 _EDGE = pa.struct([("pattern", pa.int64()), ("kind", pa.int32()), ("instance", pa.string()), ("seed", pa.bool_()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and two hashes of the text: what is found in a text does not depend on whose it is."""
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    return docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(1))})
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch):
@@ -136,94 +158,111 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             maybe = pc.fill_null(pc.match_substring_regex(col, r"[0-9@]|\(at\)|\[at\]"), False).to_pylist()
             counts = np.zeros((part.num_rows, 4), dtype=np.int64)
             bases, edges = [""] * part.num_rows, [[] for _ in range(part.num_rows)]
-            wanted: list[tuple[int, dict, str]] = []
-            for i in np.flatnonzero(maybe):
+            texts: list[str] = []
+            wanted: list[tuple[int, int, int, int, int, bool]] = []  # row, place in texts, start, kind, stop, seed
+            for i in np.flatnonzero(maybe).tolist():
                 text = col[i].as_py()
                 base = base_spans(text)
                 bases[i] = joined(base)
                 for _, k, _e in base:
                     counts[i, k] += 1
-                for seed, spans in ((True, base), (False, loose_spans(text, base))):
-                    for s, k, e in spans:
-                        words = _pattern(text, s)
-                        if words:
-                            edge = {"kind": k, "instance": hashlib.md5(text[s:e].lower().encode()).hexdigest(), "seed": seed, "start": s, "stop": e}
-                            wanted.append((i, edge, words))
-            hashes = _hash_words([w for _, _, w in wanted]).view(np.int64).tolist() if wanted else []
-            for (i, edge, _), h in zip(wanted, hashes, strict=True):
-                if h:
-                    edges[i].append(edge | {"pattern": h})
-            columns = [part.column("doc_id"), part.column("row"), *(pa.array(counts[:, k]) for k in range(4)), pa.array(bases, pa.string()), pa.array(edges, pa.list_(_EDGE))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base", "edges"])
-
-
-def _occurrences(hashes: np.ndarray):
+                spans = [(i, len(texts), *span, True) for span in base] + [(i, len(texts), *span, False) for span in loose_spans(text, base)]
+                if spans:
+                    texts.append(text)
+                    wanted += spans
+            if wanted:
+                hashes = _contexts(texts, np.asarray([w[1] for w in wanted]), np.asarray([w[2] for w in wanted])).tolist()
+                for (i, at, start, kind, stop, seed), h in zip(wanted, hashes, strict=True):
+                    if h:
+                        instance = hashlib.md5(texts[at][start:stop].lower().encode("utf-8", "replace")).hexdigest()
+                        edges[i].append({"pattern": h, "kind": kind, "instance": instance, "seed": seed, "start": start, "stop": stop})
+            columns = [part.column("doc_id"), part.column("h1"), part.column("h2"), *(pa.array(counts[:, k]) for k in range(4)), pa.array(bases, pa.string()), pa.array(edges, pa.list_(_EDGE))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h1", "h2", "n_email", "n_ip", "n_card", "n_phone", "base", "edges"])
+
+
+def _occurrences(passing):
+    """Word pairs that pass the filter, with how often they stand in a task's texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(hashes), dtype=np.int64)
+        bits = passing.value
         for batch in batches:
             for part in text_slices(batch):
                 w = Words(*utf8(part.column("text")))
                 if len(w.hash) > 1:
-                    pair = mix64(w.hash[:-1] * np.uint64(0x9FB21C651E98DF25) + w.hash[1:])[w.text[1:] == w.text[:-1]].view(np.int64)
-                    at = np.minimum(np.searchsorted(hashes, pair), len(hashes) - 1)
-                    total += np.bincount(at[hashes[at] == pair], minlength=len(hashes))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[some]), pa.array(total[some])], names=["pattern", "places"])
+                    pair = _pair(w.hash)[w.text[1:] == w.text[:-1]]
+                    slot = (pair.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                    pair = pair[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
+                    if len(pair):
+                        value, places = np.unique(pair, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(places)], names=["pattern", "places"])
 
     return run
 
 
 def _count_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """How often each pattern's two words occur in the whole corpus; each pass ships a bounded number of patterns."""
-    passes = -(-patterns.count() // PATTERNS_A_PASS)
-    counted = None
-    for i in range(passes):
-        some = patterns.filter(F.pmod("pattern", F.lit(passes)) == i).toPandas()["pattern"].to_numpy(np.int64)
-        shared = docs.select("text").mapInArrow(_occurrences(np.sort(some)), "pattern bigint, places bigint")
-        counted = shared if counted is None else counted.union(shared)
-    return counted.groupBy("pattern").agg(F.sum("places").alias("places"))
+    """How often each pattern's two words occur in the whole corpus, in one pass over it.
+
+    Pairs pass a filter of fixed size, made in Spark and sent to the tasks; those that
+    do are summed by task and joined with the patterns.
+    """
+    slot = F.shiftrightunsigned("pattern", 64 - FILTER_BITS)
+    octets = patterns.groupBy(F.shiftright(slot, 3).alias("octet")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int"))).alias("bits")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)  # bounded whatever the number of patterns
+    bits[octets["octet"]] = octets["bits"]
+    passing = docs.sparkSession.sparkContext.broadcast(bits)
+    pairs = docs.select("text").mapInArrow(_occurrences(passing), "pattern bigint, places bigint")
+    return pairs.groupBy("pattern").agg(F.sum("places").alias("places")).join(patterns, "pattern", "left_semi")
 
 
 def discover(docs: DataFrame, found: DataFrame) -> DataFrame | None:
-    """doc_id, row, start, kind, stop of candidates that the graph trusts; None if no pattern has enough seeds."""
-    edges = found.select("doc_id", "row", F.explode("edges").alias("e")).select("doc_id", "row", "e.*")
-    patterns = cut(edges.filter("seed").groupBy("pattern", "kind", "instance").count().groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS), rows=0)
+    """h1, h2, start, kind, stop of candidates that the graph trusts; None if no pattern has enough seeds."""
+    edges = found.select(*_KEY, F.explode("edges").alias("e")).select(*_KEY, "e.*")
+    n = found.agg(F.sum(F.size("edges"))).first()[0] or 0
+    patterns = cut(edges.filter("seed").groupBy("pattern", "kind", "instance").count().groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS), rows=n // LEAST_SEEDS)
     if patterns.isEmpty():
         return None
-    graph = cut(edges.join(patterns.select("pattern", "kind"), ["pattern", "kind"]).groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), rows=0)
+    graph = cut(edges.join(patterns.select("pattern", "kind"), ["pattern", "kind"]).groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n")), rows=n)
     if graph.filter("not seed").isEmpty():
         return None
-    places = cut(_count_patterns(docs, patterns.select("pattern").distinct()), rows=0)
+    places = cut(_count_patterns(docs, patterns.select("pattern").distinct()), rows=n // LEAST_SEEDS)
     trust = graph.select("kind", "instance", F.col("seed").cast("double").alias("trust")).groupBy("kind", "instance").agg(F.max("trust").alias("trust"))
     for _ in range(ROUNDS):
         scored = graph.join(trust, ["kind", "instance"]).groupBy("pattern", "kind").agg(F.sum(F.col("trust") * F.col("n")).alias("mass")).join(places, "pattern")
-        scored = cut(scored.select("pattern", "kind", F.least(F.lit(1.0), F.col("mass") / (F.col("places") + 1)).alias("confidence")), rows=0)
+        scored = cut(scored.select("pattern", "kind", F.least(F.lit(1.0), F.col("mass") / (F.col("places") + 1)).alias("confidence")), rows=n // LEAST_SEEDS)
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
-        trust = cut(graph.join(scored, ["pattern", "kind"]).groupBy("kind", "instance").agg(F.max("seed").alias("seed"), doubt.alias("doubt")).select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.col("doubt")).alias("trust")), rows=0)
+        trust = cut(graph.join(scored, ["pattern", "kind"]).groupBy("kind", "instance").agg(F.max("seed").alias("seed"), doubt.alias("doubt")).select("kind", "instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.col("doubt")).alias("trust")), rows=n)
     trusted = trust.filter(F.col("trust") >= LEAST_TRUST).select("kind", "instance")
-    return edges.filter("not seed").join(trusted, ["kind", "instance"]).select("doc_id", "row", "start", "kind", "stop").distinct()
+    return edges.filter("not seed").join(trusted, ["kind", "instance"]).select(*_KEY, "start", "kind", "stop").distinct()
+
+
+def _added(docs: DataFrame, found: DataFrame) -> DataFrame | None:
+    """The trusted candidates `more` of each text that has some, by its hashes; texts repeat, so a group is no larger than one text's candidates."""
+    more = discover(docs, found)
+    if more is None:
+        return None
+    rows = found.filter(F.size("edges") > 0).count()
+    return broadcast_if_small(cut(more.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more")), rows=rows), ROWS_A_BROADCAST)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and row for each row of `docs` (doc_id, text).
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans for each row of `docs` (doc_id, text).
 
     Counts and hash are of the base forms; `spans` lists all as kind:start:end by
-    start and then kind (code points, end exclusive).  `row` is a hash of the text.
-    Null and empty texts have none.  Repeated rows have the same spans each; rows
-    with a null doc_id keep their base spans only.  No rows give no rows.
+    start and then kind (code points, end exclusive).  Null and empty texts have
+    none.  Equal texts have the same spans, whatever their doc_id, a null one too.
+    No rows give no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("row", F.xxhash64("text"))
+    docs = _keyed(docs)
     found = cut(docs.mapInArrow(_find, _FOUND))
-    more = discover(docs, found)
-    rows = found.select("doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.col("base").alias("spans"))
-    if more is None:
-        return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "row")
-    added = cut(more.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more")), rows=0)
+    added = _added(docs, found)
+    out = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    rows = found.select("doc_id", *_KEY, "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.col("base").alias("spans"))
+    if added is None:
+        return rows.select(out)
     names = F.array(*map(F.lit, KINDS))
     parts = F.transform(F.filter(F.split("spans", ","), lambda x: x != ""), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(2)).cast("int").alias("start"), (F.array_position(names, F.split_part(x, F.lit(":"), F.lit(1))) - 1).cast("int").alias("kind"), F.split_part(x, F.lit(":"), F.lit(3)).cast("int").alias("stop")))
     text = F.array_join(F.transform(F.array_sort(F.array_union(parts, F.col("more"))), lambda x: F.concat(F.element_at(names, x["kind"] + 1), F.lit(":"), x["start"].cast("string"), F.lit(":"), x["stop"].cast("string"))), ",")
-    rows = rows.join(added, ["doc_id", "row"], "left").withColumn("spans", F.when(F.col("more").isNull(), F.col("spans")).otherwise(text))
-    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "row")
+    return rows.join(added, _KEY, "left").withColumn("spans", F.when(F.col("more").isNull(), F.col("spans")).otherwise(text)).select(out)
 
 
 def redact(text: str, spans: str) -> str:
@@ -264,14 +303,12 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     All rows and columns stay; null and empty texts stay as they are.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).withColumn("row", F.xxhash64("text"))
-    more = discover(rows, cut(rows.mapInArrow(_find, _FOUND)))
-    spans = "array<struct<start:int,kind:int,stop:int>>"
-    if more is None:
-        marked = docs.withColumn("__more", F.lit(None).cast(spans))
+    rows = _keyed(docs)
+    added = _added(rows, cut(rows.mapInArrow(_find, _FOUND).drop("base").filter(F.size("edges") > 0)))
+    if added is None:
+        marked = docs.withColumn("__more", F.lit(None).cast("array<struct<start:int,kind:int,stop:int>>"))
     else:
-        added = cut(more.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("__more")), rows=0)
-        added = added.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__more")
-        on = (docs["doc_id"].cast("bigint") == F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__row"))
-        marked = docs.join(broadcast_if_small(added, ROWS_A_BROADCAST), on, "left").drop("__id", "__row")
+        text = docs["text"].cast("string")
+        on = (F.xxhash64(text) == F.col("__h1")) & (F.xxhash64(text, F.lit(1)) == F.col("__h2"))
+        marked = docs.join(added.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("more").alias("__more")), on, "left").drop("__h1", "__h2")
     return marked.mapInArrow(_redacted, docs.schema)

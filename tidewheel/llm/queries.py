@@ -20,7 +20,7 @@ def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(read(spark, sf_dir, "documents")).drop("row")
+    return pii.personal_data(read(spark, sf_dir, "documents"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
