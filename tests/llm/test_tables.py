@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from pathlib import Path
 
 import duckdb
@@ -229,6 +230,7 @@ def test_secrets_match_the_plain_patterns(spark):
         want = secret_spans(texts[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest(), texts[r["doc_id"]]
         assert set(filter(None, want.split(","))) <= set(r["spans"].split(","))
+        assert [r[f"n_{k}"] for k in secrets.KINDS] == [sum(s.startswith(f"{k}:") for s in want.split(",")) for k in secrets.KINDS]
     assert secrets.secrets(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
 
 
@@ -260,6 +262,24 @@ def test_a_value_in_many_repositories_of_one_owner_is_an_example(spark):
     assert (got[60]["n_example"], got[60]["n_live"]) == (0, 1)
 
 
+def test_bare_values_spelt_in_letters_and_in_rows_without_an_id(spark):
+    rows = [(1, "password=correcthorsebattery here", "me"), (2, "then correcthorsebattery again", "me"), (None, "so correcthorsebattery. And", "me"), (3, "token=Zk39dk2LqW81", "me"), (None, "a Zk39dk2LqW81 b", "me")]
+    got = sorted((r["doc_id"] or 0, r["spans"]) for r in secrets.secrets(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect())
+    assert got == [(0, "assign:2:14"), (0, "assign:3:22"), (1, "assign:0:28"), (2, "assign:5:24"), (3, "assign:0:18")]
+
+
+def test_a_text_of_many_secrets_takes_little_more_than_linear_time(spark):
+    text = " ".join(f"token=Zk39dk2Lq{i:06d} é" for i in range(60_000))
+    bare = " ".join(f"w{i}abcdef" for i in range(100_000)) + " Zk39dk2Lq000007"
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in secrets.secrets(spark.createDataFrame([(1, text, "me"), (2, bare, "me")], "doc_id bigint, text string, source string")).collect()}
+    assert time.monotonic() - began < 60
+    want = secret_spans(text)
+    assert got[1]["n_assign"] == 60_000 and got[1]["spans"] == want and got[1]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    at = bare.index("Zk39dk2Lq000007")
+    assert got[2]["spans"] == f"assign:{at}:{len(bare)}"
+
+
 @there
 def test_pipeline_stages_keep_columns_and_take_effect(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
