@@ -109,25 +109,37 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_describe, "doc_id bigint, x array<double>")
 
 
+def inverse_lower(factor: np.ndarray) -> np.ndarray:
+    """The inverse of a lower triangular matrix, by forward substitution."""
+    out = np.zeros_like(factor)
+    for i in range(len(factor)):
+        out[i] = -(factor[i, :i] @ out[:i])
+        out[i, i] += 1
+        out[i] /= factor[i, i]
+    return out
+
+
 @dataclass
 class Discriminant:
-    """Class means, priors and the Cholesky factors of the shrunk class covariances; factors are computed once."""
+    """Class means, priors and the Cholesky factors of the shrunk class covariances; factors and their inverses are computed once."""
 
     means: np.ndarray
     covariances: np.ndarray
     priors: np.ndarray
     factors: list[np.ndarray] = field(init=False)
+    whiteners: list[np.ndarray] = field(init=False)
     log_dets: list[float] = field(init=False)
 
     def __post_init__(self):
         self.factors = [np.linalg.cholesky(c) for c in self.covariances]
+        self.whiteners = [inverse_lower(f) for f in self.factors]
         self.log_dets = [2 * float(np.log(np.diag(f)).sum()) for f in self.factors]
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         logs = []
-        for mean, factor, det, prior in zip(self.means, self.factors, self.log_dets, self.priors, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
-            logs.append(np.log(prior) - 0.5 * (det + (z**2).sum(axis=0)))
+        for mean, whitener, det, prior in zip(self.means, self.whiteners, self.log_dets, self.priors, strict=True):
+            z = (x - mean) @ whitener.T
+            logs.append(np.log(prior) - 0.5 * (det + (z**2).sum(axis=1)))
         return logs[1] - logs[0]
 
 
