@@ -15,20 +15,22 @@ BUCKET_BITS = 15
 ORDERS = (1, 2, 3)
 TRAIN_ROWS = 40_000  # at most about so many labelled rows are learned from, chosen by a hash of their text
 SMOOTHING = 0.5
+SAMPLE_BITS = 60  # of the hash that samples
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of each n-gram: lower-cased letters, everything else a single gap, n-grams within a text."""
-    joined = "\x00".join(t.lower() for t in texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32)
-    bounds = np.flatnonzero(codes == 0)
-    if len(bounds) != len(texts) - 1:  # a text holds the separator itself
-        texts = [t.replace("\x00", " ") for t in texts]
-        codes = np.frombuffer("\x00".join(t.lower() for t in texts).encode("utf-32-le", "replace"), dtype=np.uint32)
-        bounds = np.flatnonzero(codes == 0)
+    """(text, bucket) of each n-gram: lower-cased letters, everything else a single gap, one gap before each text, n-grams within a text."""
+
+    def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer("".join("\x00" + t.lower() for t in texts).encode("utf-32-le", "replace"), dtype=np.uint32)
+        return codes, np.flatnonzero(codes == 0)
+
+    codes, bounds = coded(texts)
+    if len(bounds) != len(texts):  # a text holds the separator itself
+        codes, bounds = coded([t.replace("\x00", " ") for t in texts])
     text = np.zeros(len(codes), dtype=np.int64)
     text[bounds] = 1
-    text = np.cumsum(text)
+    text = np.cumsum(text) - 1
     gap = (codes < 0x61) | ((codes > 0x7A) & (codes < 0xAA))
     norm = np.where(gap, np.uint32(32), codes).astype(np.uint64)
     keep = np.ones(len(codes), dtype=bool)
@@ -68,7 +70,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Language names and the log-probability matrix (bucket by language, then one row of log priors).
+    """Language names and the log-probability matrix, bucket by language; priors are even.
 
     Learns from the non-null `text` and `lang` of `labelled`, all of it up to about
     `rows` rows and else a sample of that size by a hash of the text.  What comes to
@@ -77,9 +79,8 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.nd
     labelled = labelled.select("text", "lang").filter("lang is not null and text is not null")
     n = labelled.count()
     if n > rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
-    sample = labelled.repartition(8)
-    counted = sample.mapInArrow(_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        labelled = labelled.filter(F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 64 - SAMPLE_BITS) < int(rows / n * (1 << SAMPLE_BITS)))
+    counted = labelled.mapInArrow(_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counted.toPandas()
     names = sorted(table["lang"].unique())
     counts = np.full((1 << BUCKET_BITS, len(names)), SMOOTHING)
