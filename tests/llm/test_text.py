@@ -314,3 +314,111 @@ def test_a_text_of_many_spans_takes_linear_time(spark):
     began = time.monotonic()
     got = pii.personal_data(docs(spark, [(1, text), (2, "mail a@b.cd")])).collect()
     assert {r["n_email"] for r in got} == {100_000, 1} and time.monotonic() - began < 60
+
+
+def test_language_scores_match_a_direct_naive_bayes(spark):
+    rng = random.Random(31)
+    def text():
+        return "".join(rng.choice("abcé .,X1") for _ in range(rng.randrange(0, 30)))
+    rows = [(i, text(), rng.choice(["p", "q", "r"])) for i in range(90)] + [(200, "\x00ab\x00", "p")]
+    names, logp = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    def grams(t):
+        chars = [" "]
+        for c in t.lower():  # letters as they are, everything else one gap
+            gap = not ("a" <= c <= "z" or ord(c) >= 0xAA)
+            if not (gap and chars[-1] == " "):
+                chars.append(" " if gap else c)
+        out = []
+        for n in langid.ORDERS:
+            out += [tuple(chars[i : i + n]) for i in range(len(chars) - n + 1) if n > 1 or chars[i] != " "]
+        return out
+    def bucket(gram):
+        h = np.zeros(1, np.uint64)
+        for n, c in enumerate(gram, 1):
+            h = langid.mix64(h * np.uint64(0x9FB21C651E98DF25) + np.uint64(ord(c)) + np.uint64(n))
+        return int(h[0] >> np.uint64(64 - langid.BUCKET_BITS))
+    counts = {lang: np.full(1 << langid.BUCKET_BITS, langid.SMOOTHING) for lang in names}
+    for _, t, lang in rows:
+        for g in grams(t):
+            counts[lang][bucket(g)] += 1
+    want = np.stack([np.log(c / c.sum()) for c in (counts[lang] for lang in names)], axis=1)
+    assert names == ["p", "q", "r"] and np.allclose(logp, want, atol=1e-5)
+    for r in langid.identify(docs(spark, [(i, t) for i, t, _ in rows]), (names, logp)).collect():
+        t = dict((i, t) for i, t, _ in rows)[r["doc_id"]]
+        total = np.asarray([sum(want[bucket(g), j] for g in grams(t)) for j in range(3)])
+        if any(c.isalpha() for c in t):
+            share = np.exp(total - total.max())
+            assert r["score"] == pytest.approx(share.max() / share.sum(), abs=1e-3) and total[names.index(r["lang_pred"])] == pytest.approx(total.max(), abs=1e-3)
+        else:
+            assert r["lang_pred"] == "und"
+
+
+def test_sampling_of_vast_tables_never_goes_to_nothing():
+    for module, rows in ((langid, langid.TRAIN_ROWS), (toxicity, toxicity.TRAIN_ROWS)):
+        assert int(rows / 1e14 * (1 << module.SAMPLE_BITS)) > 1e8
+
+
+def test_hits_match_a_plain_search():
+    rng = random.Random(32)
+    lexicon = toxicity.Lexicon({"ab": 1.0, "cab": 2.0, "b": 0.5}, {"cabb": 3.0}, ("ab c", "B a"))
+    matcher = toxicity.Matcher(lexicon)
+
+    def plain(text):
+        low, hits, spared = toxicity.fold(text), {}, set()
+        for s in range(len(text)):
+            if s and text[s - 1].isalnum():
+                continue
+            for terms, whole in ((lexicon.words, True), (lexicon.stems, False), (dict.fromkeys(map(toxicity.fold, lexicon.exceptions)), True)):
+                for term, weight in terms.items():
+                    end = s + len(term)
+                    if low.startswith(term, s) and (not whole or end == len(text) or not text[end].isalnum()):
+                        if weight is None:
+                            spared |= set(range(s, end))
+                        else:
+                            hits[s] = max(weight, hits.get(s, 0.0))
+        kept = [w for s, w in hits.items() if s not in spared]
+        return sum(kept), len(kept)
+
+    for _ in range(20_000):
+        text = "".join(rng.choice("aAbBcC @8é") for _ in range(rng.randrange(16)))
+        assert matcher.weigh(text) == plain(text), text
+    many = "ab c " * 100_000 + "cab"
+    began = time.monotonic()
+    assert matcher.weigh(many) == (2.0, 1) and time.monotonic() - began < 10
+
+
+def test_repeated_rows_and_clashing_columns_teach_once(spark):
+    rows, labels = toxic_rows(random.Random(3), 120)
+    schema = "doc_id bigint, text string, toxic string, term string, weight int"
+    wide = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], schema)
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    once = toxicity.train(wide, marks)
+    assert once.words and toxicity.train(wide.union(wide).union(wide), marks) == once
+    kept = toxicity.without_toxic(wide, once)
+    assert kept.columns == wide.columns and 0 < kept.count() < 120
+
+
+def test_quality_log_odds_match_the_density_formula():
+    rng = np.random.default_rng(33)
+    a = rng.standard_normal((2, 6, 6))
+    cov = a @ a.transpose(0, 2, 1) + 0.3 * np.eye(6)
+    means, priors, x = rng.standard_normal((2, 6)), np.asarray([0.3, 0.7]), rng.standard_normal((50, 6))
+    logs = [np.log(p) - 0.5 * (np.linalg.slogdet(c)[1] + np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)) for m, c, p in zip(means, cov, priors, strict=True)]
+    assert np.allclose(quality.Discriminant(means, cov, priors).log_odds(x), logs[1] - logs[0])
+    assert np.allclose(quality.inverse_lower(np.linalg.cholesky(cov[0])) @ np.linalg.cholesky(cov[0]), np.eye(6))
+
+
+def test_quality_learns_the_class_moments(spark):
+    rng = random.Random(34)
+    rows = [(i, " ".join(rng.choice(["ab", "cdef", "GH!", "9"]) for _ in range(rng.randrange(1, 40)))) for i in range(80)]
+    marks = [(i, i % 2, 0) for i in range(80)]
+    model = quality.train(quality.describe(docs(spark, rows)), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int"))
+    x = np.stack([quality.statistics(*quality.utf8(quality.pa.array([t])))[0] for _, t in rows])
+    for c in (0, 1):
+        assert np.allclose(model.means[c], x[c::2].mean(axis=0)) and model.priors[c] == 0.5
+    raw = [np.cov(x[c::2].T, bias=True) for c in (0, 1)]
+    pooled = (raw[0] + raw[1]) / 2
+    pooled = 0.9 * pooled + 0.1 * np.diag(np.diag(pooled)) + 1e-4 * np.eye(len(pooled))
+    d = len(pooled) + 1
+    s = quality.SHRINKAGE + (1 - quality.SHRINKAGE) * d / (40 + d)
+    assert np.allclose(model.covariances[0], (1 - s) * raw[0] + s * pooled)

@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 The lexicon is learned: a term (or a stem that many terms share) is weighted by how
-much more often it stands in toxic texts, where it is counted by distinct contexts,
-so that copies of one text count once.  Folding maps homoglyphs and digit substitutions to
+much more often it stands in toxic texts than in others.  It is counted by distinct
+contexts in both, so that copies of one text count once.  Folding maps homoglyphs and digit substitutions to
 letters one to one, so hits keep their places and word boundaries are checked on
 the text as written.  Hits inside exception phrases don't count.  The total weight,
 alone and normalised by length, gives the score through a logistic curve.
@@ -10,6 +10,8 @@ alone and normalised by length, gives the score through a logistic curve.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.langid import held_out
-from tidewheel.llm.session import cut
+from tidewheel.llm.session import broadcast_if_small, cut
 from tidewheel.llm.textkernel import text_slices
 
 TRAIN_ROWS = 12_000  # at most about so many labelled rows are learned from, chosen by a hash of doc_id
-LEXICON_TERMS = 20_000
+SAMPLE_BITS = 60  # of the hash that samples
 LEAST_CONTEXTS, LEAST_WEIGHT = 5, 3.0
 STEM_LETTERS, STEM_TERMS = (4, 5, 6), 5
 
@@ -62,7 +64,7 @@ class Matcher:
     def __init__(self, lexicon: Lexicon):
         self.automaton = ahocorasick.Automaton()
         entries: dict[str, list[tuple[str, float]]] = {}
-        for kind, terms in (("word", lexicon.words), ("stem", lexicon.stems), ("exception", dict.fromkeys(lexicon.exceptions, 0.0))):
+        for kind, terms in (("word", lexicon.words), ("stem", lexicon.stems), ("exception", dict.fromkeys(map(fold, lexicon.exceptions), 0.0))):
             for term, weight in terms.items():
                 entries.setdefault(term, []).append((kind, weight))
         for term, what in entries.items():
@@ -88,7 +90,9 @@ class Matcher:
                 elif kind == "stem" or closed:
                     hits[start] = max(weight, hits.get(start, 0.0))
         if spared and hits:
-            hits = {s: w for s, w in hits.items() if not any(a <= s <= b for a, b in spared)}
+            spared.sort()
+            starts, reach = [a for a, _ in spared], [-1, *itertools.accumulate((b for _, b in spared), max)]
+            hits = {s: w for s, w in hits.items() if reach[bisect.bisect_right(starts, s)] < s}
         return sum(hits.values()), len(hits)
 
 
@@ -96,17 +100,23 @@ def _features(weight: np.ndarray, chars: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(weight)), np.log1p(weight), 10 * weight / np.sqrt(chars + 100)], axis=1)
 
 
-def _weighed(lexicon: Lexicon):
+def _weigh(texts: list[str | None], matcher: Matcher, curve: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Score, weight, hits and characters of each text; null is empty."""
+    weighed = [matcher.weigh(t) if t else (0.0, 0) for t in texts]
+    weight, hits = np.asarray([w for w, _ in weighed], dtype=float), np.asarray([n for _, n in weighed], dtype=np.int64)
+    chars = np.asarray([len(t or "") for t in texts], dtype=np.int64)
+    return 1 / (1 + np.exp(-np.clip(_features(weight, chars) @ np.asarray(curve), -40, 40))), weight, hits, chars
+
+
+def _weighed(lexicon: Lexicon, beside: str):
+    """The column `beside` with score, weight, n_hits and chars of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
         for batch in batches:
             for part in text_slices(batch):
-                texts = part.column("text").to_pylist()
-                weighed = [matcher.weigh(t) if t else (0.0, 0) for t in texts]
-                x = _features(np.asarray([w for w, _ in weighed], dtype=float), np.asarray([len(t or "") for t in texts], dtype=float))
-                score = 1 / (1 + np.exp(-np.clip(x @ np.asarray(lexicon.curve), -40, 40)))
-                columns = [part.column("doc_id"), pa.array(score), pa.array([w for w, _ in weighed], pa.float64()), pa.array([n for _, n in weighed], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "weight", "n_hits"])
+                columns = [part.column(beside), *map(pa.array, _weigh(part.column("text").to_pylist(), matcher, lexicon.curve))]
+                yield pa.RecordBatch.from_arrays(columns, names=[beside, "score", "weight", "n_hits", "chars"])
 
     return run
 
@@ -128,22 +138,23 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learns lexicon, exception phrases and curve from the texts of `docs` whose doc_id `labels` (doc_id, toxic) has.
 
-    All labelled rows are used up to about `rows`, else a sample of that size by a
-    hash of doc_id.  Rows with a null in doc_id, toxic or text teach nothing; a
-    doc_id labelled twice is toxic if once.  Without labels the lexicon is empty.
+    All labelled ids are used up to about `rows`, else a sample of that size by a
+    hash of doc_id; the lexicon takes every term of theirs that is strong enough.
+    Rows with a null in doc_id, toxic or text teach nothing; a doc_id labelled twice
+    is toxic if once, and equal rows teach once.  Without labels the lexicon is empty.
     """
-    marked = cut(labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")), rows=0)
+    marked = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = marked.count()
     if n > rows:
-        marked = cut(marked.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(rows / n * (1 << 20))), rows=0)
-    sample = cut(docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(marked), "doc_id"))
+        marked = marked.filter(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 64 - SAMPLE_BITS) < int(rows / n * (1 << SAMPLE_BITS)))
+    marked = broadcast_if_small(cut(marked, rows=2 * rows), 2 * rows)
+    sample = cut(docs.select("doc_id", "text").filter("text is not null").join(marked, "doc_id").select(F.col("toxic").cast("int"), "text"))
     words = F.regexp_extract_all(fold_column(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     at = F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.struct(F.try_element_at("w", i).alias("term"), F.when(i > 1, F.try_element_at("w", i - 1)).alias("prev"), F.try_element_at("w", i + 1).alias("next"))))
     used = sample.select("toxic", words.alias("w")).filter(F.size("w") > 0).select("toxic", at.alias("t")).select("toxic", "t.*").filter("term is not null")
-    # toxic texts by context, the many others by term alone: their contexts would fill the executors
-    hot = used.filter("toxic = 1").groupBy("term", "prev", "next").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("p"))
-    cold = used.filter("toxic = 0").groupBy("term").agg(F.count("*").alias("q"))
-    counted = cut(hot.join(cold, "term", "full").select("term", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("q", F.lit(0)).alias("q")), rows=0)
+    # two stages: the distinct contexts as hashes, then their number by term
+    once = used.groupBy("toxic", "term", F.xxhash64("prev", "next").alias("context")).agg(F.lit(1).alias("one"))
+    counted = cut(once.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("q")))
     sums = [F.sum("p").alias("p"), F.sum("q").alias("q")]
     total = counted.agg(*sums).first()
     if not total["p"]:
@@ -154,10 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
 
     terms = counted.withColumn("weight", weigh(F.col("p"), F.col("q")))
     strong = (F.col("p") >= LEAST_CONTEXTS) & (F.col("weight") >= LEAST_WEIGHT)
-    top = terms.filter(strong).orderBy(F.desc("p"), "term").limit(LEXICON_TERMS).select("term", "weight", "q").toPandas()
+    top = terms.filter(strong).select("term", "weight", "q").orderBy("term").toPandas()
     stems = terms.filter(F.length("term") > min(STEM_LETTERS)).withColumn("stem", F.explode(F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in STEM_LETTERS]))).filter("stem is not null")
     stems = stems.groupBy("stem").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.count_if(F.col("p") >= 2).alias("terms")).withColumn("weight", weigh(F.col("p"), F.col("q")))
-    stems = stems.filter((F.col("terms") >= STEM_TERMS) & (F.col("weight") >= LEAST_WEIGHT) & (F.col("q") * 200 <= F.col("p"))).orderBy(F.desc("p"), "stem").limit(LEXICON_TERMS).toPandas()
+    stems = stems.filter((F.col("terms") >= STEM_TERMS) & (F.col("weight") >= LEAST_WEIGHT) & (F.col("q") * 200 <= F.col("p"))).orderBy("stem").toPandas()
     lexicon_words = dict(zip(top["term"], top["weight"], strict=True))
     unsafe = [t for t, q in zip(top["term"], top["q"], strict=True) if q]
     found = list(exceptions)
@@ -165,9 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
         marks = F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in unsafe], "term string"))
         near = used.join(marks, "term").select("toxic", F.explode(F.array(F.concat_ws(" ", "prev", "term"), F.concat_ws(" ", "term", "next"))).alias("phrase"))
         spared = near.filter(F.instr("phrase", " ") > 0).groupBy("phrase").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q")).filter("p = 0 and q >= 3")
-        found += [r["phrase"] for r in spared.orderBy("phrase").limit(LEXICON_TERMS).collect()]
+        found += [r["phrase"] for r in spared.orderBy("phrase").collect()]
     draft = Lexicon(lexicon_words, dict(zip(stems["stem"], stems["weight"], strict=True)), tuple(found))
-    fit = sample.mapInArrow(_weighed(draft), "doc_id bigint, score double, weight double, n_hits bigint").select("doc_id", "weight").join(F.broadcast(sample.select("doc_id", "toxic", F.length("text").alias("chars"))), "doc_id").toPandas()
+    fit = sample.mapInArrow(_weighed(draft, "toxic"), "toxic int, score double, weight double, n_hits bigint, chars bigint").groupBy("toxic", "weight", "chars").agg(F.lit(1).alias("one")).orderBy("toxic", "weight", "chars").toPandas()
     curve = _fit_curve(_features(fit["weight"].to_numpy(float), fit["chars"].to_numpy(float)), fit["toxic"].to_numpy(float))
     return Lexicon(draft.words, draft.stems, draft.exceptions, curve)
 
@@ -178,7 +189,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Null and empty texts have no hits and the score of a text without any.  Ties
     and repeated rows are scored each; no rows give no rows.
     """
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_weighed(lexicon), "doc_id bigint, score double, weight double, n_hits bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_weighed(lexicon, "doc_id"), "doc_id bigint, score double, weight double, n_hits bigint, chars bigint").drop("chars")
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5) -> DataFrame:
@@ -186,13 +197,9 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, limit: float = 0.5) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon)
-        curve = np.asarray(lexicon.curve)
         for batch in batches:
             for part in text_slices(batch):
-                texts = part.column("text").to_pylist()
-                weights = np.asarray([matcher.weigh(t)[0] if t else 0.0 for t in texts])
-                odds = _features(weights, np.asarray([len(t or "") for t in texts], dtype=float)) @ curve
-                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(odds, -40, 40))) < limit))
+                yield part.filter(pa.array(_weigh(part.column("text").to_pylist(), matcher, lexicon.curve)[0] < limit))
 
     return docs.mapInArrow(run, docs.schema)
 
