@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -59,6 +60,75 @@ def test_extraction_keeps_headings_leads_and_sections_of_pages_in_divs():
     assert main_text(f"<body><div>Unnamed, notice.</div><article><h1>Title</h1><div>{many}</div></article></body>") == plain("Title", many)
 
 
+def test_deep_and_wide_pages_take_linear_time():
+    began = time.monotonic()
+    n = 100_000
+    assert main_text("<div>" * n + "<p>Some words, here.</p>" + "</div>" * n) == "Some words, here."
+    assert main_text("<div class='a b c'><p>x, y.</p>" * n).count("x, y.") == n
+    assert main_text("<ul><li><b class=ad>" * (n // 2) + "y" + "</i></b></li></ul>" * (n // 2)) == ""
+    wide = "<main>" + "".join(f"<article><p>Text {i}, and more.</p></article>" for i in range(n // 2)) + "</main>"
+    nodes, blocks = htmltext.parse(wide)
+    path = next(x.path for x in nodes if x.tag == "article")
+    assert htmltext.text_at(nodes, blocks, path) == main_text(wide) and len(blocks) == n // 2
+    main_text("<a href='" * n + "</p>" * n)
+    assert time.monotonic() - began < 60
+
+
+def test_steps_keep_all_class_names():
+    page = "<div class='a b c d {}'><p>Text, here.</p></div>"
+    assert htmltext.parse(page.format("e"))[0][1].path != htmltext.parse(page.format("f"))[0][1].path
+    assert htmltext.parse(page.format("e7"))[0][1].path == htmltext.parse(page.format("e12"))[0][1].path
+
+
+def test_extraction_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "https://h.org", "<p>Text.</p>", "x", "y", 3)], "page_id bigint, url string, html string, path string, host string, text int")
+    assert [tuple(r) for r in htmltext.extract(rows).collect()] == [(1, "https://h.org", "Text.", 5)]
+
+
+@there
+def test_extraction_of_the_pages_table_against_a_plain_parser(spark):
+    """All pages of the table declare an article; a plain reading of it without the named parts is the yardstick."""
+    from html.parser import HTMLParser
+
+    void = set("area base br col embed hr img input link meta source track wbr".split())
+    block = set("p div li ul ol h1 h2 h3 h4 h5 h6 blockquote pre section article table tr td th figure figcaption dl dt dd".split())
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.lines = [], [""]
+
+        def handle_starttag(self, tag, attrs):
+            if tag in block:
+                self.lines.append("")
+            if tag == "br":
+                self.lines[-1] += " "
+            if tag not in void:
+                self.stack.append((tag, dict(attrs)))
+
+        def handle_endtag(self, tag):
+            while any(t == tag for t, _ in self.stack) and self.stack.pop()[0] != tag:
+                pass
+            if tag in block:
+                self.lines.append("")
+
+        def handle_data(self, data):
+            tags = [t for t, _ in self.stack]
+            names = " ".join(str(a.get("class", "")) + " " + str(a.get("id", "")) for _, a in self.stack[tags.index("article") + 1 :]) if "article" in tags else ""
+            if "article" in tags and not {"nav", "aside", "footer", "form", "script", "style", "header"} & set(tags[tags.index("article") :]) and not re.search(r"comment|share|related|\bad\b|ads|promo|newsletter|notice|cookie", names):
+                self.lines[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(pages).collect()}
+    shared = ours = theirs = 0
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r["html"] or "")
+        a, b = Counter((got[r["page_id"]] or "").split()), Counter(" ".join(plain.lines).split())
+        shared, ours, theirs = shared + sum((a & b).values()), ours + sum(a.values()), theirs + sum(b.values())
+    assert shared / ours > 0.98 and shared / theirs > 0.98, (shared / ours, shared / theirs)
+
+
 def test_a_host_path_does_not_drop_a_lead(spark):
     page = "<body><div class=post>{}<div class=body><p>" + "Some words, and more. " * 30 + "</p></div></div></body>"
     rows = [(i, "https://h.org/a", page.format("")) for i in range(9)] + [(9, "https://h.org/b", page.format("<h1>Title</h1>"))]

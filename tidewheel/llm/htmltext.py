@@ -11,10 +11,13 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,14 +47,17 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _MEANT = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style"))
 
 
-@dataclass(eq=False)
+@dataclass(eq=False, slots=True)
 class Node:
+    """An element; its path is known by a hash of the parent's path and its own step, so depth costs nothing."""
+
     tag: str
-    path: str
+    path: int
     parent: Node | None
     skipped: bool
+    at: int = 0  # its place among the nodes
     holder: Node | None = None  # the nearest container around it
-    blocks: list[int] = field(default_factory=list)
+    end: int = 0  # the place after its last descendant
     text: int = 0  # characters of its own subtree outside boilerplate
     links: int = 0
     marks: int = 0
@@ -85,7 +91,7 @@ def _boiler(tag: str, attrs: dict[str, str]) -> bool:
 def _step(tag: str, attrs: dict[str, str]) -> str:
     """A path step: the tag with its classes, digits generalised."""
     names = sorted(set(re.sub(r"\d+", "#", attrs.get("class", "")).split()))
-    return ".".join([tag, *names[:4]])
+    return ".".join([tag, *names])
 
 
 def _holds(node: Node) -> bool:
@@ -94,8 +100,9 @@ def _holds(node: Node) -> bool:
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """The container nodes in page order, and each block's (innermost node, text) outside boilerplate."""
-    root = Node("", "", None, False)
+    root = Node("", 0, None, False)
     stack, nodes = [root], [root]
+    opened: Counter[str] = Counter()
     blocks: list[tuple[Node, str]] = []
     buffer: list[str] = []
     linked = 0
@@ -111,17 +118,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             if text:
                 node = stack[-1]
                 blocks.append((node, text))
-                marks = sum(text.count(c) for c in ".,;:!?")
-                head = stack[-1].tag in HEADINGS
                 (node if _holds(node) else node.holder).flow += len(text) - min(linked, len(text))
-                while node is not None:
-                    node.text += len(text)
-                    node.links += min(linked, len(text))
-                    node.marks += marks
-                    node.heads += head
-                    node = node.parent
+                node.text += len(text)
+                node.links += min(linked, len(text))
+                node.marks += sum(text.count(c) for c in ".,;:!?")
+                node.heads += node.tag in HEADINGS
         linked = 0
 
+    def leave() -> Node:
+        node = stack.pop()
+        opened[node.tag] -= 1
+        node.end = len(nodes)
+        return node
+
     def say(text: str) -> None:
         nonlocal linked
         if text and not stack[-1].skipped:
@@ -142,13 +151,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         if m[1]:
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            if tag == "p" and all(n.tag != "p" for n in stack):
-                flush()
-            elif any(n.tag == tag for n in stack):
+            if opened[tag] > 0:
                 if tag in BREAKING or stack[-1].tag != tag:
                     flush()
-                while stack.pop().tag != tag:
+                while leave().tag != tag:
                     pass
+            elif tag == "p":
+                flush()
             continue
         attrs = _attributes(m[3])
         if tag == "br":
@@ -164,27 +173,36 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             flush()
         elif not _boiler(tag, attrs):
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    while len(stack) > i:
+                        leave()
                     break
                 if stack[i].tag in CONTAINERS or stack[i].tag in SKIPPED:
                     break
         if tag in CLOSED_BY_SAME and stack[-1].tag in CLOSED_BY_SAME[tag]:
-            stack.pop()
+            leave()
         up = stack[-1]
-        node = Node(tag, f"{up.path}/{_step(tag, attrs)}", up, up.skipped or _boiler(tag, attrs), up if _holds(up) else up.holder)
+        path = xxhash.xxh64_intdigest(_step(tag, attrs).encode("utf-8", "replace"), up.path)
+        node = Node(tag, path, up, up.skipped or _boiler(tag, attrs), len(nodes), up if _holds(up) else up.holder, len(nodes) + 1)
         nodes.append(node)
         if m[0].endswith("/>") and tag in ("svg", "math"):
             continue
         stack.append(node)
+        opened[tag] += 1
         if tag in RAW:
             lower = page.lower() if lower is None else lower
             end = (lower if len(lower) == len(page) else page).find(f"</{tag}", at)
             at = len(page) if end < 0 else end
     say(page[at:])
     flush()
+    while stack:
+        leave()
+    for node in reversed(nodes):  # children come after their parents
+        if node.parent is not None:
+            for sum_ in ("text", "links", "marks", "heads"):
+                setattr(node.parent, sum_, getattr(node.parent, sum_) + getattr(node, sum_))
     return nodes, blocks
 
 
@@ -200,70 +218,86 @@ def best_container(nodes: list[Node]) -> Node:
     for node in nodes:
         if _holds(node) and not node.skipped and node.text:
             score = _score(node)
-            if score > most or (score >= 0.9 * most and _within(node, top)):
+            if score > most or (score >= 0.9 * most and top.at <= node.at < top.end):
                 top, most = node, score
     return widened(nodes, [top])[0]
 
 
+def _same_level(nodes: list[Node]) -> dict[int, tuple[Counter, int]]:
+    """For each container the containers directly in it that are not mostly links: how many of each path, and how many with a heading or a mark."""
+    found: dict[int, tuple[Counter, list[int]]] = {}
+    for node in nodes:
+        if node.holder is not None and _solid(node):
+            paths, signed = found.setdefault(node.holder.at, (Counter(), [0]))
+            paths[node.path] += 1
+            signed[0] += _signed(node)
+    return {at: (paths, signed[0]) for at, (paths, signed) in found.items()}
+
+
+def _solid(node: Node) -> bool:
+    return _holds(node) and not node.skipped and 0 < node.text >= 2 * node.links
+
+
+def _signed(node: Node) -> bool:
+    return bool(node.marks or node.heads)
+
+
 def widened(nodes: list[Node], chosen: list[Node], strangers: bool = True) -> list[Node]:
     """For each of `chosen` the widest container around it that adds text, up to one that adds mostly links.
 
     Text is what stands in that container itself (a heading, a lead), in a container
     of the same tag and classes as the one within, or, with `strangers`, in any
     other with a heading or a punctuation mark.  Around an article or main only
-    another one of the same tag and classes counts.
+    another one of the same tag and classes counts.  What lies above a container is
+    worked out once, so many chosen ones in deep pages cost no more than the page.
     """
-    held: dict[int, list[Node]] = {}
-    for node in nodes:
-        if node.holder is not None and _holds(node) and not node.skipped and node.text:
-            held.setdefault(id(node.holder), []).append(node)
-    wide = []
-    for top in chosen:
-        below = top
-        declared = [n for n in _around(top) if n.tag in ("article", "main")]
-        last = declared[-1] if declared else None
-        past = last is top
-        while (up := below.holder) is not None and 2 * (up.links - below.links) <= up.text - below.text:
-            others = [n for n in held.get(id(up), ()) if n is not below and 2 * n.links <= n.text]
-            same = any(n.path == below.path for n in others)
-            if past:
-                adds = same and below.tag in ("article", "main")
-            else:
-                adds = same or up.flow > 0 or (strangers and any(n.marks or n.heads for n in others))
-            if adds:
-                top = up
-            past = past or up is last
-            below = up
-        wide.append(top)
-    return wide
-
-
-def _around(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
-def _within(node: Node, outer: Node) -> bool:
-    return any(n is outer for n in _around(node))
-
-
-def text_at(nodes: list[Node], blocks: list[tuple[Node, str]], path: str | None) -> str:
+    beside = _same_level(nodes)
+    declared: dict[int, Node | None] = {}  # the outermost article or main around a container, itself included
+    wide: dict[tuple[int, bool], Node | None] = {}
+
+    def step(node: Node, past: bool) -> tuple[Node, bool, bool] | None:
+        """The container around `node` with whether it adds text and whether the way on is past the declared one; None where the way ends."""
+        up = node.holder
+        if up is None or 2 * (up.links - node.links) > up.text - node.text:
+            return None
+        paths, signed = beside.get(up.at, (Counter(), 0))
+        own = _solid(node)
+        same = paths[node.path] - own > 0
+        if past:
+            adds = same and node.tag in ("article", "main")
+        else:
+            adds = same or up.flow > 0 or (strangers and signed - (own and _signed(node)) > 0)
+        return up, adds, past or declared[up.at] is up
+
+    for node in nodes:  # holders come before what they hold
+        if _holds(node):
+            around = declared[node.holder.at] if node.holder is not None else None
+            declared[node.at] = around or (node if node.tag in ("article", "main") else None)
+            for past in (False, True):
+                taken = step(node, past)
+                wide[node.at, past] = None
+                if taken is not None:
+                    up, adds, beyond = taken
+                    wide[node.at, past] = wide[up.at, beyond] or (up if adds else None)
+    out = []
+    for node in chosen:
+        if _holds(node):
+            out.append(wide[node.at, declared[node.at] is node] or node)
+        else:
+            out.append(node)
+    return out
+
+
+def text_at(nodes: list[Node], blocks: list[tuple[Node, str]], path: int | None) -> str:
     """Joined blocks under the nodes of `path`, or under the page's own best container."""
     chosen = [n for n in nodes if path and n.path == path and not n.skipped and n.text]
     chosen = widened(nodes, chosen, strangers=False) if chosen else [best_container(nodes)]
-    inside: dict[int, bool] = {id(n): True for n in chosen}
-
-    def under(node: Node | None) -> bool:
-        trail = []
-        while node is not None and id(node) not in inside:
-            trail.append(id(node))
-            node = node.parent
-        found = node is not None and inside[id(node)]
-        inside.update(dict.fromkeys(trail, found))
-        return found
-
-    return "\n".join(text for node, text in blocks if under(node))
+    edges = np.zeros(len(nodes) + 1, dtype=np.int64)
+    for node in chosen:
+        edges[node.at] += 1
+        edges[node.end] -= 1
+    inside = np.cumsum(edges) > 0
+    return "\n".join(text for node, text in blocks if inside[node.at])
 
 
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]+)"
@@ -280,13 +314,13 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         hosts.append(host)
                         paths.append(node.path)
                         scores.append(float(node.text) ** 0.5)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(scores, pa.float64())], names=["host", "path", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.asarray(paths, np.uint64).view(np.int64)), pa.array(scores, pa.float64())], names=["host", "path", "score"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch, "html"):
-            texts = [text_at(*parse(page), path) if page else "" for page, path in zip(part.column("html").to_pylist(), part.column("path").to_pylist(), strict=True)]
+            texts = [text_at(*parse(page), None if path is None else path % (1 << 64)) if page else "" for page, path in zip(part.column("html").to_pylist(), part.column("path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -296,13 +330,13 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty html, and one without text outside boilerplate, gives an empty
     text.  Pages whose url names no host vote together as one host.  Votes are
     summed per task before they are dealt out, so a host of any size is one row for
-    each task; ties go to the path that sorts first.  Repeated rows are extracted
+    each task; a path is known by a 64-bit hash of its steps, and ties go to the least.  Repeated rows are extracted
     each, no rows give no rows.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), _HOST, 1)), F.lit(""))
     rows = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host"))
-    votes = rows.select("host", "html").mapInArrow(_votes, "host string, path string, score double")
+    votes = rows.select("host", "html").mapInArrow(_votes, "host string, path bigint, score double")
     tally = votes.groupBy("host", "path").agg(F.sum(F.round("score", 3).cast("decimal(20,3)")).alias("votes"))
-    first = tally.groupBy("host").agg(F.max(F.struct("votes", F.expr("transform(split(path, ''), c -> -ascii(c))").alias("order"), "path"))["path"].alias("path"))
-    winners = broadcast_if_small(cut(first, rows=0), HOSTS_A_BROADCAST)
+    first = tally.groupBy("host").agg(F.max_by("path", F.struct("votes", F.bitwise_not("path"))).alias("path"))
+    winners = broadcast_if_small(cut(first), HOSTS_A_BROADCAST)
     return rows.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
