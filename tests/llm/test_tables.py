@@ -244,6 +244,25 @@ def test_mixing_odd_rows_against_sql_and_targets(spark):
     assert out.columns == ["doc_id", "text", "size", "source", "copies"] and out.count() == mixing.take(docs).count()
 
 
+def test_mixing_splits_rows_without_an_id_and_equal_rows(spark):
+    """100 rows of one source and no id: different texts, and equal rows; one target lies within them."""
+    for texts in ([f"a b c d w{i}" for i in range(100)], ["a b c d e"] * 100):
+        rows = [(None, t, "en", "only", 1) for t in texts]
+        got = mixing.mix(spark.createDataFrame(rows, DOC)).collect()
+        assert {(r["size"], r["target"]) for r in got} == {(5, 750.0)} and len(got) == 100
+        assert sum(r["taken"] for r in got) == 750 and {r["taken"] for r in got} == {5, 10}
+        out = mixing.take(spark.createDataFrame(rows, DOC)).collect()
+        assert len(out) == 100 and sum(r["copies"] for r in out) == 150 and sorted(r["text"] for r in out) == sorted(texts)
+    rows = [(7, "a b", "en", "one", i % 3) for i in range(60)] + [(None, "a b", None, None, None)] * 30
+    df = spark.createDataFrame(rows, DOC)
+    got = mixing.mix(df)
+    for source, size in ((7, 120), (None, 60)):
+        own = [r for r in got.collect() if r["doc_id"] == source]
+        assert own[0]["source_size"] == size and abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1 and max(r["taken"] for r in own) <= 4
+    assert sorted(got.collect(), key=repr) == sorted(mixing.mix(df.repartition(7)).collect(), key=repr)
+    assert sum(r["copies"] * 2 for r in mixing.take(df).collect()) == sum(r["taken"] for r in got.collect())
+
+
 def test_containment_matches_brute_force_on_odd_rows(spark):
     rng = random.Random(11)
     words = [f"v{i}" for i in range(300)]

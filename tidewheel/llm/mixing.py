@@ -1,11 +1,13 @@
 """Mixing sources to target weights by hash-threshold histograms, in DataFrame operations only.
 
-Documents hash to 60 bits.  A source's budget beyond whole copies of it is a prefix
-of its hash range: sizes are summed by source and the top 12 bits, the bucket in
-which the budget ends is found, and only that bucket is summed again by its next 12
-bits, until it holds one hash value.  Then a filter on the threshold takes the
-documents; nothing is sorted but each source's few thousand sums.  A larger budget
-has a higher threshold, so mixes of growing budgets nest.
+Documents hash to 60 bits of their doc_id, and rows of one doc_id (null ones too) to
+60 bits of their other columns below that.  A source's budget beyond whole copies of
+it is a prefix of its hash range: sizes are summed by source and the top 12 bits, the
+bucket in which the budget ends is found, and only that bucket is summed again by its
+next 12 bits, until it holds rows that are equal.  Then a filter on the threshold
+takes the documents, and of equal rows at the threshold as many as fit; nothing is
+sorted but each source's few thousand sums.  A larger budget has a higher threshold,
+so mixes of growing budgets nest.
 """
 
 from __future__ import annotations
@@ -21,20 +23,24 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 HASH_BITS, LEVEL_BITS = 60, 12
 SOURCES_A_BROADCAST = 20_000
+ROWS_A_RUN = 100_000  # equal rows are dealt out in runs
 WORD = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 _KEY = ["no_source", "named"]
+_ORDER = ["hash", "row_hash"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with size, hash and the source as a join key without nulls."""
+def _keyed(docs: DataFrame, others: Sequence[str] = ()) -> DataFrame:
+    """`docs` with size, the hashes of doc_id and of the row (text and the columns `others`) and the source as a join key without nulls."""
     source = F.col("source").cast("string")
     # each word and the white space after it become one letter; lists of the words themselves would fill the heap
     marks = F.translate(F.regexp_replace(F.col("text").cast("string"), WORD, "w"), " \t\n\x0b\f\r", "")
     size = F.coalesce(F.length(marks), F.lit(0)).cast("bigint")
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
     hashed = F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("bigint")
-    return docs.withColumns({"size": size, "hash": hashed, "no_source": source.isNull(), "named": F.coalesce(source, F.lit(""))})
+    rest = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]))] if others else []
+    row = F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string"), *rest), 64 - HASH_BITS)
+    return docs.withColumns({"size": size, "hash": hashed, "row_hash": row, "no_source": source.isNull(), "named": F.coalesce(source, F.lit(""))})
 
 
 def _targets(sources: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -59,45 +65,76 @@ def _targets(sources: DataFrame, weights: Sequence[float], share: float, most: f
     return rows.select(*_KEY, "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row per source: its size, target, whole copies `base` and the hash up to which documents get one copy more."""
-    sizes = cut(_keyed(docs.select("doc_id", "text", "source")).filter("size > 0").select(*_KEY, "hash", "size"))
-    return _plan(sizes, docs, weights, share, most)
+def plan(sizes: DataFrame, docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """One row per source of `docs`: size, target, whole copies `base`, and the hashes up to which documents get one copy more.
 
-
-def _plan(sizes: DataFrame, docs: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    `sizes` has the key, the hashes and the size of every document with words.  Rows
+    at the threshold itself are equal rows; `more` of their `ties` get the copy.
+    """
     source = F.col("source").cast("string")
     named = docs.select(source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("named"), F.lit(0).cast("bigint").alias("size"))
-    sources = cut(sizes.select(*_KEY, "size").union(named).groupBy(*_KEY).agg(F.sum("size").alias("source_size")), rows=0)
+    sources = cut(sizes.select(*_KEY, "size").union(named).groupBy(*_KEY).agg(F.sum("size").alias("source_size")))
+    n = sources.count()
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     targets = _targets(sources, weights, share, most).withColumn("base", base)
-    targets = cut(targets.withColumn("need", F.col("target") - F.col("base") * F.col("source_size")), rows=0)
-    everything = (1 << HASH_BITS) - 1
-    state = cut(targets.select(*_KEY, "need", F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("below"), F.lit(None).cast("bigint").alias("up_to")))
+    targets = cut(targets.withColumn("need", F.col("target") - F.col("base") * F.col("source_size")), rows=n)
+    state = targets.select(*_KEY, "need", F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("below"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("bigint").alias("ties"), *[F.lit(None).cast("bigint").alias(f"at_{h}") for h in _ORDER], F.lit(False).alias("done"))
     inside = sizes
-    for level in range(1, HASH_BITS // LEVEL_BITS + 1):
-        rest = HASH_BITS - level * LEVEL_BITS
-        open_ = broadcast_if_small(state.filter("up_to is null").select(*_KEY, "need", "prefix", "below"), SOURCES_A_BROADCAST)
-        inside = inside.join(open_, _KEY).filter(F.shiftright("hash", rest + LEVEL_BITS) == F.col("prefix"))
-        sums = inside.groupBy(*_KEY, "need", "below", F.shiftright("hash", rest).alias("bucket")).agg(F.sum("size").alias("size"), F.min("hash").alias("least"), F.max("hash").alias("most"))
-        upward = Window.partitionBy(*_KEY).orderBy("bucket")
+    last = HASH_BITS // LEVEL_BITS
+    for level in range(1, 2 * last + 1):
+        column, rest = _ORDER[(level - 1) // last], HASH_BITS - ((level - 1) % last + 1) * LEVEL_BITS
+        open_ = broadcast_if_small(state.filter("not done").select(*_KEY, "need", "below"), SOURCES_A_BROADCAST)
+        inside = inside.join(open_, _KEY).select(*_KEY, *_ORDER, "size", "need", "below", F.shiftright(column, rest).alias("at"))
+        key = F.struct(*_ORDER)
+        sums = inside.groupBy(*_KEY, "need", "below", "at").agg(F.sum("size").alias("size"), F.count("*").alias("ties"), F.min(key).alias("least"), F.max(key).alias("most"))
+        upward = Window.partitionBy(*_KEY).orderBy("at")
         sums = sums.withColumn("upto", F.col("below") + F.sum("size").over(upward))
-        crossing = sums.filter("upto > need").groupBy(*_KEY).agg(F.min(F.struct("bucket", "upto", "size", "least", "most", "need")).alias("c")).select(*_KEY, "c.*")
-        crossing = cut(crossing.withColumn("below", F.col("upto") - F.col("size")), rows=0)
-        nearer = F.col("upto") - F.col("need") < F.col("need") - F.col("below")
-        done = F.when(F.col("least") == F.col("most"), F.when(nearer, F.col("least")).otherwise(F.col("least") - 1))
-        found = crossing.select(*_KEY, F.col("bucket").alias("c_prefix"), F.col("below").alias("c_below"), done.alias("c_up_to"), F.lit(True).alias("crosses"))
+        crossing = sums.filter("upto > need").groupBy(*_KEY).agg(F.min(F.struct("at", "upto", "size", "ties", "least", "most")).alias("c")).select(*_KEY, "c.*")
+        one = F.col("least") == F.col("most")  # the bucket's rows are equal
+        found = crossing.select(*_KEY, F.col("at").alias("c_prefix"), (F.col("upto") - F.col("size")).alias("c_below"), F.col("size").alias("c_size"), F.col("ties").alias("c_ties"), *[F.col(f"most.{h}").alias(f"c_{h}") for h in _ORDER], (one if level < 2 * last else F.lit(True)).alias("c_one"), F.lit(True).alias("crosses"))
+        now, settled = ~F.col("done") & F.col("crosses").isNotNull(), F.col("done") | F.col("crosses").isNull() | F.col("c_one")
         # a source whose budget ends in no bucket takes all its documents
-        settled = F.when(F.col("up_to").isNotNull(), F.col("up_to")).when(F.col("crosses"), F.col("c_up_to")).otherwise(F.lit(everything))
-        state = cut(state.join(found, _KEY, "left").select(*_KEY, "need", F.coalesce("c_prefix", "prefix").alias("prefix"), F.coalesce("c_below", "below").alias("below"), settled.alias("up_to")), rows=0)
-        if state.filter("up_to is null").isEmpty():
+        everything = F.lit((1 << HASH_BITS) - 1)
+        state = state.join(found, _KEY, "left").select(
+            *_KEY,
+            "need",
+            F.when(now, F.col("c_prefix")).otherwise(F.col("prefix")).alias("prefix"),
+            F.when(now, F.col("c_below")).otherwise(F.col("below")).alias("below"),
+            F.when(now, F.col("c_size")).otherwise(F.col("size")).alias("size"),
+            F.when(now, F.col("c_ties")).otherwise(F.col("ties")).alias("ties"),
+            *[F.when(F.col("done"), F.col(f"at_{h}")).when(now, F.col(f"c_{h}")).otherwise(everything).alias(f"at_{h}") for h in _ORDER],
+            settled.alias("done"),
+        )
+        state = cut(state, rows=n)
+        if state.filter("not done").isEmpty():
             break
-        inside = cut(inside.select(*_KEY, "hash", "size"), rows=0)
-    return cut(targets.join(state.select(*_KEY, "up_to"), _KEY).select(*_KEY, "source_size", "target", "base", "up_to"), rows=0)
+        crossed = broadcast_if_small(state.filter("not done").select(*_KEY, F.col("prefix").alias("at")), SOURCES_A_BROADCAST)
+        inside = cut(inside.select(*_KEY, *_ORDER, "size", "at").join(crossed, [*_KEY, "at"]).select(*_KEY, *_ORDER, "size"))
+    each = F.col("size") / F.col("ties")
+    more = F.least(F.col("ties"), F.greatest(F.lit(0), F.ceil((F.col("need") - F.col("below")) / each - 0.5)))  # as near as whole documents come; ties: below
+    state = state.select(*_KEY, *[f"at_{h}" for h in _ORDER], F.coalesce(more, F.lit(0)).cast("bigint").alias("more"), F.coalesce("ties", F.lit(0)).alias("ties"))
+    return cut(targets.join(state, _KEY).select(*_KEY, "source_size", "target", "base", *[f"at_{h}" for h in _ORDER], "more", "ties"), rows=n)
+
 
+def _dealt(rows: DataFrame, sources: DataFrame, out: Sequence[str]) -> DataFrame:
+    """`rows` joined with the plan `sources`, as the columns `out` and their `copies`.
 
-def _copies() -> Column:
-    return F.col("base") + F.when(F.col("hash") <= F.col("up_to"), 1).otherwise(0)
+    Rows below their source's threshold get one copy more than `base`.  Where only
+    some of the equal rows at a threshold do, these are counted and dealt out anew.
+    """
+    rows = rows.join(broadcast_if_small(sources, SOURCES_A_BROADCAST), _KEY)
+    key, at = F.struct(*_ORDER), F.struct(*[F.col(f"at_{h}").alias(h) for h in _ORDER])
+    split = (key == at) & (F.col("more") > 0) & (F.col("more") < F.col("ties")) & (F.col("size") > 0)
+    plain = rows.filter(~split).select(*out, (F.col("base") + ((key < at) | ((key == at) & (F.col("more") > 0))).cast("bigint")).alias("copies"))
+    if sources.filter("more > 0 and more < ties").isEmpty():
+        return plain
+    some = rows.filter(split).groupBy(*_KEY).agg(F.first(F.struct(*out)).alias("row"), F.first("base").alias("base"), F.first("more").alias("more"), F.count("*").alias("n"))
+    parts = F.array(F.struct((F.col("base") + 1).alias("copies"), F.col("more").alias("times")), F.struct(F.col("base").alias("copies"), (F.col("n") - F.col("more")).alias("times")))
+    some = some.select("row", F.explode(parts).alias("part")).filter("part.times > 0").select("row", "part.copies", "part.times")
+    runs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("times") - 1, F.lit(ROWS_A_RUN))))
+    some = some.withColumn("run", runs).repartition("run")
+    some = some.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(ROWS_A_RUN), F.col("times") - F.col("run") * ROWS_A_RUN))))
+    return plain.unionByName(some.select(*[F.col(f"row.`{c}`").alias(c) for c in out], "copies"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -107,23 +144,29 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     budget is `share` times all sizes, and a source takes at most `most` times its
     size.  taken is size times the copies that the mix takes; a source's taken words
     are as near its target as whole documents in hash order come (ties: below).
-    Null and empty texts have size and taken 0.  Rows with equal doc_id, and all
-    with a null one, share a hash and are taken alike.  Reruns agree.  No rows give
-    no rows.
+    Null and empty texts have size and taken 0.  Rows with equal doc_id, and those
+    with a null one, follow each other by their texts; of equal rows as many are
+    taken once more as fit.  Reruns agree.  No rows give no rows.
     """
-    keyed = cut(_keyed(docs.select("doc_id", "text", "source")).select("doc_id", "source", *_KEY, "hash", "size"))
-    sources = broadcast_if_small(_plan(keyed.filter("size > 0").select(*_KEY, "hash", "size"), keyed, weights, share, most), SOURCES_A_BROADCAST)
-    return keyed.join(sources, _KEY).select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
+    keyed = cut(_keyed(docs.select("doc_id", "text", "source")).select("doc_id", "source", *_KEY, *_ORDER, "size"))
+    sources = plan(keyed.filter("size > 0").select(*_KEY, *_ORDER, "size"), keyed, weights, share, most)
+    rows = _dealt(keyed, sources, ["doc_id", "size", "source_size", "target"])
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def take(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The rows of `docs` that the mix takes at least once, with their number of `copies` (a column of that name is replaced)."""
+    """The rows of `docs` that the mix takes at least once, with their number of `copies` (a column of that name is replaced).
+
+    Rows of one doc_id go by their text and other columns; those may be of any type
+    that has a JSON form.
+    """
     kept = [c for c in docs.columns if c != "copies"]
-    clash = {"size", "hash", "source_size", "target", "base", "up_to", *_KEY}
-    held = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in kept if c not in ("doc_id", "text", "source")]).alias("held")) if clash & set(kept) else docs.select(*[F.col(f"`{c}`") for c in kept])
-    sources = broadcast_if_small(plan(docs, weights, share, most), SOURCES_A_BROADCAST)
-    rows = _keyed(held).join(sources, _KEY).withColumn("copies", _copies()).filter("copies > 0")
-    return rows.select(*[F.col(f"held.`{c}`").alias(c) if clash & set(kept) and c not in ("doc_id", "text", "source") else F.col(f"`{c}`") for c in kept], "copies")
+    others = [c for c in kept if c not in ("doc_id", "text", "source")]
+    hashed = _keyed(docs.select("doc_id", "text", "source", *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(others)]), [f"__{i}" for i in range(len(others))])
+    sizes = cut(hashed.filter("size > 0").select(*_KEY, *_ORDER, "size"))
+    rows = _dealt(hashed, plan(sizes, docs, weights, share, most), ["doc_id", "text", "source", *[f"__{i}" for i in range(len(others))]]).filter("copies > 0")
+    renamed = {c: F.col(c) for c in ("doc_id", "text", "source")} | {c: F.col(f"__{i}") for i, c in enumerate(others)}
+    return rows.select(*[renamed[c].alias(c) for c in kept], "copies")
 
 
 ORACLE_SQL = r"""
