@@ -3,10 +3,12 @@
 Items are put into size partitions (doubling numbers of shingles).  An item's sketch
 is its bottom-k MinHash, with k set by its partition so that the search can't miss:
 an item of n shingles that lies in a document up to a share t misses at most
-m = floor((1 - t) n) of them, so of its k > m smallest hashes at least k - m are
-among the document's.  Documents probe the sketches with all their shingles; those
-that hit often enough are candidates, and exact containment on the shingles
-themselves decides.
+m = floor((1 - t) n) of them, so of any k > m of its hashes at least k - m are among
+the document's.  The k are the smallest in an order that puts shingles of few items
+first, so that a phrase which many items share makes no hits unless an item has
+little else.  A document probes the partitions whose items its own size can hold;
+items that it hits often enough are candidates, and exact containment on the
+shingles themselves decides.
 """
 
 from __future__ import annotations
@@ -58,24 +60,27 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent:
     wordless texts match nothing, rows with a null id have no pair.  Repeated rows
     with one id give one row, with the most shared; no rows give no rows.
     """
-    item_rows = cut(items.filter("item_id is not null").select("item_id", F.array_sort(_hashes(F.col("text"), words)).alias("hashes"), _shingles(F.col("text"), words).alias("item_shingles")))
-    item_rows = item_rows.filter(F.size("hashes") > 0)
-    n = F.size("hashes")
-    partition = F.ceil(F.log2(n))
+    item_rows = items.filter("item_id is not null").select("item_id", F.xxhash64(F.col("text").cast("string")).alias("row"), _hashes(F.col("text"), words).alias("hashes"), _shingles(F.col("text"), words).alias("item_shingles"))
+    item_rows = cut(item_rows.filter(F.size("hashes") > 0).dropDuplicates(["item_id", "row"]))
+    each = item_rows.select("item_id", "row", F.explode("hashes").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "h").groupBy("item_id", "row").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("ranked"))
+    n = F.size("ranked")
+    partition = F.ceil(F.log2(n))  # of sizes up to 2^partition
     missed = F.floor(n * (100 - percent) / 100).cast("int")
     most_missed = F.floor(F.pow(F.lit(2.0), partition) * (100 - percent) / 100).cast("int")
     k = F.least(n, most_missed + 1)
-    # the least hashes are those of an order that is not the documents' own
-    sketch = item_rows.select("item_id", n.alias("n_item"), (k - missed).alias("needed"), F.explode(F.slice("hashes", F.lit(1), k)).alias("h"))
-    sketch = cut(sketch)
+    least = F.ceil((F.pow(F.lit(2.0), partition - 1) + 1) * percent / 100).cast("int")  # shingles that a document needs for the partition
+    sketch = cut(ranked.select("item_id", F.when(n > 1, least).otherwise(1).alias("least"), (k - missed).alias("needed"), F.explode(F.slice("ranked", F.lit(1), k)).alias("r")).select("item_id", "least", "needed", "r.h"))
     top = sketch.agg(F.max("h")).first()[0]
     if top is None:
         return docs.join(items, F.lit(False)).select("doc_id", "item_id", F.lit(0).alias("n_shared"), F.lit(0).alias("n_item"))
     texts = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("string"))
-    probes = texts.select("doc_id", F.explode(F.filter(_hashes(F.col("text"), words), lambda h: h <= top)).alias("h"))
-    hits = probes.join(broadcast_if_small(sketch, SKETCH_ROWS_A_BROADCAST), "h")
+    probes = texts.select("doc_id", _hashes(F.col("text"), words).alias("hashes"))
+    probes = probes.select("doc_id", F.size("hashes").alias("holds"), F.explode(F.filter("hashes", lambda h: h <= top)).alias("h"))
+    hits = probes.join(broadcast_if_small(sketch, SKETCH_ROWS_A_BROADCAST), "h").filter("holds >= least")
     hits = hits.groupBy("doc_id", "item_id", "needed").agg(F.count("*").alias("hits")).filter("hits >= needed").select("doc_id", "item_id")
-    candidates = cut(hits, rows=0)
+    candidates = cut(hits.distinct())
     pairs = texts.join(broadcast_if_small(candidates, CANDIDATES_A_BROADCAST), "doc_id")
     pairs = pairs.join(item_rows.select("item_id", "item_shingles"), "item_id")
     shared = F.size(F.array_intersect("item_shingles", _shingles(F.col("text"), words)))
@@ -85,7 +90,7 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent:
 
 def decontaminated(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that hold no item; rows with a null doc_id stay."""
-    found = cut(contained_items(docs, items, words, percent).select("doc_id").distinct(), rows=0)
+    found = cut(contained_items(docs, items, words, percent).select("doc_id").distinct())
     return docs.join(broadcast_if_small(found, CANDIDATES_A_BROADCAST), "doc_id", "left_anti").select(docs.columns)
 
 
