@@ -192,6 +192,55 @@ def test_vectors_are_exact_within_a_hot_group_of_copies(spark):
         assert np.allclose([s for _, s in near], d[best], rtol=1e-12, atol=0)
 
 
+def brute_nearest(ids, x, q, k=10):
+    d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+    d[ids == ids[q]] = np.inf
+    return ids[np.lexsort((ids, d))[:k]].tolist()
+
+
+def test_a_repeated_query_is_asked_once(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 8))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = vectors.nearest(spark.createDataFrame([*rows, rows[0], rows[0], (100, rows[3][1])], "vec_id bigint, embedding array<double>")).orderBy("query_id", "rank").collect()
+    assert [r["rank"] for r in got if r["query_id"] == 0] == list(range(1, 11)) and len(got) == 30
+    assert len({r["vec_id"] for r in got if r["query_id"] == 0}) == 10 or any(r["vec_id"] == 100 for r in got)
+    clash = spark.createDataFrame([(0, [1.0, 0.0], 5, "x"), (1, [1.0, 1.0], 6, "y")], "vec_id bigint, embedding array<double>, list int, code string")
+    assert [tuple(r) for r in vectors.nearest(clash).collect()] == [(0, 1, 1, 1.0)]
+
+
+@pytest.mark.parametrize("spread", [None, 0.3])
+def test_lists_keep_the_recall(spark, monkeypatch, spread):
+    """40 lists and several passes: random vectors, and clusters with a hot group of copies."""
+    monkeypatch.setattr(vectors, "LIST_ROWS", 100)
+    monkeypatch.setattr(vectors, "QUERIES_A_PASS", 20)
+    monkeypatch.setattr(vectors, "PASSES_A_TABLE", 2)
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((4000, 16))
+    if spread:
+        x = rng.standard_normal((60, 16))[rng.integers(0, 60, 4000)] + spread * x
+        x[:1300] = x[0]
+    ids = rng.permutation(4000)
+    rows = [(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)]
+    got = {}
+    for r in vectors.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = {int(ids[q]): brute_nearest(ids, x, q) for q in np.flatnonzero(ids % 100 == 0)}
+    assert set(got) == set(want)
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) / (10 * len(want)) >= 0.95
+
+
+@there
+def test_recall_on_the_embeddings_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.orderBy("vec_id").collect()
+    ids, x = np.asarray([r["vec_id"] for r in rows]), np.asarray([r["embedding"] for r in rows], dtype=float)
+    got = {}
+    for r in vectors.nearest(table).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {int(ids[q]): brute_nearest(ids, x, q) for q in np.flatnonzero(ids % 100 == 0)}
+
+
 def test_score_aware_coding_lowers_the_parallel_residual():
     x = np.random.default_rng(1).standard_normal((2000, 16))
     book = vectors.fit(x)
