@@ -76,8 +76,9 @@ def contained_items(docs: DataFrame, items: DataFrame, words: int = 5, percent:
     if top is None:
         return docs.join(items, F.lit(False)).select("doc_id", "item_id", F.lit(0).alias("n_shared"), F.lit(0).alias("n_item"))
     texts = docs.filter("doc_id is not null").select("doc_id", F.col("text").cast("string"))
-    probes = texts.select("doc_id", _hashes(F.col("text"), words).alias("hashes"))
-    probes = probes.select("doc_id", F.size("hashes").alias("holds"), F.explode(F.filter("hashes", lambda h: h <= top)).alias("h"))
+    # one expression makes hashes and their number, so that no rule has them computed twice
+    probe = F.transform(F.array(_hashes(F.col("text"), words)), lambda held: F.transform(F.filter(held, lambda h: h <= top), lambda h: F.struct(h.alias("h"), F.size(held).alias("holds"))))
+    probes = texts.select("doc_id", F.explode(F.element_at(probe, 1)).alias("probe")).select("doc_id", "probe.h", "probe.holds")
     hits = probes.join(broadcast_if_small(sketch, SKETCH_ROWS_A_BROADCAST), "h").filter("holds >= least")
     hits = hits.groupBy("doc_id", "item_id", "needed").agg(F.count("*").alias("hits")).filter("hits >= needed").select("doc_id", "item_id")
     candidates = cut(hits.distinct())
