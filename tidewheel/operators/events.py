@@ -8,16 +8,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BUCKET_US = 3_600_000_000  # an hour: rows of a campaign are ordered within such buckets, and only their ends across them
+BUCKET = "_bucket"
+
+
+def bucketed(rows: DataFrame, t: str = "t", unit: int = BUCKET_US) -> DataFrame:
+    return rows.withColumn(BUCKET, F.floor(F.col(t) / unit))
+
+
+def carried(rows: DataFrame, by: Sequence[str], kept: Column, order: Sequence[Column]) -> DataFrame:
+    """Joins to each row `_carried`: the last non-null `kept`, by `order`, of all earlier buckets of its group.
+
+    What crosses buckets is one row for each of them, so a group with any number of
+    rows is ordered in as many tasks as it has buckets.
+    """
+    ends = rows.groupBy(*by, BUCKET).agg(F.max_by(kept, F.when(kept.isNotNull(), F.struct(*order))).alias("_last"))
+    earlier = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(ends.select(*by, BUCKET, F.last("_last", ignorenulls=True).over(earlier).alias("_carried")), [*by, BUCKET])
+
+
+def running_totals(rows: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Adds `upto_<column>`: the sum of each column up to and with the row, over buckets and `order`."""
+    sums = rows.groupBy(*by, BUCKET).agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    earlier = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*by, BUCKET, *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in columns])
+    own = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.join(offsets, [*by, BUCKET])
+    return joined.withColumns({f"upto_{c}": F.sum(c).over(own) + F.col(f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+
+
+def _with_previous(events: DataFrame, by: Sequence[str], t: str, tie: str) -> DataFrame:
+    """Adds `_previous`: the time of the event before in the group."""
+    own = Window.partitionBy(*by, BUCKET).orderBy(t, tie)
+    rows = carried(bucketed(events, t), by, F.col(t), [F.col(t), F.col(tie)])
+    return rows.withColumn("_previous", F.coalesce(F.lag(t).over(own), F.col("_carried"))).drop("_carried")
+
+
 def waiting_times(events: DataFrame, by: Sequence[str], t: str = "t", tie: str = "event_id") -> DataFrame:
     """Adds `gap`: the time since the event before in the group (null for the first)."""
-    return events.withColumn("gap", F.col(t) - F.lag(t).over(Window.partitionBy(*by).orderBy(t, tie)))
+    return _with_previous(events, by, t, tie).withColumn("gap", F.col(t) - F.col("_previous")).drop("_previous", BUCKET)
 
 
 def merge_gaps(events: DataFrame, by: Sequence[str], gap: int, t: str = "t", weight: str = "w", ident: str = "event_id") -> DataFrame:
     """Merges events less than `gap` after the one before; the brightest, and of those the first, stands for its group."""
-    order = Window.partitionBy(*by).orderBy(t, ident)
-    rows = events.withColumn("opens", F.when(F.col(t) - F.lag(t).over(order) < gap, 0).otherwise(1))
-    rows = rows.withColumn("grp", F.sum("opens").over(order))
+    rows = _with_previous(events, by, t, ident).withColumn("opens", F.when(F.col(t) - F.col("_previous") < gap, 0).otherwise(1))
+    rows = running_totals(rows, by, [t, ident], ["opens"]).withColumnRenamed("upto_opens", "grp")
     brightest = F.max(F.struct(F.col(weight).alias("w"), (-F.col(t)).alias("nt"), (-F.col(ident)).alias("ni")))
     merged = rows.groupBy(*by, "grp").agg(brightest.alias("b"), F.count("*").alias("n_merged"))
     return merged.select(*by, "grp", (-F.col("b.ni")).alias(ident), (-F.col("b.nt")).alias(t), F.col("b.w").alias(weight), "n_merged")
@@ -39,15 +74,22 @@ def latest_by_key(rows: DataFrame, key: Sequence[str], order: Sequence[str]) ->
 def margins(events: DataFrame, windows: DataFrame, tolerance: int, by: str = "campaign") -> DataFrame:
     """Each event's greatest signed distance inside a window of its campaign, whether it is inside, and whether within `tolerance`.
 
-    Windows may overlap.  A campaign has few windows, so they are joined on it
-    whole; the events keep their partitioning when Spark broadcasts the windows.
+    Windows may overlap.  A campaign's windows, which the calendar bounds, are one
+    array, and an event's margin is a maximum over it: events are neither multiplied
+    nor shuffled for it.
     """
-    joined = events.join(windows.select(by, "a", "b"), by, "left")
-    margin = F.max(F.least(F.col("t") - F.col("a"), F.col("b") - F.col("t")))
-    rows = joined.groupBy(by, "event_id", "t").agg(margin.alias("margin"))
+    spans = windows.groupBy(by).agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
+    margin = F.array_max(F.transform("_spans", lambda w: F.least(F.col("t") - w["a"], w["b"] - F.col("t"))))
+    rows = events.join(spans, by, "left").select(by, "event_id", "t", margin.alias("margin"))
     return rows.withColumn("inside", F.coalesce(F.col("margin") >= 0, F.lit(False))).withColumn("near", F.coalesce(F.col("margin") >= -tolerance, F.lit(False)))
 
 
+def containment_stats(judged: DataFrame, by: str = "campaign") -> DataFrame:
+    """Of the rows of `margins`, by campaign: events, those inside, near and neither, the furthest outside and the least margin inside."""
+    outside = F.when(~F.col("inside"), -F.col("margin"))
+    return judged.groupBy(by).agg(F.count("*").alias("n_events"), F.count_if("inside").alias("n_inside"), F.count_if("near").alias("n_near"), F.count_if(~F.col("near")).alias("n_outside"), F.max(outside).alias("most_outside"), F.min(F.when(F.col("inside"), F.col("margin"))).alias("least_margin"))
+
+
 def assign(events: DataFrame, windows: DataFrame, by: str = "campaign", unit: int = 86_400_000_000) -> DataFrame:
     """Pairs of event and half-open window [a, b) that holds it, by an equi-join on the days that a window touches."""
     dealt = windows.withColumn("day", F.explode(F.sequence(F.floor(F.col("a") / unit), F.floor((F.col("b") - 1) / unit))))
@@ -57,9 +99,10 @@ def assign(events: DataFrame, windows: DataFrame, by: str = "campaign", unit: in
 def as_of(events: DataFrame, windows: DataFrame, by: str = "campaign") -> DataFrame:
     """The window that began last at or before each event, by one union and one window pass; null if none did."""
     starts = windows.select(by, F.col("a").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("event_id"), F.struct("session", "a", "b").alias("s"))
-    both = starts.unionByName(events.select(by, "t", F.lit(1).alias("kind"), "event_id", F.lit(None).cast(starts.schema["s"].dataType).alias("s")))
-    order = Window.partitionBy(by).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("s", F.last("s", ignorenulls=True).over(order)).filter("kind = 1")
+    both = bucketed(starts.unionByName(events.select(by, "t", F.lit(1).alias("kind"), "event_id", F.lit(None).cast(starts.schema["s"].dataType).alias("s"))))
+    order = Window.partitionBy(by, BUCKET).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = carried(both, [by], F.col("s"), [F.col("t"), F.col("kind")])
+    found = found.withColumn("s", F.coalesce(F.last("s", ignorenulls=True).over(order), F.col("_carried"))).filter("kind = 1")
     return found.select(by, "event_id", "t", F.col("s.session").alias("session"), (F.col("t") < F.col("s.b")).alias("inside"))
 
 
@@ -73,7 +116,8 @@ def precedence_merge(layers: Sequence[DataFrame], by: str = "campaign") -> DataF
     return kept
 
 
-def forward_fill(rows: DataFrame, column: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Replaces nulls of `column` by the last value before in the group."""
-    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(column, F.last(column, ignorenulls=True).over(window))
+def forward_fill(rows: DataFrame, column: str, by: Sequence[str], order: Sequence[str], unit: int = BUCKET_US) -> DataFrame:
+    """Replaces nulls of `column` by the last value before in the group; the first of `order` is a number, dealt to buckets of `unit`."""
+    window = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = carried(bucketed(rows, order[0], unit), by, F.col(column), [F.col(c) for c in order])
+    return filled.withColumn(column, F.coalesce(F.last(column, ignorenulls=True).over(window), F.col("_carried"))).drop("_carried", BUCKET)

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions import likelihood, timeaxis
-from tidewheel.operators import alias, kernel, renewal
+from tidewheel.operators import alias, calibration, kernel, renewal
+from tidewheel.operators import events as ops
 from tidewheel.operators import lattice as lat
 from tidewheel.plans import frames, phases
 from tidewheel.plans.frames import EVENTS_SQL, OBSERVED_SQL, WINDOWS_SQL, pos_mod
@@ -258,13 +259,16 @@ def fap_collate(spark: SparkSession, d: str) -> DataFrame:
 )
 def ks_two_sample_d(spark: SparkSession, d: str) -> DataFrame:
     """Largest distance between the distributions of the first and the second half, ties taken together."""
-    own = Window.partitionBy("family")
     rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("family"), "value", "event_id")
-    half = F.call_function("div", F.count("*").over(own), F.lit(2))
-    rows = rows.withColumn("first", (F.row_number().over(own.orderBy("event_id")) <= half).cast("bigint"))
-    steps = rows.groupBy("family", "value").agg(F.sum("first").alias("n1"), (F.count("*") - F.sum("first")).alias("n2"))
-    gap = F.abs(F.sum("n1").over(own.orderBy("value")) / F.sum("n1").over(own) - F.sum("n2").over(own.orderBy("value")) / F.sum("n2").over(own))
-    return steps.withColumn("gap", gap).groupBy("family").agg(F.round(F.max("gap"), 9).alias("d"))
+    rows = rows.withColumns({ops.BUCKET: F.call_function("div", F.col("event_id"), F.lit(4096)), "one": F.lit(1)})
+    half = rows.groupBy("family").agg(F.call_function("div", F.count("*"), F.lit(2)).alias("half"))
+    ranked = ops.running_totals(rows, ["family"], ["event_id"], ["one"]).join(half, "family").withColumn("first", (F.col("upto_one") <= F.col("half")).cast("bigint"))
+    steps = ranked.groupBy("family", "value").agg(F.sum("first").alias("n1"), (F.count("*") - F.sum("first")).alias("n2"))
+    steps = steps.withColumn(ops.BUCKET, F.floor("value"))
+    totals = steps.groupBy("family").agg(F.sum("n1").alias("all1"), F.sum("n2").alias("all2"))
+    upto = ops.running_totals(steps, ["family"], ["value"], ["n1", "n2"]).join(totals, "family")
+    gap = F.abs(F.col("upto_n1") / F.col("all1") - F.col("upto_n2") / F.col("all2"))
+    return upto.groupBy("family").agg(F.round(F.max(gap), 9).alias("d"))
 
 
 _H = frames.HOUR_US

@@ -117,11 +117,22 @@ def fold_exposure(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {EVENTS_SQL}, f AS (SELECT campaign, event_id, {pos_mod('t', str(FOLD))} AS x, 1 AS real FROM ev), twice AS (SELECT * FROM f UNION ALL SELECT campaign, event_id, x + {FOLD}, 0 FROM f), c AS (SELECT *, count(*) OVER (PARTITION BY campaign ORDER BY x RANGE BETWEEN CURRENT ROW AND {HOUR_US - 1} FOLLOWING) AS n_next FROM twice) SELECT campaign, event_id, n_next FROM c WHERE real = 1")
 def sliding_phase_count(spark: SparkSession, d: str) -> DataFrame:
-    """Events within an hour of phase from each event on, round the circle: a range frame over the phases and their copies one turn on."""
-    folded = frames.events(spark, d).select("campaign", "event_id", F.pmod("t", F.lit(FOLD)).alias("x"), F.lit(1).alias("real"))
-    both = folded.unionByName(folded.select("campaign", "event_id", (F.col("x") + FOLD).alias("x"), F.lit(0).alias("real")))
-    ahead = Window.partitionBy("campaign").orderBy("x").rangeBetween(0, HOUR_US - 1)
-    return both.withColumn("n_next", F.count("*").over(ahead)).filter("real = 1").select("campaign", "event_id", "n_next")
+    """Events within an hour of phase from each event on, round the circle.
+
+    The circle is dealt into minutes of phase.  An hour from a place in one minute
+    ends at the same place of the minute 60 further on, so the count is that of 60
+    whole minutes, less the events before the place in the first, plus those before
+    it in the last: each event is ranked in two minutes, and no task holds more.
+    """
+    minute, n = HOUR_US // 60, FOLD // (HOUR_US // 60)
+    x = F.pmod("t", F.lit(FOLD))
+    folded = frames.events(spark, d).select("campaign", "event_id", F.call_function("div", x, F.lit(minute)).alias("m"), (x % minute).alias("at"))
+    counts = folded.groupBy("campaign", "m").agg(F.count("*").alias("c"))
+    ahead = counts.withColumn("m", F.explode(F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: F.pmod(F.col("m") - k, F.lit(n))))).groupBy("campaign", "m").agg(F.sum("c").alias("whole"))
+    both = folded.withColumn("real", F.lit(1)).unionByName(folded.withColumns({"m": F.pmod(F.col("m") - 60, F.lit(n)), "real": F.lit(0)}))
+    before = Window.partitionBy("campaign", "m").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    ranked = both.withColumns({"own": F.coalesce(F.sum("real").over(before), F.lit(0)), "all": F.count("*").over(before)}).filter("real = 1")
+    return ranked.join(ahead, ["campaign", "m"]).select("campaign", "event_id", (F.col("whole") - F.col("own") + F.col("all") - F.col("own")).alias("n_next"))
 
 
 _P_MIN, _SIGMA_DAY = 1 / 24, 60.0 / 86400
