@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,3 +55,16 @@ def negative_binomial(n: Column, width: Column, alpha: Column, beta: Column) ->
     """Log-likelihood of n events in a session of `width` under a gamma-mixed rate; the n! of count and arrangement cancel."""
     p = beta * width / (1 + beta * width)
     return lgamma(n + alpha) - lgamma(alpha) + alpha * F.log(1 - p) + F.when(n == 0, F.lit(0.0)).otherwise(n * F.log(p) - n * F.log(width))
+
+
+TERMS = 120  # of the series and the continued fraction
+
+
+def gamma_upper(s: float, x: Column) -> Column:
+    """The regularised upper incomplete gamma function of a fixed s: a series below s + 1, a continued fraction above, both from the last term up."""
+    steps = F.sequence(F.lit(TERMS), F.lit(1), F.lit(-1))
+    front = F.exp(s * F.log(F.greatest(x, F.lit(1e-300))) - x)
+    series = F.aggregate(steps, F.lit(1.0), lambda acc, n: 1 + x / (n + s) * acc)
+    fraction = F.aggregate(steps, x + (2 * TERMS + 1 - s), lambda acc, n: x + (2 * n - 1 - s) - n * (n - s) / acc)
+    below = 1 - front * series / math.gamma(s + 1)
+    return F.when(x <= 0, 1.0).when(x < s + 1, below).otherwise(front / fraction / math.gamma(s))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -55,15 +56,45 @@ def _rates(spark: SparkSession, d: str) -> DataFrame:
 )
 def m4_ll_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Weibull renewal at a fixed shape over the sessions that have events."""
+    rows = _weibull_terms(frames.observed(spark, d).join(_rates(spark, d), "campaign"))
+    return rows.groupBy("campaign").agg(F.count_distinct("session").alias("n_sessions"), F.round(F.sum("ll"), 4).alias("ll"))
+
+
+def _weibull_terms(rows: DataFrame) -> DataFrame:
+    """campaign, session and each event's part `ll` of the renewal likelihood; a session starts anew."""
     order = Window.partitionBy("campaign", "session").orderBy("t", "event_id")
-    rows = frames.observed(spark, d).join(_rates(spark, d), "campaign").withColumn("pace", F.col("rate") * _GAMMA)
-    rows = rows.withColumns({"before": F.lag("t").over(order), "after": F.lead("t").over(order)})
+    rows = rows.withColumn("pace", F.col("rate") * _GAMMA).withColumns({"before": F.lag("t").over(order), "after": F.lead("t").over(order)})
     shape, pace, least = F.lit(SHAPE), F.col("pace"), F.lit(renewal.SHORTEST_GAP)
     gap, first, tail = F.greatest(_day(F.col("t") - F.col("before")), least), F.greatest(_day(F.col("t") - F.col("a")), least), F.greatest(_day(F.col("b") - F.col("t")), least)
     opening = F.log("rate") + likelihood.weibull_log_survival(first, shape, pace)
     term = F.when(F.col("before").isNull(), opening).otherwise(likelihood.weibull_log_density(gap, shape, pace))
     closing = F.when(F.col("after").isNull(), likelihood.weibull_log_survival(tail, shape, pace)).otherwise(0.0)
-    return rows.groupBy("campaign").agg(F.count_distinct("session").alias("n_sessions"), F.round(F.sum(term + closing), 4).alias("ll"))
+    return rows.select("campaign", "session", (term + closing).alias("ll"))
+
+
+_S = 1 / SHAPE
+_UPPER_SQL = (
+    f"CASE WHEN x < {_S + 1!r}::DOUBLE THEN 1 - exp({_S!r}::DOUBLE * ln(greatest(x, 1e-300)) - x) / {math.gamma(_S + 1)!r}::DOUBLE * list_reduce(list_prepend(1.0::DOUBLE, [n::DOUBLE FOR n IN range({likelihood.TERMS}, 0, -1)]), lambda acc, n: 1 + x / (n + {_S!r}::DOUBLE) * acc) "
+    f"ELSE exp({_S!r}::DOUBLE * ln(x) - x) / {math.gamma(_S)!r}::DOUBLE / list_reduce(list_prepend(x + {2 * likelihood.TERMS + 1 - _S!r}::DOUBLE, [n::DOUBLE FOR n IN range({likelihood.TERMS}, 0, -1)]), lambda acc, n: x + (2 * n - 1 - {_S!r}::DOUBLE) - n * (n - {_S!r}::DOUBLE) / acc) END"
+)
+_M4_SQL = (
+    f"SELECT campaign, n_sessions, round(coalesce(held.ll, 0) + coalesce(bare, 0), 4) AS ll FROM (SELECT win.campaign, count(*) AS n_sessions FROM win GROUP BY 1) n LEFT JOIN ({SQL['m4_ll_sessions'].replace('round(sum(', '(sum(').replace(', 4) AS ll', ') AS ll').replace('SELECT campaign, count(DISTINCT session) AS n_sessions,', 'SELECT campaign,')}) held USING (campaign) "
+    f"LEFT JOIN (SELECT campaign, sum(ln(greatest({_UPPER_SQL}, 1e-300))) AS bare FROM (SELECT win.campaign, power((b - a) / {DAY} * rate * {_GAMMA!r}::DOUBLE, {SHAPE}) AS x FROM win JOIN rt USING (campaign) WHERE NOT EXISTS (SELECT 1 FROM ob WHERE ob.campaign = win.campaign AND ob.session = win.session)) GROUP BY 1) e USING (campaign)"
+)
+
+
+@query(f"WITH {OBSERVED_SQL}, {_RATE_SQL} {_M4_SQL}")
+def m4_ll(spark: SparkSession, d: str) -> DataFrame:
+    """Weibull renewal at a fixed shape over all sessions; one without events has the chance of a wait at least as long."""
+    rates = _rates(spark, d)
+    held = _weibull_terms(frames.observed(spark, d).join(rates, "campaign"))
+    windows = frames.windows(spark, d)
+    empty = windows.join(frames.observed(spark, d).select("campaign", "session").distinct(), ["campaign", "session"], "left_anti").join(rates, "campaign")
+    wait = F.pow(_day(F.col("b") - F.col("a")) * F.col("rate") * _GAMMA, F.lit(SHAPE))
+    bare = empty.select("campaign", F.log(F.greatest(likelihood.gamma_upper(1 / SHAPE, wait), F.lit(renewal.FLOOR))).alias("ll"))
+    ll = held.select("campaign", "ll").unionByName(bare).groupBy("campaign").agg(F.sum("ll").alias("ll"))
+    counts = windows.groupBy("campaign").agg(F.count("*").alias("n_sessions"))
+    return counts.join(ll, "campaign", "left").select("campaign", "n_sessions", F.round(F.coalesce("ll", F.lit(0.0)), 4).alias("ll"))
 
 
 _M5_SQL = (
@@ -87,19 +118,29 @@ def _model_sql(name: str, column: str) -> str:
 
 
 _LAMBDA_SQL = (
-    "SELECT campaign, m0, m1, m2, m3, m5, round(2 * (greatest(m2, m3) - greatest(m0, m1, m5)), 3) AS lam FROM "
-    + " JOIN ".join(f"{_model_sql(name, column)} {column}_t" + (" USING (campaign)" if i else "") for i, (name, column) in enumerate((("m0_ll", "m0"), ("m1_scan", "m1"), ("m2_scan", "m2"), ("m3_scan", "m3"), ("m5_ll", "m5"))))
+    "SELECT campaign, m0, m1, m2, m3, m4, m5, round(2 * (greatest(m2, m3) - greatest(m0, m1, m4, m5)), 3) AS lam FROM "
+    + " JOIN ".join(f"{_model_sql(name, column)} {column}_t" + (" USING (campaign)" if i else "") for i, (name, column) in enumerate((("m0_ll", "m0"), ("m1_scan", "m1"), ("m2_scan", "m2"), ("m3_scan", "m3"), ("m4_ll", "m4"), ("m5_ll", "m5"))))
 )
 
 
+def _visit_models(spark: SparkSession, d: str) -> DataFrame:
+    """campaign, m1, m2 and m3: the three lattices are one union, so events and sessions are read, folded and counted once."""
+    apart = 1_000  # period numbers of the activity windows, beyond those of the visits
+    columns = [*lat.KEY, "period_us", "h", "n_t0", "visits"]
+    rows = reduce(DataFrame.unionByName, (phases._single(spark, d).select(columns), phases._pairs(spark, d).select(columns), phases._activity(spark, d).withColumn("period_id", F.col("period_id") + apart).select(columns)))
+    model = F.when(F.col("period_id") >= apart, "m1").when(F.col("tau_id") < 0, "m2").otherwise("m3")
+    best = phases._cells(spark, d, rows).filter(~F.isnan("ll")).groupBy("campaign").agg(*[F.max(F.when(model == m, F.col("ll"))).alias(m) for m in ("m1", "m2", "m3")])
+    return best
+
+
 @query(_LAMBDA_SQL)
 def lambda_stat(spark: SparkSession, d: str) -> DataFrame:
-    """Twice the gain of the best visit model over the best natural one (the renewal model enters lambda_full)."""
-    lls = [f(spark, d).select("campaign", F.col("ll").alias(name)) for name, f in (("m0", phases.m0_ll), ("m1", phases.m1_scan), ("m2", phases.m2_scan), ("m3", phases.m3_scan), ("m5", m5_ll))]
-    rows = lls[0]
-    for other in lls[1:]:
-        rows = rows.join(other, "campaign")
-    return rows.withColumn("lam", F.round(2 * (F.greatest("m2", "m3") - F.greatest("m0", "m1", "m5")), 3))
+    """Twice the gain of the best visit model over the best natural one, the session models at fixed shapes (lambda_full fits them)."""
+    rows = _visit_models(spark, d)
+    for name, f in (("m0", phases.m0_ll), ("m4", m4_ll), ("m5", m5_ll)):
+        rows = rows.join(f(spark, d).select("campaign", F.col("ll").alias(name)), "campaign")
+    rows = rows.select("campaign", "m0", "m1", "m2", "m3", "m4", "m5")
+    return rows.withColumn("lam", F.round(2 * (F.greatest("m2", "m3") - F.greatest("m0", "m1", "m4", "m5")), 3))
 
 
 @query(f"SELECT max(lam) AS lam, arg_max(campaign, lam) AS campaign FROM ({_LAMBDA_SQL})")
