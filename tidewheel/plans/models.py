@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.functions import likelihood, timeaxis
+from tidewheel.functions import likelihood, special, timeaxis
 from tidewheel.operators import alias, calibration, kernel, renewal
 from tidewheel.operators import events as ops
 from tidewheel.operators import lattice as lat
@@ -344,135 +344,238 @@ def complete_sims_only(spark: SparkSession, d: str) -> DataFrame:
 # --- kernels: no SQL form; tested against direct computation -----------------
 
 
-def _arrays(spark: SparkSession, d: str) -> DataFrame:
-    """One row a campaign: sorted event days, and its sessions' starts and ends in days."""
-    t = frames.observed(spark, d).groupBy("campaign").agg(F.array_sort(F.collect_list(_day(F.col("t")))).alias("t"))
-    w = frames.windows(spark, d).groupBy("campaign").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("w"))
-    days = F.transform("w", lambda x: F.struct(_day(x["a"]).alias("a"), _day(x["b"]).alias("b")))
-    return w.join(t, "campaign", "left").select("campaign", F.coalesce("t", F.array().cast("array<double>")).alias("t"), days["a"].alias("a"), days["b"].alias("b"))
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
+    """One row a campaign: its sessions' starts, ends (days) and numbers of events, which the calendar bounds, and its place by name."""
+    n = frames.observed(spark, d).groupBy("campaign", "session").agg(F.count("*").alias("n"))
+    rows = frames.windows(spark, d).join(n, ["campaign", "session"], "left")
+    spans = rows.groupBy("campaign").agg(F.array_sort(F.collect_list(F.struct("a", "b", F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
+    days = F.transform("w", lambda x: F.struct(_day(x["a"]).alias("a"), _day(x["b"]).alias("b"), x["n"].alias("n")))
+    place = F.row_number().over(Window.orderBy("campaign")) - 1
+    return spans.select("campaign", days["a"].alias("a"), days["b"].alias("b"), F.col("w.n").alias("n"), place.alias("place"))
 
 
-FAMILY_IDS = {"m0": 0, "m1": 1, "m4": 2, "m5": 3}
 SIMS = 20
 
 
 def _simulated(spark: SparkSession, d: str, family: str) -> DataFrame:
     """campaign, sim, n_events, first and last day of seeded streams; the seed is the key, so partitions don't matter."""
-    order = sorted(r["campaign"] for r in frames.campaigns(spark, d).select("campaign").collect())
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples():
-                a, b, t = np.asarray(row.a), np.asarray(row.b), np.asarray(row.t)
-                rng = np.random.default_rng([20260811, FAMILY_IDS[family], order.index(row.campaign), row.sim])
-                rate = max(len(t), 1) / float(np.sum(b - a))
-                if family == "m0":
+                a, b, n = np.asarray(row.a), np.asarray(row.b), int(np.sum(row.n))
+                rng = np.random.default_rng([calibration.SEED, calibration.FAMILY_IDS[family], row.place, row.sim])
+                rate = max(n, 1) / float(np.sum(b - a))
+                if family == "M0":
                     s = renewal.simulate_homogeneous(rng, rate, a, b)
-                elif family == "m1":
+                elif family == "M1":
                     s = renewal.simulate_two_rate(rng, 2 * rate, 0.5 * rate, 5.0, 2.0, float(a[0]), a, b)
-                elif family == "m4":
+                elif family == "M4":
                     s = renewal.simulate_weibull(rng, SHAPE, rate, a, b)
                 else:
                     s = renewal.simulate_gamma_mixed(rng, ALPHA, rate / ALPHA, a, b)
                 out.append((row.campaign, row.sim, len(s), float(s[0]) if len(s) else None, float(s[-1]) if len(s) else None))
             yield pd.DataFrame(out, columns=["campaign", "sim", "n_events", "first_day", "last_day"])
 
-    keys = _arrays(spark, d).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(SIMS - 1)))).repartition("campaign", "sim")
+    keys = _sessions(spark, d).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(SIMS - 1)))).repartition("campaign", "sim")
     return keys.mapInPandas(draw, "campaign string, sim int, n_events bigint, first_day double, last_day double")
 
 
 @query()
 def simulate_m0(spark: SparkSession, d: str) -> DataFrame:
-    return _simulated(spark, d, "m0")
+    return _simulated(spark, d, "M0")
 
 
 @query()
 def simulate_m1(spark: SparkSession, d: str) -> DataFrame:
-    return _simulated(spark, d, "m1")
+    return _simulated(spark, d, "M1")
 
 
 @query()
 def simulate_m4(spark: SparkSession, d: str) -> DataFrame:
-    return _simulated(spark, d, "m4")
+    return _simulated(spark, d, "M4")
 
 
 @query()
 def simulate_m5(spark: SparkSession, d: str) -> DataFrame:
-    return _simulated(spark, d, "m5")
+    return _simulated(spark, d, "M5")
+
+
+def _waits(spark: SparkSession, d: str) -> DataFrame:
+    """campaign, wait (days) and whether it lies between two events, for each wait within a session."""
+    order = Window.partitionBy("campaign", "session").orderBy("t", "event_id")
+    rows = frames.observed(spark, d).withColumns({"before": F.lag("t").over(order), "after": F.lead("t").over(order)})
+    between = F.struct((F.col("t") - F.coalesce("before", "a")).alias("us"), F.col("before").isNotNull().alias("inner"))
+    tail = F.when(F.col("after").isNull(), F.struct((F.col("b") - F.col("t")).alias("us"), F.lit(False).alias("inner")))
+    waits = rows.select("campaign", F.explode(F.array_compact(F.array(between, tail))).alias("x"))
+    return waits.select("campaign", F.greatest(_day(F.col("x.us")), F.lit(renewal.SHORTEST_GAP)).alias("wait"), F.col("x.inner").alias("inner"))
+
+
+LADDER, LADDER_ROUNDS = 24, 4
+
+
+def _at_shapes(waits: DataFrame, sessions: DataFrame, shapes: DataFrame) -> DataFrame:
+    """The sums of `renewal.Waits` for each of a campaign's `LADDER` shapes: one map-side-combined aggregate over its waits."""
+    rows = waits.join(shapes.select("campaign", "shapes"), "campaign")
+    log = F.log("wait")
+    powers = F.array(*[F.sum(F.exp(F.element_at("shapes", i + 1) * log)) for i in range(LADDER)])
+    sums = rows.groupBy("campaign").agg(F.count_if("inner").alias("gaps"), F.sum(F.when(F.col("inner"), log)).alias("log_gaps"), powers.alias("powers"))
+    return sessions.join(shapes, "campaign").join(sums, "campaign", "left")
+
+
+def _sums(row, i: int) -> renewal.Waits:
+    n, w = np.asarray(row.n), np.asarray(row.b) - np.asarray(row.a)
+    some = row.powers is not None
+    return renewal.Waits(float(np.sum(n > 0)), float(row.gaps or 0) if some else 0.0, float(row.log_gaps or 0) if some and row.gaps else 0.0, float(row.powers[i]) if some else 0.0, w[n == 0])
+
+
+def _profiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The best of a campaign's shapes with its rate, and the shapes between its neighbours for the next round."""
+    for batch in batches:
+        out = []
+        for row in batch.itertuples():
+            live = float(np.sum(np.asarray(row.b) - np.asarray(row.a)))
+            found = [_sums(row, i).best_rate(k, max(1, np.sum(row.n)) / live) for i, k in enumerate(row.shapes)]
+            i = int(np.argmax([ll for _, ll in found]))
+            low, high = row.shapes[max(0, i - 1)], row.shapes[min(LADDER - 1, i + 1)]
+            out.append((row.campaign, np.geomspace(low, high, LADDER), float(row.shapes[i]), *map(float, found[i])))
+        yield pd.DataFrame(out, columns=["campaign", "shapes", "p", "q", "ll"])
 
 
-def _fits(spark: SparkSession, d: str, family: str) -> DataFrame:
+def _weibull_fits(spark: SparkSession, d: str) -> DataFrame:
+    """campaign, shape p, rate q and ll of the renewal model: a ladder of shapes, refined about the best, with the rate worked out at each."""
+    waits, sessions = _waits(spark, d), _sessions(spark, d)
+    ladder = F.array(*[F.lit(float(k)) for k in np.geomspace(0.05, 5.0, LADDER)])
+    best = sessions.select("campaign", ladder.alias("shapes"))
+    for _ in range(LADDER_ROUNDS):
+        best = _at_shapes(waits, sessions, best.select("campaign", "shapes")).mapInPandas(_profiled, "campaign string, shapes array<double>, p double, q double, ll double")
+    return best.select("campaign", F.lit("M4").alias("family"), "p", "q", "ll")
+
+
+def _gamma_fits(spark: SparkSession, d: str) -> DataFrame:
+    """campaign, alpha p, beta q and ll of the gamma-mixed model, from the sessions' counts."""
+
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples():
-                t, a, b = np.asarray(row.t), np.asarray(row.a), np.asarray(row.b)
-                p, q, ll = renewal.fit_weibull(t, a, b) if family == "M4" else renewal.fit_gamma_mixed(t, a, b)
-                cov = renewal.laplace(family, [math.log(p), math.log(max(q, 1e-300))], t, a, b)
-                out.append((row.campaign, family, p, q, ll, cov.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["campaign", "family", "p", "q", "ll", "cov"])
+                n, w = np.asarray(row.n), np.asarray(row.b) - np.asarray(row.a)
+                out.append((row.campaign, "M5", *renewal.fit_gamma_counts(n, w, max(1, int(n.sum())) / float(w.sum()))))
+            yield pd.DataFrame(out, columns=["campaign", "family", "p", "q", "ll"])
 
-    return _arrays(spark, d).repartition("campaign").mapInPandas(fit, "campaign string, family string, p double, q double, ll double, cov array<double>")
+    return _sessions(spark, d).repartition("campaign").mapInPandas(fit, "campaign string, family string, p double, q double, ll double")
 
 
 @query()
 def fit_m4(spark: SparkSession, d: str) -> DataFrame:
-    return _fits(spark, d, "M4").drop("cov")
+    return _weibull_fits(spark, d)
 
 
 @query()
 def fit_m5(spark: SparkSession, d: str) -> DataFrame:
-    return _fits(spark, d, "M5").drop("cov")
+    return _gamma_fits(spark, d)
 
 
 @query()
 def laplace_covariance(spark: SparkSession, d: str) -> DataFrame:
-    """Covariances of the log parameters of both session models."""
-    return _fits(spark, d, "M4").unionByName(_fits(spark, d, "M5")).select("campaign", "family", "cov")
+    """Covariances of the log parameters of both session models, from sums at the shapes that the differences need."""
+    step = 0.02
+    sessions = _sessions(spark, d)
+    near = F.transform(F.sequence(F.lit(0), F.lit(LADDER - 1)), lambda i: F.col("p") * F.exp((F.least(i, F.lit(2)) - 1) * step))
+    m4 = _at_shapes(_waits(spark, d), sessions, _weibull_fits(spark, d).select("campaign", "p", "q", near.alias("shapes")))
+
+    def curve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples():
+                z, steps = np.log([row.p, max(row.q, 1e-300)]), np.full(2, step)
+                if row.family == "M4":
+                    held = [_sums(row, i) for i in range(3)]
+                    cost = lambda x, held=held, z=z: -held[1 + round((x[0] - z[0]) / step)].ll(math.exp(x[0]), math.exp(x[1]))
+                else:
+                    n, w = np.asarray(row.n), np.asarray(row.b) - np.asarray(row.a)
+                    cost = lambda x, n=n, w=w: -renewal.gamma_counts_ll(math.exp(x[0]), math.exp(x[1]), n, w)
+                out.append((row.campaign, row.family, special.laplace_covariance(special.hessian(cost, z, steps), steps).ravel()))
+            yield pd.DataFrame(out, columns=["campaign", "family", "cov"])
+
+    columns = ["campaign", "family", "p", "q", "a", "b", "n", "gaps", "log_gaps", "powers"]
+    m5 = sessions.join(_gamma_fits(spark, d).drop("ll"), "campaign").withColumns({"gaps": F.lit(None).cast("bigint"), "log_gaps": F.lit(None).cast("double"), "powers": F.lit(None).cast("array<double>")})
+    return m4.withColumn("family", F.lit("M4")).select(columns).unionByName(m5.select(columns)).mapInPandas(curve, "campaign string, family string, cov array<double>")
 
 
 CHUNK = 16
 _KERNEL_PERIODS = [0.5 + 0.01 * i for i in range(128)]
-_KERNEL_SIGMAS = (1 / 24, 2 / 24)
-_KERNEL_TAUS = np.asarray([1.5 / 24, 3 / 24])
+_KERNEL_SCAN = {"sigmas": (1 / 24, 2 / 24), "taus": np.asarray([1.5 / 24, 3 / 24])}
+EVENTS_AT_ONCE = 100_000
 
 
-def kernel_winners(arrays: DataFrame, periods: list[float], streams: str = "t") -> DataFrame:
-    """Each campaign's best cell of both visit models, by the Arrow kernel over chunks of periods.
+def kernel_winners(events: DataFrame, sessions: DataFrame, periods: list[float], **scan) -> DataFrame:
+    """Each campaign's best cell of both visit models: events (campaign, t in days) and sessions (campaign, a, b, n).
 
-    A row is (campaign, chunk of periods); only its two winners leave the task, and
-    the campaign's winner is the first of the greatest, in scan order.
+    Events stay where they are: a task counts its own into the cells of the lattice,
+    the counts are summed by cell, and each chunk of periods is judged once from the
+    sums and the sessions.  Only cells are shuffled, whatever the number of events;
+    the winner is the first of the greatest, in scan order.
     """
+    chunks = [periods[s : s + CHUNK] for s in range(0, len(periods), CHUNK)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list[np.ndarray]] = {}
+        total: dict[tuple[str, str, int], np.ndarray] = {}
+
+        def settle(campaign: str) -> None:
+            t = np.concatenate(held.pop(campaign))
+            for model in ("M2", "M3"):
+                for i, own in enumerate(chunks):
+                    key = campaign, model, i
+                    total[key] = total.get(key, 0) + kernel.cell_counts(t, own, model == "M3", **scan)
+
+        for batch in batches:
+            for campaign, own in batch.groupby("campaign")["t"]:
+                held.setdefault(campaign, []).append(own.to_numpy())
+                if sum(map(len, held[campaign])) > EVENTS_AT_ONCE:
+                    settle(campaign)
+        for campaign in list(held):
+            settle(campaign)
+        for (campaign, model, i), n in total.items():
+            some = np.flatnonzero(n)
+            yield pd.DataFrame({"campaign": campaign, "model": model, "chunk": i, "cell": some, "n": n[some]})
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples():
-                for model in ("M2", "M3"):
-                    c = kernel.scan(np.asarray(row.t), np.asarray(row.a), np.asarray(row.b), row.periods, model == "M3", sigmas=_KERNEL_SIGMAS, taus=_KERNEL_TAUS)
-                    out.append((row.campaign, model, row.chunk, c.ll, c.period, c.sigma, c.tau, c.t0))
+                own, a, b = chunks[row.chunk], np.asarray(row.a), np.asarray(row.b)
+                counts = kernel.cell_counts(np.zeros(0), own, row.model == "M3", **scan)
+                for x in row.cells if row.cells is not None else ():
+                    counts[x["cell"]] = x["n"]
+                c = kernel.best_cell(counts, int(np.sum(row.n)), a - a[0], b - a[0], own, row.model == "M3", **scan)
+                out.append((row.campaign, row.model, row.chunk, c.ll, c.period, c.sigma, c.tau, c.t0))
             yield pd.DataFrame(out, columns=["campaign", "model", "chunk", "ll", "period", "sigma", "tau", "t0"])
 
-    chunks = [(i, periods[s : s + CHUNK]) for i, s in enumerate(range(0, len(periods), CHUNK))]
-    grid = arrays.sparkSession.createDataFrame(chunks, "chunk int, periods array<double>")
-    rows = arrays.join(F.broadcast(grid)).repartition("campaign", "chunk")
-    found = rows.mapInPandas(run, "campaign string, model string, chunk int, ll double, period double, sigma double, tau double, t0 double")
+    origin = sessions.select("campaign", F.element_at("a", 1).alias("origin"))
+    placed = events.join(origin, "campaign").select("campaign", (F.col("t") - F.col("origin")).alias("t"))
+    counted = placed.mapInPandas(count, "campaign string, model string, chunk int, cell bigint, n bigint").groupBy("campaign", "model", "chunk", "cell").agg(F.sum("n").alias("n"))
+    cells = counted.groupBy("campaign", "model", "chunk").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # no more than the cells of a chunk
+    grid = events.sparkSession.createDataFrame([(m, i) for m in ("M2", "M3") for i in range(len(chunks))], "model string, chunk int")
+    rows = sessions.join(F.broadcast(grid)).join(cells, ["campaign", "model", "chunk"], "left").repartition("campaign", "model", "chunk")
+    found = rows.mapInPandas(judge, "campaign string, model string, chunk int, ll double, period double, sigma double, tau double, t0 double")
     best = found.groupBy("campaign", "model").agg(F.max(F.struct("ll", (-F.col("chunk")).alias("order"), "period", "sigma", "tau", "t0")).alias("m"))
     return best.select("campaign", "model", "m.ll", "m.period", "m.sigma", "m.tau", "m.t0")
 
 
 @query()
 def kernel_scan(spark: SparkSession, d: str) -> DataFrame:
-    return kernel_winners(_arrays(spark, d), _KERNEL_PERIODS)
+    events = frames.observed(spark, d).select("campaign", _day(F.col("t")).alias("t"))
+    return kernel_winners(events, _sessions(spark, d), _KERNEL_PERIODS, **_KERNEL_SCAN)
 
 
 @query()
 def lambda_full(spark: SparkSession, d: str) -> DataFrame:
     """The statistic with fitted session models and the kernel's scans: all six likelihoods of each campaign."""
-    arrays = _arrays(spark, d)
-    scans = kernel_winners(arrays, _KERNEL_PERIODS).groupBy("campaign").pivot("model", ["M2", "M3"]).agg(F.first("ll"))
+    scans = kernel_scan(spark, d).groupBy("campaign").pivot("model", ["M2", "M3"]).agg(F.first("ll"))
     rows = phases.m0_ll(spark, d).select("campaign", F.col("ll").alias("M0")).join(phases.m1_scan(spark, d).select("campaign", F.col("ll").alias("M1")), "campaign")
-    for family in ("M4", "M5"):
-        rows = rows.join(_fits(spark, d, family).select("campaign", F.col("ll").alias(family)), "campaign")
+    for family, fits in (("M4", _weibull_fits), ("M5", _gamma_fits)):
+        rows = rows.join(fits(spark, d).select("campaign", F.col("ll").alias(family)), "campaign")
     return rows.join(scans, "campaign").withColumn("lam", 2 * (F.greatest("M2", "M3") - F.greatest("M0", "M1", "M4", "M5")))
