@@ -182,6 +182,9 @@ def chunk_ntile(spark: SparkSession, d: str) -> DataFrame:
     return lat.even_chunks(_octaves(spark, d).filter("octave < 2"), 10_000).select("campaign", "octave", "chunk", "first", "size")
 
 
+UNIT_COST = 780_000  # fixed value: periods x days x weight of a unit of work
+
+
 def _costed(spark: SparkSession, d: str) -> DataFrame:
     models = spark.createDataFrame([("M2", 1.0), ("M3", 5.0)], "model string, weight double")
     return _octaves(spark, d).join(F.broadcast(models)).withColumn("cost", F.col("n_f") * F.col("t_hi") * F.col("weight"))
@@ -190,9 +193,9 @@ def _costed(spark: SparkSession, d: str) -> DataFrame:
 _COST_SQL = f"{_OCT_SQL}, cost AS (SELECT campaign, octave, model, n_f * t_hi * weight AS cost FROM oct, (VALUES ('M2', 1.0::DOUBLE), ('M3', 5.0::DOUBLE)) m(model, weight))"
 
 
-@query(f"WITH {WINDOWS_SQL}, {_COST_SQL} SELECT campaign, octave, model, CAST(ceil(cost / 780) AS BIGINT) AS n_chunks FROM cost")
+@query(f"WITH {WINDOWS_SQL}, {_COST_SQL} SELECT campaign, octave, model, CAST(ceil(cost / {UNIT_COST}) AS BIGINT) AS n_chunks FROM cost")
 def chunk_cost(spark: SparkSession, d: str) -> DataFrame:
-    return _costed(spark, d).select("campaign", "octave", "model", F.ceil(F.col("cost") / 780).cast("bigint").alias("n_chunks"))
+    return _costed(spark, d).select("campaign", "octave", "model", F.ceil(F.col("cost") / UNIT_COST).cast("bigint").alias("n_chunks"))
 
 
 @query(f"WITH {WINDOWS_SQL}, {_COST_SQL} SELECT campaign, octave, model, row_number() OVER (PARTITION BY campaign ORDER BY cost DESC, octave, model) AS place FROM cost")

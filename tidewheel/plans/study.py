@@ -90,6 +90,19 @@ def peaks(results: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("campaign").orderBy(F.desc("ll"), "octave", "model")))
 
 
+def _natural(spark: SparkSession, inputs: Inputs) -> DataFrame:
+    """campaign and the likelihood of each natural model, one task for each fit."""
+    shared = spark.sparkContext.broadcast(inputs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(u.campaign, u.family, calibration.fit(u.family, *shared.value[u.campaign]).ll) for u in batch.itertuples()], columns=["campaign", "family", "ll"])
+
+    families = list(calibration.FAMILY_IDS)
+    keys = spark.createDataFrame([(c, f) for c, (_, a, _) in inputs.items() if len(a) for f in families], "campaign string, family string").repartition("campaign", "family")
+    return keys.mapInPandas(run, "campaign string, family string, ll double").groupBy("campaign").pivot("family", families).agg(F.first("ll"))
+
+
 def confirm(spark: SparkSession, inputs: Inputs, path: str, chunk: int = 100_000, least_period: float = 1 / 24, sigma: float = 60 / 86400, **scan) -> DataFrame:
     """campaign, all six likelihoods and the statistic; resumes from what `path` holds."""
     store = UnitStore(spark, path, UNIT_SCHEMA, ["campaign", "octave", "model", "chunk"])
@@ -97,8 +110,7 @@ def confirm(spark: SparkSession, inputs: Inputs, path: str, chunk: int = 100_000
     if not todo.isEmpty():
         store.append(run_units(todo, inputs, **scan))
     best = peaks(store.done()).groupBy("campaign").pivot("model", ["M2", "M3"]).agg(F.max("ll"))
-    natural = [(c, *(calibration.fit(f, t, a, b).ll for f in ("M0", "M1", "M4", "M5"))) for c, (t, a, b) in inputs.items() if len(a)]
-    rows = spark.createDataFrame(natural, "campaign string, M0 double, M1 double, M4 double, M5 double").join(best, "campaign")
+    rows = _natural(spark, inputs).join(best, "campaign")
     return rows.withColumn("lam", 2 * (F.greatest("M2", "M3") - F.greatest("M0", "M1", "M4", "M5")))
 
 
