@@ -104,6 +104,11 @@ def test_sinks_read_back(spark, tmp_path):
     windows = spark.createDataFrame([("c", 1.5, 2.5), ("d", 0.0, 1.0)], "campaign string, a double, b double")
     manifest = {r["campaign"]: r for r in sinks.export_inputs(events, windows, str(tmp_path / "x")).collect()}
     assert (manifest["c"]["n_events"], manifest["c"]["n_sessions"], manifest["d"]["n_sessions"]) == (2, 1, 1)
+    read, spans = sinks.read_inputs(spark, str(tmp_path / "x"))
+    assert {(r["event_id"], r["t"]) for r in read.collect()} == {("e1", 59000.123456789012), ("e2", 1e-9)} and spans.count() == 2
+    spark.createDataFrame([("c", "e3", "1.000000000000")], "campaign string, event_id string, t string").write.mode("append").csv(str(tmp_path / "x" / "events"), header=True)
+    with pytest.raises(ValueError, match="c"):
+        sinks.read_inputs(spark, str(tmp_path / "x"))
     assert sinks.write_csv(windows, str(tmp_path / "w")) == 2
     store = sinks.UnitStore(spark, str(tmp_path / "u"), "k string, v int", ["k"])
     units = spark.createDataFrame([("a",), ("b",)], "k string")
@@ -117,6 +122,21 @@ def test_sinks_read_back(spark, tmp_path):
     assert sinks.environment(spark)["spark"] == spark.version
 
 
+def test_gates_and_artifacts(spark, tmp_path):
+    log = tmp_path / "validation.txt"
+    log.write_text("one PASS\nALL PASS: 12 checks\n\n")
+    sinks.require_last_line(spark, str(log))
+    log.write_text("ALL PASS\none FAIL\n")
+    with pytest.raises(ValueError, match="ALL PASS"):
+        sinks.require_last_line(spark, str(log))
+    (tmp_path / "pin.json").write_text(json.dumps({"campaign": "c", "lam": 86.5, "aliases": [1.0, 2.0]}, indent=2))
+    pin = sinks.read_artifacts(spark, str(tmp_path / "pin*.json"), "campaign string, lam double, aliases array<double>").first()
+    assert (pin["campaign"], pin["lam"], pin["aliases"]) == ("c", 86.5, [1.0, 2.0]) and pin["path"].endswith("pin.json")
+    astronomy.require_conversion(np.asarray([1.0, 2.0]), np.asarray([1.0 + 9e-9, 2.0]))
+    with pytest.raises(ValueError, match="recorded"):
+        astronomy.require_conversion(np.asarray([1.0, 2.0]), np.asarray([1.0 + 2e-8, 2.0]))
+
+
 def test_text_sources(spark, tmp_path):
     path = tmp_path / "bom.csv"
     path.write_bytes("﻿event_id,t\nB1,1.5\nB2,2.5\n".encode())

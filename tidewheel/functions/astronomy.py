@@ -67,6 +67,16 @@ def heliocentric(body: str, mjd: np.ndarray) -> np.ndarray:
     return np.stack([px, py * math.cos(OBLIQUITY) - pz * math.sin(OBLIQUITY), py * math.sin(OBLIQUITY) + pz * math.cos(OBLIQUITY)])
 
 
+def require_conversion(found: np.ndarray, recorded: np.ndarray, tolerance: float = 1e-8) -> None:
+    """Fails if a converter's times (days) differ from recorded ones by the tolerance or more: the gate before a study.
+
+    `barycentric` is good to 0.1 s and does not pass at the default; a converter with an ephemeris has to.
+    """
+    found, recorded = np.asarray(found, float), np.asarray(recorded, float)
+    if found.shape != recorded.shape or not np.all(np.abs(found - recorded) < tolerance):
+        raise ValueError(f"converted times differ from the recorded ones by {tolerance} d or more")
+
+
 def barycentric(mjd_utc: np.ndarray, site: str, ra_deg: float, dec_deg: float) -> np.ndarray:
     """Topocentric UTC days as barycentric TDB days at infinite frequency."""
     utc = np.asarray(mjd_utc, dtype=float)

@@ -22,8 +22,8 @@ def export_inputs(events: DataFrame, windows: DataFrame, path: str) -> DataFrame
     """Writes events and windows as CSV with times to 1e-12 days, checks that they read back equal, and returns the manifest.
 
     `events` has campaign, event_id, t and `windows` campaign, a, b (days).  The
-    manifest has, for each campaign, the numbers of both and a hash of its events in
-    order; it is written beside them as JSON.
+    manifest has, for each campaign, the numbers of both and a SHA-256 of its events in
+    order of time (days are hashed first, then their hashes); it is written beside them as JSON.
     """
     spark = events.sparkSession
     e = events.select("campaign", F.col("event_id").cast("string").alias("event_id"), F.format_string("%.12f", "t").alias("t"))
@@ -33,12 +33,34 @@ def export_inputs(events: DataFrame, windows: DataFrame, path: str) -> DataFrame
         back = spark.read.schema(rows.schema).csv(f"{path}/{name}", header=True)
         if not (rows.exceptAll(back).isEmpty() and back.exceptAll(rows).isEmpty()):
             raise ValueError(f"{name} read back differently from {path}")
-    hashed = e.groupBy("campaign").agg(F.count("*").alias("n_events"), F.sum(F.xxhash64("event_id", "t").cast("decimal(38,0)")).cast("string").alias("events_hash"))
-    manifest = hashed.join(w.groupBy("campaign").agg(F.count("*").alias("n_sessions")), "campaign", "full")
+    manifest = _manifest(e, w)
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return spark.read.schema(manifest.schema).json(f"{path}/manifest")
 
 
+def _manifest(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """campaign, n_events, events_hash and n_sessions of an export's own rows (times as text)."""
+    t = F.col("t").cast("double")
+    days = events.groupBy("campaign", F.floor(t).alias("day")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(t.alias("at"), "event_id", "t"))).alias("rows"))
+    text = F.array_join(F.transform("rows", lambda r: F.concat_ws(",", r["event_id"], r["t"])), ";")
+    days = days.select("campaign", "day", "n", F.sha2(text.cast("binary"), 256).alias("h"))
+    whole = days.groupBy("campaign").agg(F.sum("n").alias("n_events"), F.array_sort(F.collect_list(F.struct("day", "h"))).alias("days"))
+    hashed = whole.select("campaign", "n_events", F.sha2(F.array_join("days.h", "").cast("binary"), 256).alias("events_hash"))
+    return hashed.join(windows.groupBy("campaign").agg(F.count("*").alias("n_sessions")), "campaign", "full")
+
+
+def read_inputs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Events and windows of an export, checked against its JSON manifest: numbers and hashes have to agree."""
+    e = spark.read.schema("campaign string, event_id string, t string").csv(f"{path}/events", header=True)
+    w = spark.read.schema("campaign string, a string, b string").csv(f"{path}/windows", header=True)
+    found = _manifest(e, w)
+    recorded = spark.read.schema(found.schema).json(f"{path}/manifest")
+    bad = found.exceptAll(recorded).unionByName(recorded.exceptAll(found)).select("campaign").distinct().orderBy("campaign").limit(5).collect()
+    if bad:
+        raise ValueError("the manifest disagrees on " + ", ".join(str(r["campaign"]) for r in bad))
+    return e.withColumn("t", F.col("t").cast("double")), w.withColumns({c: F.col(c).cast("double") for c in "ab"})
+
+
 class UnitStore:
     """Append-only results of units of work: `append` adds, the last write of a key wins, `pending` is what has none."""
 
@@ -75,6 +97,19 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def read_artifacts(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """Whole-file JSON artifacts (pins, alias sets, fits): one row a file with its `path`; a file that isn't JSON fails."""
+    rows = spark.read.schema(schema).json(pattern, multiLine=True, mode="FAILFAST")
+    return rows.withColumn("path", F.col("_metadata.file_path"))
+
+
+def require_last_line(spark: SparkSession, path: str, text: str = "ALL PASS") -> None:
+    """Fails unless the last line of the file that isn't blank contains `text`: the gate before a study."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract("value", r"([^\n]*)\s*$", 1).alias("last")).collect()
+    if len(whole) != 1 or text not in whole[0]["last"]:
+        raise ValueError(f"{path} does not end in {text!r}")
+
+
 def read_summaries(spark: SparkSession, pattern: str, schema: str, key: Sequence[str]) -> DataFrame:
     """JSON-line summaries of many files; of one key the row of the file that sorts last wins, and in it the last by content."""
     rows = spark.read.schema(schema).json(pattern).withColumn("_file", F.col("_metadata.file_path"))
