@@ -1,6 +1,7 @@
 """Studies end to end on small inputs, sinks, text sources, the stream merger and arrival times."""
 
 import csv
+import itertools
 import json
 import math
 from pathlib import Path
@@ -99,6 +100,22 @@ def test_jitter_stays_in_sessions_and_ks_is_sane():
         calibration.statistic(np.asarray([a[0] - 1]), a, b, np.asarray([1.0]))
 
 
+@pytest.mark.parametrize(("m", "n"), [(1, 1), (2, 3), (4, 4), (3, 5)])
+def test_two_sample_p_matches_all_orders(m, n):
+    def distance(of_x):
+        steps = np.zeros(m + n)
+        steps[list(of_x)] = 1
+        return int(np.max(np.abs(np.cumsum(steps) * n - np.cumsum(1 - steps) * m)))
+
+    orders = list(itertools.combinations(range(m + n), m))
+    for of_x in orders:
+        x = np.asarray(of_x, dtype=float)
+        y = np.asarray([v for v in range(m + n) if v not in of_x], dtype=float)
+        want = np.mean([distance(o) >= distance(of_x) for o in orders])
+        assert calibration.two_sample_p(x, y) == pytest.approx(want)
+    assert calibration.two_sample_p(np.zeros(m), np.zeros(n)) == 1.0 == calibration.two_sample_p(np.zeros(0), np.zeros(n))
+
+
 def test_sinks_read_back(spark, tmp_path):
     events = spark.createDataFrame([("c", "e1", 59000.123456789012), ("c", "e2", 1e-9)], "campaign string, event_id string, t double")
     windows = spark.createDataFrame([("c", 1.5, 2.5), ("d", 0.0, 1.0)], "campaign string, a double, b double")
