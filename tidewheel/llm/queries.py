@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.llm import decontaminate, htmltext, langid, mixing, pii, quality, secrets, toxicity, vectors
+from tidewheel.llm import decontaminate, htmltext, langid, mixing, pii, quality, secrets, tokens, toxicity, trie, vectors
 from tidewheel.llm.neardup import near_duplicates
 from tidewheel.llm.session import read
 
@@ -51,6 +52,14 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_minhash_neardup": op2_minhash_neardup,
@@ -62,9 +71,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_nearest_vectors": op10_nearest_vectors,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_counts": op12_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE_SQL,
     "op6_mixing": mixing.ORACLE_SQL,
+    "op11_prefix_trie": trie.ORACLE_SQL,
 }
