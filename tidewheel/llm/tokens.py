@@ -41,10 +41,10 @@ def _disagreeing(tokenizer: Tokenizer, split: regex.Pattern, points: list[int])
 
 
 @lru_cache(maxsize=4)
-def proven(path: str) -> tuple[str, frozenset[str], str]:
-    """Of a byte-level BPE file: its text, the strings that encode alone as one token, and a pattern of what only the library may split.
+def proven(path: str) -> tuple[str, frozenset[str], tuple[str, ...], frozenset[str]]:
+    """Of a byte-level BPE file: its text, the strings that encode alone as one token, and the special strings and characters that only the library may split.
 
-    All three are bounded by the vocabulary and the code points there are.
+    All are bounded by the vocabulary and the code points there are.
     """
     source = Path(path).read_text(encoding="utf-8")
     tokenizer = Tokenizer.from_str(source)
@@ -57,10 +57,8 @@ def proven(path: str) -> tuple[str, frozenset[str], str]:
     points = [c for c in range(PROVEN_BELOW) if not 0xD800 <= c < 0xE000]
     split = regex.compile(SPLIT)
     odd = {c for k in range(0, len(points), BLOCK) for c in _disagreeing(tokenizer, split, points[k : k + BLOCK])}
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    ends = [c for c in sorted(odd) if c - 1 not in odd], [c for c in sorted(odd) if c + 1 not in odd]
-    ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(*ends, strict=True))
-    return source, single, "|".join([regex.escape(s) for s in special] + [f"[{ranges}\\U{PROVEN_BELOW:08x}-\\U0010ffff]"])
+    special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+    return source, single, special, frozenset(map(chr, odd))
 
 
 def _pieces(split: regex.Pattern, text: str) -> Iterator[list[str]]:
@@ -75,17 +73,21 @@ def _pieces(split: regex.Pattern, text: str) -> Iterator[list[str]]:
 class Counter:
     """Token counts of texts in one worker; equal to the length of the library's ids of the whole text."""
 
-    def __init__(self, source: str, single: frozenset[str], odd: str):
+    def __init__(self, source: str, single: frozenset[str], special: tuple[str, ...], odd: frozenset[str]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task keeps to its core
         self.tokenizer, self.single = Tokenizer.from_str(source), single
-        self.split, self.odd = regex.compile(SPLIT), regex.compile(odd) if odd else None
+        self.split, self.special, self.odd = regex.compile(SPLIT), special, odd
         self._forget()
 
     def _forget(self) -> None:
         self.known, self.stored = dict.fromkeys(self.single, 1), 0
 
+    def _only_whole(self, text: str) -> bool:
+        chars = set(text)
+        return not self.odd.isdisjoint(chars) or max(chars, default="") >= chr(PROVEN_BELOW) or any(s in text for s in self.special)
+
     def __call__(self, text: str) -> int:
-        if self.odd.search(text):
+        if self._only_whole(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False))
         total = 0
         for pieces in _pieces(self.split, text):
