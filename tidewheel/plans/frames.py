@@ -17,17 +17,26 @@ DAYS = 30
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return timed(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def timed(rows: DataFrame) -> DataFrame:
+    """Rows of the events table as campaign, station, event_id, user_id, t and w."""
     return rows.select(F.col("event_type").alias("campaign"), (F.col("user_id") % 3).alias("station"), "event_id", "user_id", micros(F.col("ts")).alias("t"), F.col("value").alias("w"))
 
 
 def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("campaign")).distinct()
-    return rows.withColumn("off", (F.ascii("campaign") + F.length("campaign")) % 16)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("campaign")).distinct()
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = campaigns(spark, sf_dir).withColumn("session", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DAYS - 1).cast("bigint"))))
+    return sessions(campaigns(spark, sf_dir))
+
+
+def sessions(campaigns: DataFrame) -> DataFrame:
+    """The sessions of the given campaigns by the rule: campaign, session (its day), a, b; each ends on the day it begins."""
+    rows = campaigns.withColumn("off", (F.ascii("campaign") + F.length("campaign")) % 16)
+    days = rows.withColumn("session", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DAYS - 1).cast("bigint"))))
     start = F.col("session") * DAY_US + F.col("off").cast("bigint") * HOUR_US
     length = (4 + (F.col("session") * 7 + F.col("off")) % 5) * HOUR_US
     return days.select("campaign", "session", start.alias("a"), (start + length).cast("bigint").alias("b"))
