@@ -10,9 +10,11 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewheel.llm import decontaminate, htmltext, mixing, queries, secrets, vectors
+from tidewheel.llm.session import cut
 
 DATA = "/root/testdata/sf0.001"
 there = pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables are not here")
@@ -136,6 +138,30 @@ def test_a_host_path_does_not_drop_a_lead(spark):
     assert got[9] == "Title\n" + got[0] and got[0].startswith("Some words")
 
 
+LONG = "The long article goes on, and on. " * 40
+
+
+def test_a_host_path_does_not_replace_an_article(spark):
+    """A page whose article stands elsewhere than on its host's other pages keeps it; one with a short declared article gains nothing."""
+    usual = [(i, "http://h.org/a", f"<div class=post><p>{LONG}{i}</p></div>") for i in range(4)]
+    odd = (4, "http://h.org/b", f"<div class=post><p>One sentence leads.</p></div><div class=entry><p>{LONG}4</p></div>")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame([*usual, odd], "page_id bigint, url string, html string")).collect()}
+    assert got[4] == f"One sentence leads.\n{(LONG + '4').strip()}" and all(got[i] == f"{LONG}{i}" for i in range(4))
+    declared = [(i, "http://g.org/a", f"<article><p>{LONG}{i}</p></article><div class=feed><p>Short.</p></div>") for i in range(4)]
+    short = (4, "http://g.org/b", f"<article><p>Brief news.</p></article><div class=feed><p>{LONG}</p></div>")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame([*declared, short], "page_id bigint, url string, html string")).collect()}
+    assert got[4] == "Brief news."
+
+
+def test_words_of_two_meanings_drop_no_part_of_an_article():
+    body = "<article><h1>Codes</h1><p>Before it.</p>{}<p>After it.</p></article>"
+    for part in ("<div class=promo-code>Say TIDE at the desk.</div>", "<div class=overlay-map>Say TIDE at the desk.</div>", "<p class=related>Say TIDE at the desk.</p>", "<div id=noticeOfLaunch>Say TIDE at the desk.</div>"):
+        assert htmltext.text_at(*htmltext.parse(body.format(part)), None) == "Codes\nBefore it.\nSay TIDE at the desk.\nAfter it."
+        assert "TIDE" not in htmltext.text_at(*htmltext.parse(f"<article><p>{LONG}</p></article>{part}"), None)
+    for part in ("<div class=related><a href=x>Other news</a></div>", "<div class=promo>Buy it.</div>", "<div class=comment-list>I disagree.</div>", "<div class='ad-slot top'>Buy it.</div>", "<ul class='related-comments'><li>No.</ul>", "<p hidden>Not shown.</p>"):
+        assert htmltext.text_at(*htmltext.parse(body.format(part)), None) == "Codes\nBefore it.\nAfter it."
+
+
 def test_hosts_agree_on_a_path(spark):
     usual = "<body><div class='menu'>m</div><div class='post-{0}'><p>Long text number {0}, with commas, and more words.</p></div><div class='tail'><p>{1}</p></div></body>"
     rows = [(i, "https://h.org/a", usual.format(i, "x")) for i in range(9)] + [(20, "https://h.org/b", usual.format(20, "A tail, that, is longer, than, the post, here, in, this, page. " * 4))]
@@ -433,3 +459,36 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert decontaminate.contained_items(docs.select("doc_id", "text"), bench).count() == 0
     assert docs.filter("text rlike '[a-z0-9]@[a-z0-9]+[.][a-z]'").count() == 0 and docs.filter("copies < 1").count() == 0
     assert sorted(map(repr, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(repr, docs.collect()))
+
+
+CLASHING = "again number digest h1 h2 size path id own doc first __row __text __more key node comp component kept sig hash dealt copies_ word start more".split()
+
+
+def clashing_docs(spark):
+    """Rows of documents with repeated and null ids, copies, an item and columns of names that the stages use."""
+    base = "the tide table of the harbour lists high water for every day of the coming year "
+    rows = [(1, base * 3, "a"), (1, base * 3 + "indeed", "a"), (1, "another text that shares no shingle with the rest of them at all", None), (2, base * 3, "b"), (None, base * 3, None), (None, None, None), (3, None, "b"), (4, "", "a")]
+    rows += [(10 + i, f"lone{i} words{i} stand{i} here{i} for{i} one{i} document{i} alone{i} mail me{i}@example.org", "ab"[i % 2]) for i in range(12)]
+    rows.append((30, "before it what is the name of the ship that the harbour master built in winter after it", "a"))
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return docs.withColumns({c: F.lit(f"kept {c}") for c in CLASHING})
+
+
+def test_pipeline_stages_bear_clashing_columns(spark, tmp_path):
+    """Each stage, and all of them one after the other, as of the same rows without the extra columns."""
+    spark.createDataFrame([(100, "what is the name of the ship that the harbour master built in winter")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(10, 20)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    plain = clashing_docs(spark).drop(*CLASHING)
+    wide = clashing_docs(spark)
+    base = ["doc_id", "text", "lang", "source", "n_chars"]
+    chained = wide, plain
+    for name, stage in corpus_pipeline.STAGES:
+        for w, p in ((wide, plain), chained):
+            got, want = stage(spark, w, str(tmp_path)), stage(spark, p, str(tmp_path))
+            assert set(CLASHING) <= set(got.columns), name
+            alike = "doc_id >= 10" if name == "mixing" else "true"  # which row of a repeated id the mix takes goes by its other columns
+            assert sorted(map(repr, got.filter(alike).select(base).collect())) == sorted(map(repr, want.filter(alike).select(base).collect())), name
+            assert got.filter(" or ".join(f"`{c}` <> 'kept {c}'" for c in CLASHING)).isEmpty(), name
+        chained = cut(got), cut(want)
+    left = {r["doc_id"] for r in chained[0].collect()}
+    assert {10, 11} <= left and 30 not in left and 2 not in left

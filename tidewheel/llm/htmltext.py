@@ -2,9 +2,10 @@
 
 Pass one parses each page, scores its containers (text that is neither boilerplate
 nor links) and votes for the generalised tag-class paths of its best ones; Spark
-sums the votes by host.  A best container is widened to the ones around it while
-they add text, so headings, leads and further sections stay.  Pass two takes each page's text from the path that won on
-its host, or from the page's own best container where that path is missing.
+sums the votes by host, and on how many pages a path lies beside the best container.  A best container is
+widened to the ones around it while they add text, so headings, leads and further
+sections stay.  Pass two takes each page's text from the path that won on its host,
+or from the page's own best container where that path is missing or holds little.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,9 +37,12 @@ CONTAINERS = frozenset("article body div main section td".split())
 CLOSES_P = BLOCKS - {"body", "html"}
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adsbygoogle|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|(?:site|top|main|side|page|sub)?nav|navbar|navigation|menu|breadcrumbs?|(?:site|page|top)?header|masthead|(?:site|page)?footer|sidebar|side|aside|widgets?|notice|cookies?|cookie-?(?:bar|banner|consent)|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|comment-?list|comment-?form|respond|replies|reply|disqus|pagination|pager|toolbar|skip|hidden|alert|disclaimer|copyright)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(ads?|adsbygoogle|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banner|(?:site|top|main|side|page|sub)?nav|navbar|navigation|menu|breadcrumbs?|(?:site|page|top)?header|masthead|(?:site|page)?footer|sidebar|side|aside|widgets?|notice|cookies?|cookie-?(?:bar|banner|consent)|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comments?|comment-?list|comment-?form|respond|replies|reply|disqus|pagination|pager|toolbar|skip|hidden|alert|disclaimer|copyright)(?=$|[\s_-]|\d)",
     re.I,
 )
+# Words that also name parts of an article: inside one they have to be a section's whole class.
+AMBIGUOUS = frozenset("promo promos promotion promotions banner overlay notice alert modal popup skip hidden related recommended disclaimer copyright side aside".split())
+SECTIONS = frozenset("div section ul ol".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CAMEL = re.compile(r"([a-z])([A-Z])")
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
@@ -76,7 +80,16 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def _boiler(tag: str, attrs: dict[str, str]) -> bool:
+def _named_boiler(tag: str, name: str, inside: bool) -> bool:
+    """Whether a class or id says boilerplate; `inside` an article a word of two meanings doesn't, unless it is all that a section is called."""
+    for token in CAMEL.sub(r"\1-\2", name).split():
+        for m in BOILER.finditer(token):
+            if not inside or m[1].lower() not in AMBIGUOUS or (m[0] == token and tag in SECTIONS):
+                return True
+    return False
+
+
+def _boiler(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     if tag in SKIPPED:
         return True
     if not attrs or tag in ("body", "html", "main", "article"):
@@ -85,7 +98,7 @@ def _boiler(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if tag in HEADINGS:  # a section's heading is text, whatever its class is called
         return False
-    return attrs.get("role", "").lower() in ROLES or any(BOILER.search(CAMEL.sub(r"\1-\2", attrs[a])) for a in ("class", "id") if a in attrs)
+    return attrs.get("role", "").lower() in ROLES or any(_named_boiler(tag, attrs[a], inside) for a in ("class", "id") if a in attrs)
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -171,7 +184,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             in_link += 1
         if tag in BREAKING:
             flush()
-        elif not _boiler(tag, attrs):
+        elif not _boiler(tag, attrs, opened["article"] > 0):
             continue
         if tag in CLOSES_P and opened["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
@@ -185,7 +198,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             leave()
         up = stack[-1]
         path = xxhash.xxh64_intdigest(_step(tag, attrs).encode("utf-8", "replace"), up.path)
-        node = Node(tag, path, up, up.skipped or _boiler(tag, attrs), len(nodes), up if _holds(up) else up.holder, len(nodes) + 1)
+        node = Node(tag, path, up, up.skipped or _boiler(tag, attrs, opened["article"] > 0), len(nodes), up if _holds(up) else up.holder, len(nodes) + 1)
         nodes.append(node)
         if m[0].endswith("/>") and tag in ("svg", "math"):
             continue
@@ -288,39 +301,72 @@ def widened(nodes: list[Node], chosen: list[Node], strangers: bool = True) -> li
     return out
 
 
-def text_at(nodes: list[Node], blocks: list[tuple[Node, str]], path: int | None) -> str:
-    """Joined blocks under the nodes of `path`, or under the page's own best container."""
-    chosen = [n for n in nodes if path and n.path == path and not n.skipped and n.text]
-    chosen = widened(nodes, chosen, strangers=False) if chosen else [best_container(nodes)]
+def _inside(nodes: list[Node], chosen: list[Node]) -> np.ndarray:
     edges = np.zeros(len(nodes) + 1, dtype=np.int64)
     for node in chosen:
         edges[node.at] += 1
         edges[node.end] -= 1
-    inside = np.cumsum(edges) > 0
+    return np.cumsum(edges) > 0
+
+
+def text_at(nodes: list[Node], blocks: list[tuple[Node, str]], path: int | None, passed_over: Collection[int] = ()) -> str:
+    """Joined blocks under the nodes of `path`, or under the page's own best container.
+
+    Where the path's nodes are in no article or main, the page may be laid out unlike
+    its host: if most of its own best container lies elsewhere, that is joined to
+    them, but for containers that the host's pages have and pass over.
+    """
+    chosen = [n for n in nodes if path and n.path == path and not n.skipped and n.text]
+    if not chosen:
+        inside = _inside(nodes, [best_container(nodes)])
+    else:
+        inside = _inside(nodes, widened(nodes, chosen, strangers=False))
+        if not any(_declared(n) for n in chosen):
+            own = _inside(nodes, [best_container(nodes)]) & ~_inside(nodes, [n for n in nodes if n.path in passed_over])
+            if sum(len(text) for node, text in blocks if own[node.at] and not inside[node.at]) > sum(len(text) for node, text in blocks if inside[node.at]):
+                inside |= own
     return "\n".join(text for node, text in blocks if inside[node.at])
 
 
+def _declared(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.holder
+    return node is not None
+
+
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]+)"
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of host and path, summed over a batch: score as a page's best container, and on how many pages it lies within and beside the best one."""
     for batch in batches:
         for part in text_slices(batch, "html"):
-            hosts, paths, scores = [], [], []
+            sums: dict[tuple[str, int], list] = {}
             for host, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 if page:
-                    node = best_container(parse(page)[0])
-                    if node.text:
-                        hosts.append(host)
-                        paths.append(node.path)
-                        scores.append(float(node.text) ** 0.5)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.asarray(paths, np.uint64).view(np.int64)), pa.array(scores, pa.float64())], names=["host", "path", "score"])
+                    nodes = parse(page)[0]
+                    best = best_container(nodes)
+                    if best.text:
+                        sums.setdefault((host, best.path), [0.0, 0, 0])[0] += float(best.text) ** 0.5
+                    within, beside = set(), set()
+                    for n in nodes:
+                        if _holds(n) and n.text and not n.skipped and not n.at <= best.at < n.end:
+                            (within if best.at <= n.at < best.end else beside).add(n.path)
+                    for path in within:
+                        sums.setdefault((host, path), [0.0, 0, 0])[1] += 1
+                    for path in beside - within:
+                        sums.setdefault((host, path), [0.0, 0, 0])[2] += 1
+            hosts, paths = zip(*sums, strict=True) if sums else ((), ())
+            scores, withins, besides = zip(*sums.values(), strict=True) if sums else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(np.asarray(paths, np.uint64).view(np.int64)), pa.array(scores, pa.float64()), pa.array(withins, pa.int64()), pa.array(besides, pa.int64())], names=["host", "path", "score", "within", "beside"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_slices(batch, "html"):
-            texts = [text_at(*parse(page), None if path is None else path % (1 << 64)) if page else "" for page, path in zip(part.column("html").to_pylist(), part.column("path").to_pylist(), strict=True)]
+            texts = []
+            for page, path, passed in zip(*(part.column(c).to_pylist() for c in ("html", "path", "passed")), strict=True):
+                texts.append(text_at(*parse(page), None if path is None else path % (1 << 64), {p % (1 << 64) for p in passed or ()}) if page else "")
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -330,13 +376,16 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty html, and one without text outside boilerplate, gives an empty
     text.  Pages whose url names no host vote together as one host.  Votes are
     summed per task before they are dealt out, so a host of any size is one row for
-    each task; a path is known by a 64-bit hash of its steps, and ties go to the least.  Repeated rows are extracted
-    each, no rows give no rows.
+    each path and task; what goes back to its pages is the winner and the paths that
+    are beside the best container more than twice as often as within it.  A path is
+    known by a 64-bit hash of its steps, and ties go to the least.  Repeated rows are extracted each, no rows give no rows.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), _HOST, 1)), F.lit(""))
     rows = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string"), host.alias("host"))
-    votes = rows.select("host", "html").mapInArrow(_votes, "host string, path bigint, score double")
-    tally = votes.groupBy("host", "path").agg(F.sum(F.round("score", 3).cast("decimal(20,3)")).alias("votes"))
-    first = tally.groupBy("host").agg(F.max_by("path", F.struct("votes", F.bitwise_not("path"))).alias("path"))
+    votes = rows.select("host", "html").mapInArrow(_votes, "host string, path bigint, score double, within bigint, beside bigint")
+    tally = votes.groupBy("host", "path").agg(F.sum(F.round("score", 3).cast("decimal(20,3)")).alias("votes"), F.sum("within").alias("within"), F.sum("beside").alias("beside"))
+    tally = tally.filter("votes > 0 or within > 0 and beside > 2 * within")
+    passed = F.collect_list(F.when(F.expr("within > 0 and beside > 2 * within"), F.col("path")))
+    first = tally.groupBy("host").agg(F.max_by("path", F.struct("votes", F.bitwise_not("path"))).alias("path"), passed.alias("passed"))
     winners = broadcast_if_small(cut(first), HOSTS_A_BROADCAST)
-    return rows.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.join(winners, "host", "left").select("page_id", "url", "html", "path", "passed").mapInArrow(_extract, "page_id bigint, url string, text string, n_chars bigint")

@@ -417,38 +417,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def _numbered(rows: DataFrame, again: DataFrame) -> DataFrame:
-    """`rows` with a __row of its own for each text of a repeated doc_id; the text of the least hash keeps the id."""
-    rows = rows.withColumn("__text", F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    texts = rows.join(again, rows["__row"] == again["again"]).select("again", F.col("__text").alias("digest")).distinct()
+    """`rows` with an id of its own for each text of a repeated doc_id; the text of the least hash keeps the id."""
+    rows = rows.withColumn("hash", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    texts = rows.join(again, rows["id"] == again["again"]).select("again", F.col("hash").alias("digest")).distinct()
     texts = cut(texts)
     first = texts.groupBy("again").agg(F.min("digest").alias("first"))
-    top = rows.agg(F.max("__row")).first()[0]
+    top = rows.agg(F.max("id")).first()[0]
     others = texts.join(first, "again").filter("digest > first").select("again", "digest", (F.monotonically_increasing_id() + F.lit(top + 1)).alias("number"))
     others = broadcast_if_small(cut(others, rows=texts.count()), DROPPED_A_BROADCAST)
-    joined = rows.join(others, (rows["__row"] == others["again"]) & (rows["__text"] == others["digest"]), "left")
-    return joined.withColumn("__row", F.coalesce("number", "__row")).drop("again", "digest", "number", "__text")
+    joined = rows.join(others, (rows["id"] == others["again"]) & (rows["hash"] == others["digest"]), "left")
+    return joined.select("doc", F.coalesce("number", "id").alias("id"), "own", "text")
 
 
 def without_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that stand for their group: one row of each component, and all rows with a null doc_id.
 
-    Where a doc_id repeats, each of its texts is decided on by itself.
+    Where a doc_id repeats, each of its texts is decided on by itself.  Columns of any
+    other name go along in one struct, so no name clashes with those used here.
     """
-    rows = docs.withColumn("__row", F.col("doc_id").cast("bigint"))
+    whole = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    rows = docs.select(whole.alias("doc"), F.col("doc_id").cast("bigint").alias("id"), F.col("doc_id").cast("bigint").alias("own"), F.col("text").cast("string").alias("text"))
     size = docs.count()
-    again = cut(rows.filter("__row is not null").groupBy("__row").count().filter("count > 1").select(F.col("__row").alias("again")), rows=size)
+    again = cut(rows.filter("own is not null").groupBy("own").count().filter("count > 1").select(F.col("own").alias("again")), rows=size)
     repeated = not again.isEmpty()
     if repeated:
         again = broadcast_if_small(again, DROPPED_A_BROADCAST)
         rows = _numbered(rows, again)
-    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), words, percent)
-    dropped = cut(found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("__row")).distinct(), rows=size)
-    rows = rows.join(broadcast_if_small(dropped, DROPPED_A_BROADCAST), "__row", "left_anti")
+    found = near_duplicates(rows.select(F.col("id").alias("doc_id"), "text"), words, percent)
+    dropped = cut(found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("id")).distinct(), rows=size)
+    rows = rows.join(broadcast_if_small(dropped, DROPPED_A_BROADCAST), "id", "left_anti")
     if not repeated:
-        return rows.select(docs.columns)
-    match = F.col("doc_id").cast("bigint") == F.col("again")
-    once = rows.join(again, match, "left_semi").dropDuplicates(["__row"])
-    return rows.join(again, match, "left_anti").select(docs.columns).union(once.select(docs.columns))
+        return rows.select("doc.*")
+    match = F.col("own") == F.col("again")
+    once = rows.join(again, match, "left_semi").dropDuplicates(["id"])
+    return rows.join(again, match, "left_anti").select("doc.*").union(once.select("doc.*"))
 
 
 def _own(k: int):

@@ -280,17 +280,18 @@ def redact(text: str, spans: str) -> str:
 
 
 def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a table with the added spans in a last column, which goes."""
     for batch in batches:
         for part in text_slices(batch):
-            names = part.schema.names
-            col, more = part.column("text"), part.column("__more").to_pylist()
+            names = part.schema.names[:-1]
+            col, more = part.column("text"), part.column(len(names)).to_pylist()
             maybe = pc.fill_null(pc.match_substring_regex(col, "[0-9@]"), False).to_pylist()
             texts = col.to_pylist()
             for i, text in enumerate(texts):
                 if maybe[i] or more[i]:
                     extra = [(m["start"], m["kind"], m["stop"]) for m in more[i] or ()]
                     texts[i] = redact(text, joined(sorted(base_spans(text) + extra)))
-            columns = {n: part.column(n) for n in names if n != "__more"}
+            columns = {n: part.column(n) for n in names}
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
                 size = pa.array([None if t is None else len(t) for t in texts], pa.int64())
@@ -301,14 +302,18 @@ def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def redacted(docs: DataFrame) -> DataFrame:
     """`docs` with personal data in `text` replaced by its kind in brackets; a non-null n_chars is counted again.
 
-    All rows and columns stay; null and empty texts stay as they are.
+    All rows and columns stay, whatever their names; null and empty texts stay as they are.
     """
     rows = _keyed(docs)
     added = _added(rows, cut(rows.mapInArrow(_find, _FOUND).drop("base").filter(F.size("edges") > 0)))
+    own = "_"  # begins the names that are added here, and no other
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    h1, h2, more = (f"{own}{c}" for c in ("h1", "h2", "more"))
     if added is None:
-        marked = docs.withColumn("__more", F.lit(None).cast("array<struct<start:int,kind:int,stop:int>>"))
+        marked = docs.withColumn(more, F.lit(None).cast("array<struct<start:int,kind:int,stop:int>>"))
     else:
         text = docs["text"].cast("string")
-        on = (F.xxhash64(text) == F.col("__h1")) & (F.xxhash64(text, F.lit(1)) == F.col("__h2"))
-        marked = docs.join(added.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("more").alias("__more")), on, "left").drop("__h1", "__h2")
+        on = (F.xxhash64(text) == F.col(h1)) & (F.xxhash64(text, F.lit(1)) == F.col(h2))
+        marked = docs.join(added.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("more").alias(more)), on, "left").drop(h1, h2)
     return marked.mapInArrow(_redacted, docs.schema)
