@@ -14,11 +14,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel.functions.likelihood import two_bin
-from tidewheel.functions.timeaxis import DAY_US, live_before, quotient
+from tidewheel.functions.timeaxis import DAY_US, quotient
+from tidewheel.operators.kernel import Exposure
 
 KEY = ["campaign", "period_id", "sigma_id", "tau_id"]
 
@@ -79,8 +83,8 @@ def lattice(spark: SparkSession, campaigns: DataFrame, periods_us: Sequence[int]
     return rows.withColumn("h", h.cast("bigint")).withColumn("n_t0", F.ceil(F.col("period_us") / h).cast("bigint")).withColumn("visits", visit_template(F.col("period_us"), F.col("sigma"), F.col("tau")))
 
 
-def cell_counts(events: DataFrame, rows: DataFrame, origin: str = "tref") -> DataFrame:
-    """n_in of each cell that holds an event: events (campaign, t, tref) against lattice rows."""
+def cell_counts(events: DataFrame, rows: DataFrame, origin: str = "tref", by: Sequence[str] = ()) -> DataFrame:
+    """n_in of each cell that holds an event, for each value of `by`: events (campaign, t, tref) against lattice rows."""
     hit = events.join(rows, "campaign").withColumn("v", F.explode("visits"))
     psi = F.pmod(F.col("t") - F.col(origin) - F.col("v.u"), F.col("period_us"))
     hit = hit.withColumn("psi", psi)
@@ -92,16 +96,33 @@ def cell_counts(events: DataFrame, rows: DataFrame, origin: str = "tref") -> Dat
     plain = run(F.greatest(quotient(F.col("psi") - w, h) + 1, F.lit(0).cast("bigint")), F.least(quotient(F.col("psi"), h), last))
     wrapped = run(F.greatest(quotient(F.col("psi") - w + F.col("period_us"), h) + 1, quotient(F.col("psi"), h) + 1), last)
     cells = hit.withColumn("i", F.explode(F.concat(plain, wrapped)))
-    return cells.groupBy(*KEY, "i").agg(F.count("*").alias("n_in"))
+    return cells.groupBy(*KEY, "i", *by).agg(F.count("*").alias("n_in"))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _exposed(period: pd.Series, h: pd.Series, n_t0: pd.Series, u: pd.Series, w: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """Live microseconds in the visits at each t0 of a lattice row; rows of one campaign and period share the sorted edges."""
+    folded: dict[tuple[int, bytes, bytes], Exposure] = {}
+    out = []
+    for t, step, n, us, ws, starts, ends in zip(period, h, n_t0, u, w, a, b, strict=True):
+        key = t, starts.tobytes(), ends.tobytes()
+        if key not in folded:
+            folded[key] = Exposure(starts, ends, t)
+        t0 = np.arange(n) * step
+        out.append(sum(folded[key].within(np.mod(t0 + start, t), width) for start, width in zip(us, ws, strict=True)).astype(np.int64))
+    return pd.Series(out)
 
 
 def cell_exposures(windows: DataFrame, rows: DataFrame, origin: str = "tref") -> DataFrame:
-    """Live microseconds in the visits of every cell: windows (campaign, a, b, tref) against lattice rows."""
-    cells = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_t0") - 1)))
-    joined = cells.join(windows, "campaign").withColumn("v", F.explode("visits"))
-    start = F.col(origin) + F.col("i") * F.col("h")
-    live = live_before(F.col("b") - start, F.col("period_us"), F.col("v.u"), F.col("v.w")) - live_before(F.col("a") - start, F.col("period_us"), F.col("v.u"), F.col("v.w"))
-    return joined.groupBy(*KEY, "i", "period_us", "h").agg(F.sum(live).alias("e_us"))
+    """Live microseconds in the visits of every cell: windows (campaign, a, b, tref) against lattice rows.
+
+    A campaign's sessions, which the calendar bounds, are one row of sorted edges with
+    prefix sums; each cell reads it by binary search, so no cell meets the sessions.
+    Sums of whole microseconds stay exact.
+    """
+    edges = windows.groupBy("campaign").agg(F.collect_list(F.struct((F.col("a") - F.col(origin)).alias("a"), (F.col("b") - F.col(origin)).alias("b"))).alias("_edges"))
+    exposed = _exposed("period_us", "h", "n_t0", F.col("visits.u"), F.col("visits.w"), F.col("_edges.a"), F.col("_edges.b"))
+    return rows.join(edges, "campaign").select(*KEY, "period_us", "h", F.posexplode(exposed).alias("i", "e_us")).withColumn("i", F.col("i").cast("bigint"))
 
 
 def scan(events: DataFrame, windows: DataFrame, rows: DataFrame) -> DataFrame:
@@ -117,6 +138,26 @@ def scan(events: DataFrame, windows: DataFrame, rows: DataFrame) -> DataFrame:
     return cells.withColumn("ll", F.round(ll, 6))
 
 
+def scan_streams(events: DataFrame, windows: DataFrame, rows: DataFrame, stream: str = "stream") -> DataFrame:
+    """The best cell of each stream of each campaign among the cells that hold an event of it, with n_in, e_us and ll (to 6 places).
+
+    All streams share the exposures of a cell.  At one count the likelihood falls with
+    the exposure, so only the least exposure of each count has its logarithms taken;
+    of equal values the one of least exposure wins, then the first in scan order.
+    """
+    live = windows.groupBy("campaign").agg(F.sum(F.col("b") - F.col("a")).alias("live_us"), F.min("a").alias("tref"))
+    origin = live.select("campaign", "tref")
+    exposed = cell_exposures(windows.join(origin, "campaign"), rows).select(*KEY, "i", "e_us")
+    counted = cell_counts(events.join(origin, "campaign"), rows, by=[stream])
+    order = ["period_id", "sigma_id", "tau_id", "i"]
+    least = counted.join(exposed, [*KEY, "i"]).groupBy("campaign", stream, "n_in").agg(F.min(F.struct("e_us", *order)).alias("m"))
+    totals = events.groupBy("campaign", stream).agg(F.count("*").alias("n")).join(live.select("campaign", "live_us"), "campaign")
+    day = F.lit(float(DAY_US))
+    tried = least.select("campaign", stream, "n_in", "m.*").join(totals, ["campaign", stream])
+    tried = tried.withColumn("ll", F.round(two_bin(F.col("n_in"), F.col("e_us") / day, F.col("n"), F.col("live_us") / day), 6))
+    return first_best(tried.select("campaign", stream, "e_us", *order, "ll", "n_in"), ["campaign", stream], ["e_us", *order])
+
+
 def first_best(cells: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first cell, in scan order, of the greatest value: one map-side-combined maximum; NaN never wins."""
     rest = [c for c in cells.columns if c not in by and c not in order and c != "ll"]

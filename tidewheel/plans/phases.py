@@ -261,6 +261,22 @@ def m3_scan(spark: SparkSession, d: str) -> DataFrame:
     return _best(_cells(spark, d, _pairs(spark, d)))
 
 
+_STREAMS = 8
+_STREAM_SQL = (
+    f"{_scan_sql(_L2_SQL)}, sn AS (SELECT campaign, user_id % {_STREAMS} AS stream, count(*) AS n FROM ob GROUP BY ALL), "
+    f"sc AS (SELECT c.campaign, period_id, sigma_id, i, user_id % {_STREAMS} AS stream, count(*) AS n_in FROM c JOIN tot t ON t.campaign = c.campaign JOIN ob ON ob.campaign = c.campaign AND {pos_mod('ob.t - t.tref - c.i * c.h - c.u', 'c.T')} < c.w GROUP BY ALL), "
+    f"sl AS (SELECT sc.*, e_us, round({two_bin('sc.n_in', f'(e_us / {DAY})', 'sn.n', f'(live_us / {DAY})')}, 6) AS ll FROM sc JOIN ex USING (campaign, period_id, sigma_id, i) JOIN sn USING (campaign, stream) JOIN tot USING (campaign))"
+)
+
+
+@query(f"WITH {_STREAM_SQL} SELECT campaign, stream, period_id, sigma_id, i, n_in, e_us, ll FROM (SELECT *, row_number() OVER (PARTITION BY campaign, stream ORDER BY ll DESC, e_us, period_id, sigma_id, i) AS rn FROM sl) WHERE rn = 1")
+def stream_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The single-visit scan of eight streams at once, which share their campaign's exposures."""
+    events = frames.observed(spark, d).select("campaign", "t", (F.col("user_id") % _STREAMS).alias("stream"))
+    best = lat.scan_streams(events, frames.windows(spark, d).select("campaign", "a", "b"), _single(spark, d))
+    return best.select("campaign", "stream", "period_id", "sigma_id", "i", "n_in", "e_us", "ll")
+
+
 @query(f"WITH {_scan_sql(_L2_SQL)} SELECT campaign, period_id, sigma_id, i, ll FROM (SELECT *, row_number() OVER (PARTITION BY campaign, period_id ORDER BY ll DESC, sigma_id, i) AS rn FROM cells) WHERE rn = 1")
 def argmax_first(spark: SparkSession, d: str) -> DataFrame:
     cells = _cells(spark, d, _single(spark, d)).select("campaign", "period_id", "sigma_id", "i", "ll")
