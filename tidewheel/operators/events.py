@@ -37,6 +37,21 @@ def running_totals(rows: DataFrame, by: Sequence[str], order: Sequence[str], col
     return joined.withColumns({f"upto_{c}": F.sum(c).over(own) + F.col(f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
 
 
+def islands(intervals: DataFrame, by: Sequence[str], low: str = "lo", high: str = "hi") -> DataFrame:
+    """Adds `island`, the number of the run of overlapping or adjoining closed intervals of whole numbers, to rows that have BUCKET.
+
+    Buckets are in the order of `low`.  Rows are ordered within a bucket; only its
+    greatest end and its number of islands cross over.
+    """
+    ends = intervals.groupBy(*by, BUCKET).agg(F.max(high).alias("_end"))
+    earlier = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    rows = intervals.join(ends.select(*by, BUCKET, F.max("_end").over(earlier).alias("_end")), [*by, BUCKET])
+    own = Window.partitionBy(*by, BUCKET).orderBy(low, high).rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.greatest(F.max(high).over(own), F.col("_end"))
+    rows = rows.withColumn("opens", F.when(F.col(low) <= reached + 1, 0).otherwise(1)).drop("_end")
+    return running_totals(rows, by, [low, high], ["opens"]).withColumnRenamed("upto_opens", "island").drop("opens")
+
+
 def _with_previous(events: DataFrame, by: Sequence[str], t: str, tie: str) -> DataFrame:
     """Adds `_previous`: the time of the event before in the group."""
     own = Window.partitionBy(*by, BUCKET).orderBy(t, tie)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewheel.plans import models, phases, relational, reports
+from tidewheel.plans import aliasset, models, phases, relational, reports
 
-MODULES = (relational, phases, models, reports)
+MODULES = (relational, phases, models, aliasset, reports)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for m in MODULES for name, f in m.Q.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.SQL.items()}
 
