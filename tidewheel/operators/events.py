@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.sources.shared import cut
+
 
 BUCKET_US = 3_600_000_000  # an hour: rows of a campaign are ordered within such buckets, and only their ends across them
 BUCKET = "_bucket"
@@ -121,16 +123,105 @@ def as_of(events: DataFrame, windows: DataFrame, by: str = "campaign") -> DataFr
     return found.select(by, "event_id", "t", F.col("s.session").alias("session"), (F.col("t") < F.col("s.b")).alias("inside"))
 
 
+DAY_BUCKET = 86_400_000_000
+
+
+def overlaps(intervals: DataFrame, others: DataFrame, by: str = "campaign") -> DataFrame:
+    """Adds `hit` to intervals (by, a, b): whether one of `others` (by, a, b) strictly overlaps it.
+
+    One overlaps if the greatest end of those that begin before b lies after a.  That
+    is a running maximum over all end points in order, within days of a campaign and
+    from the days' maxima, so intervals are not joined with each other.
+    """
+    columns = intervals.columns
+    asked = intervals.select(F.col(by).alias("_by"), F.col("b").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_end"), F.struct(*columns).alias("_row"))
+    there = others.select(F.col(by).alias("_by"), F.col("a").cast("bigint").alias("_at"), F.lit(1).alias("_kind"), F.col("b").cast("bigint").alias("_end"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"))
+    both = bucketed(asked.unionByName(there), "_at", DAY_BUCKET)
+    ends = both.groupBy("_by", BUCKET).agg(F.max("_end").alias("_end"))
+    earlier = Window.partitionBy("_by").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    both = both.join(ends.select("_by", BUCKET, F.max("_end").over(earlier).alias("_reached")), ["_by", BUCKET])
+    own = Window.partitionBy("_by", BUCKET).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.greatest(F.max("_end").over(own), F.col("_reached"))
+    both = both.withColumn("_far", reached).filter("_kind = 0")
+    return both.select("_row.*", F.coalesce(F.col("_far") > F.col("_row.a"), F.lit(False)).alias("hit"))
+
+
 def precedence_merge(layers: Sequence[DataFrame], by: str = "campaign") -> DataFrame:
     """Intervals of several layers, first ones first: a later layer's interval stays only if it strictly overlaps none kept before."""
     kept = layers[0]
     for layer in layers[1:]:
-        low, high = layer.alias("low"), kept.select(by, "a", "b").alias("high")
-        clash = (F.col(f"low.{by}") == F.col(f"high.{by}")) & (F.col("low.a") < F.col("high.b")) & (F.col("high.a") < F.col("low.b"))
-        kept = kept.unionByName(low.join(high, clash, "left_anti"))
+        kept = kept.unionByName(overlaps(layer, kept, by).filter(~F.col("hit")).drop("hit"))
     return kept
 
 
+def pinned_merge(first: DataFrame, second: DataFrame, third: DataFrame, adjacent: int, by: str = "campaign") -> DataFrame:
+    """All intervals (by, layer, a, b and the like) of three layers with their `verdict`: kept, consumed or dropped.
+
+    Whatever overlaps the first layer is consumed.  The second layer has to be pinned by
+    the rest of the third: an interval that overlaps one of it stays, so does one at whose
+    end, less than `adjacent` away, one of the third begins, and all others are dropped.
+    The third layer's intervals that pin one are consumed, the others stay.
+    """
+
+    def free(rows: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
+        judged = cut(overlaps(rows, taken, by))  # each is read several times
+        return judged.filter(~F.col("hit")).drop("hit"), judged.filter("hit").drop("hit")
+
+    def as_row(rows: DataFrame, low: Column, high: Column) -> DataFrame:
+        return rows.select(by, F.struct(*rows.columns).alias("row"), low.alias("a"), high.alias("b"))
+
+    around_end, begin = (F.col("b") - adjacent, F.col("b") + adjacent), (F.col("a"), F.col("a"))
+    second, gone2 = free(second, first)
+    third, gone3 = free(third, first)
+    loose, pinned = free(second, third)
+    judged = cut(overlaps(as_row(loose, *around_end), as_row(third, *begin), by))
+    touching, dropped = judged.filter("hit").select("row.*"), judged.filter(~F.col("hit")).select("row.*")
+    rest, over = free(third, pinned)
+    begun = overlaps(as_row(rest, *begin), as_row(touching, *around_end), by)
+    parts = [(first, "kept"), (pinned, "kept"), (touching, "kept"), (begun.filter(~F.col("hit")).select("row.*"), "kept"), (dropped, "dropped")]
+    parts += [(gone2, "consumed"), (gone3, "consumed"), (over, "consumed"), (begun.filter("hit").select("row.*"), "consumed")]
+    found = None
+    for rows, verdict in parts:
+        rows = rows.withColumn("verdict", F.lit(verdict))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def require_dropped(merged: DataFrame, expected: DataFrame) -> DataFrame:
+    """The kept rows of `pinned_merge`, if what it dropped is `expected` (some of its columns), else an error."""
+    dropped = merged.filter("verdict = 'dropped'").select(expected.columns)
+    odd = dropped.exceptAll(expected).unionByName(expected.exceptAll(dropped)).limit(5).collect()
+    if odd:
+        raise ValueError(f"unexpected or missing among the dropped intervals: {[tuple(r) for r in odd]}")
+    return merged.filter("verdict = 'kept'").drop("verdict")
+
+
+def settled(events: DataFrame, windows: DataFrame, by: str = "campaign") -> DataFrame:
+    """Moves each event's `t` into the nearest of two sessions: the one that began last at or before it, and the next one.
+
+    Of two edges equally near the earlier counts; an event of a group without sessions
+    is left out.  Sessions meet events in one pass in order of time, each with the one
+    after it, so nothing is joined by inequality.
+    """
+    columns = events.columns
+    order = Window.partitionBy(by).orderBy("a", "b")  # the calendar bounds a campaign's sessions
+    after = F.struct(F.lead("a").over(order).alias("a"), F.lead("b").over(order).alias("b"))
+    starts = windows.select(by, F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"))
+    firsts = starts.groupBy(by).agg(F.min(F.struct("a", "b")).alias("next")).select(by, F.lit(-(1 << 61)).alias("t"), F.struct(F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b")).alias("own"), "next")
+    edges = starts.select(by, F.col("a").alias("t"), F.struct("a", "b").alias("own"), after.alias("next")).unionByName(firsts)
+    edges = edges.select(F.col(by).alias("_by"), F.col("t").alias("_at"), F.lit(0).alias("_kind"), F.struct("own", "next").alias("_s"), F.lit(None).cast(events.select(F.struct(*columns).alias("r")).schema["r"].dataType).alias("_row"))
+    asked = events.select(F.col(by).alias("_by"), F.col("t").cast("bigint").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(edges.schema["_s"].dataType).alias("_s"), F.struct(*columns).alias("_row"))
+    both = bucketed(edges.unionByName(asked), "_at")
+    found = carried(both, ["_by"], F.col("_s"), [F.col("_at"), F.col("_kind")])
+    upto = Window.partitionBy("_by", BUCKET).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("_s", F.coalesce(F.last("_s", ignorenulls=True).over(upto), F.col("_carried"))).filter("_kind = 1 AND _s IS NOT NULL")
+    t = F.col("_at")
+    here = F.least(t, F.col("_s.own.b"))
+    there = F.col("_s.next.a")
+    moved = F.when(F.col("_s.own.b").isNull(), there).when(there - t < t - here, there).otherwise(here)
+    return found.select(moved.alias("_moved"), "_row.*").withColumn("t", F.col("_moved")).drop("_moved")
+
+
 def forward_fill(rows: DataFrame, column: str, by: Sequence[str], order: Sequence[str], unit: int = BUCKET_US) -> DataFrame:
     """Replaces nulls of `column` by the last value before in the group; the first of `order` is a number, dealt to buckets of `unit`."""
     window = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

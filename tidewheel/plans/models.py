@@ -15,6 +15,7 @@ from tidewheel.functions import likelihood, special, timeaxis
 from tidewheel.operators import alias, calibration, kernel, renewal
 from tidewheel.operators import events as ops
 from tidewheel.operators import lattice as lat
+from tidewheel.operators.quantiles import exact_percentiles
 from tidewheel.plans import frames, phases
 from tidewheel.plans.frames import EVENTS_SQL, OBSERVED_SQL, WINDOWS_SQL, pos_mod
 
@@ -284,10 +285,10 @@ _STAR = 120.0
 )
 def fap_collate(spark: SparkSession, d: str) -> DataFrame:
     """False-alarm probability and percentiles of each family; the conservative one is the largest of the complete families."""
-    rows = spark.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("family"))
-    pct = {name: F.round(F.percentile("value", F.lit(q)), 6) for name, q in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99), ("p999", 0.999))}
-    n = F.count("*")
-    found = rows.agg(n.alias("n_sims"), F.count_if(F.col("value") >= _STAR).alias("n_ge"), F.round(F.avg((F.col("value") >= _STAR).cast("double")), 8).alias("fap"), *[c.alias(k) for k, c in pct.items()])
+    sims = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("family"), "value")
+    found = sims.groupBy("family").agg(F.count("*").alias("n_sims"), F.count_if(F.col("value") >= _STAR).alias("n_ge"), F.round(F.avg((F.col("value") >= _STAR).cast("double")), 8).alias("fap"))
+    shares = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
+    found = found.join(exact_percentiles(sims, ["family"], "value", shares).select("family", *[F.round(c, 6).alias(c) for c in shares]), "family", "left")
     found = found.withColumn("p99", F.when(F.col("n_sims") >= 100, F.col("p99"))).withColumns({"stage1_complete": F.col("n_sims") >= 1000, "stop_rule": F.coalesce(F.col("p99") > _STAR, F.lit(False))})
     return found.withColumn("fap_conservative", F.max(F.when(F.col("stage1_complete"), F.col("fap"))).over(Window.partitionBy()))
 

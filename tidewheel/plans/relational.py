@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions import timeaxis
+from tidewheel.functions.noise import normal
 from tidewheel.operators import events as ops
 from tidewheel.plans import frames
 from tidewheel.sources import text
@@ -196,6 +199,48 @@ def interval_precedence_merge(spark: SparkSession, d: str) -> DataFrame:
     return ops.precedence_merge([_layer(windows, name, *rule) for name, rule in zip("PKN", _LAYERS, strict=True)])
 
 
+_ADJACENT = 43_200_000  # 5e-4 days
+
+
+def _precedence_layers(windows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three layers in which every verdict occurs: some of the third begin just after one of the second ends."""
+    shift = 5 * frames.HOUR_US + 20_000_000
+    after = windows.filter("session % 4 = 1").select("campaign", F.lit("N").alias("layer"), (100 + F.col("session")).alias("session"), (F.col("b") + shift).alias("a"), (F.col("b") + shift + frames.HOUR_US).alias("b"))
+    return _layer(windows, "P", 3, 0, 0), _layer(windows, "K", 2, 1, 5), _layer(windows, "N", 5, 2, 9).unionByName(after)
+
+
+@query(
+    f"WITH {frames.WINDOWS_SQL}, p AS ({_layer_sql('P', 3, 0, 0)}), k0 AS ({_layer_sql('K', 2, 1, 5)}), n0 AS ({_layer_sql('N', 5, 2, 9)} UNION ALL SELECT campaign, 'N', 100 + session, b + {5 * frames.HOUR_US + 20_000_000}, b + {6 * frames.HOUR_US + 20_000_000} FROM win WHERE session % 4 = 1), "
+    "k1 AS (SELECT *, EXISTS (SELECT 1 FROM p WHERE p.campaign = k0.campaign AND k0.a < p.b AND p.a < k0.b) AS gone FROM k0), n1 AS (SELECT *, EXISTS (SELECT 1 FROM p WHERE p.campaign = n0.campaign AND n0.a < p.b AND p.a < n0.b) AS gone FROM n0), "
+    f"k2 AS (SELECT *, EXISTS (SELECT 1 FROM n1 WHERE NOT n1.gone AND n1.campaign = k1.campaign AND k1.a < n1.b AND n1.a < k1.b) AS pinned, EXISTS (SELECT 1 FROM n1 WHERE NOT n1.gone AND n1.campaign = k1.campaign AND abs(n1.a - k1.b) < {_ADJACENT}) AS touched FROM k1), "
+    f"n2 AS (SELECT *, EXISTS (SELECT 1 FROM k2 WHERE NOT k2.gone AND k2.campaign = n1.campaign AND (pinned AND n1.a < k2.b AND k2.a < n1.b OR NOT pinned AND abs(n1.a - k2.b) < {_ADJACENT})) AS pins FROM n1) "
+    "SELECT *, 'kept' AS verdict FROM p UNION ALL SELECT campaign, layer, session, a, b, CASE WHEN gone THEN 'consumed' WHEN pinned OR touched THEN 'kept' ELSE 'dropped' END FROM k2 UNION ALL SELECT campaign, layer, session, a, b, CASE WHEN gone OR pins THEN 'consumed' ELSE 'kept' END FROM n2"
+)
+def precedence_pinned(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of three logs by precedence: the second needs one of the third, over it or beginning at its end."""
+    return ops.pinned_merge(*_precedence_layers(frames.windows(spark, d)), _ADJACENT)
+
+
+_JITTER_US = 10_000_000
+
+
+def _uniform_sql(counter: int) -> str:
+    return f"((('0x' || substr(md5('{counter}:' || CAST(event_id AS VARCHAR)), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+@query(
+    f"WITH {frames.EVENTS_SQL}, {frames.WINDOWS_SQL}, j AS (SELECT campaign, event_id, t + CAST(round({_JITTER_US} * sqrt(-2 * ln({_uniform_sql(1)})) * cos({2 * math.pi!r}::DOUBLE * {_uniform_sql(2)})) AS BIGINT) AS t FROM ev), "
+    "o AS (SELECT j.*, win.b AS own_b FROM j ASOF LEFT JOIN win ON j.campaign = win.campaign AND j.t >= win.a), "
+    "n AS (SELECT o.*, win.a AS next_a FROM o ASOF LEFT JOIN win ON o.campaign = win.campaign AND o.t < win.a) "
+    "SELECT campaign, event_id, CASE WHEN own_b IS NULL OR next_a - t < t - least(t, own_b) THEN next_a ELSE least(t, own_b) END AS t FROM n"
+)
+def jitter_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Events moved by normal noise of ten seconds, then into the nearer of the sessions before and after."""
+    rows = frames.events(spark, d).select("campaign", "event_id", "t")
+    moved = F.col("t") + F.round(_JITTER_US * normal(1, F.col("event_id"))).cast("bigint")
+    return ops.settled(rows.withColumn("t", moved), frames.windows(spark, d))
+
+
 @query(
     f"WITH {frames.EVENTS_SQL}, old AS (SELECT event_id, t - 5000 - (event_id % 15) * 1000 AS t0 FROM ev WHERE event_id % 3 = 0) SELECT ev.event_id, t, t0 AS t_superseded, round((t - t0) / 1000.0::DOUBLE, 3) AS shift_ms FROM ev LEFT JOIN old ON ev.event_id = old.event_id"
 )

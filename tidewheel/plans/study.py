@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tidewheel.operators import calibration, kernel
 from tidewheel.operators.events import margins, merge_gaps
 from tidewheel.operators.lattice import even_chunks, octave_grid
+from tidewheel.operators.quantiles import exact_percentiles
 from tidewheel.sources.sinks import UnitStore
 
 Inputs = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -157,8 +158,9 @@ def collate(sims: DataFrame, campaigns: int, star: float) -> DataFrame:
     simulations on, a family is complete from 1,000 on, and should stop if the 99th
     passes `star`.
     """
-    whole = sims.groupBy("family", "sim").agg(F.count("*").alias("n"), F.max("lam").alias("lam")).filter(F.col("n") == campaigns)
-    rows = whole.groupBy("family").agg(F.count("*").alias("n_sims"), F.count_if(F.col("lam") >= star).alias("n_ge"), *[F.percentile("lam", F.lit(q)).alias(f"p{q}") for q in (0.5, 0.9, 0.99, 0.999)])
+    whole = sims.groupBy("family", "sim").agg(F.count("*").alias("n"), F.max("lam").alias("lam")).filter(F.col("n") == campaigns).select("family", "lam")
+    counts = whole.groupBy("family").agg(F.count("*").alias("n_sims"), F.count_if(F.col("lam") >= star).alias("n_ge"))
+    rows = counts.join(exact_percentiles(whole, ["family"], "lam", {f"p{q}": q for q in (0.5, 0.9, 0.99, 0.999)}).drop("n"), "family")
     rows = rows.withColumn("fap", F.col("n_ge") / F.col("n_sims")).withColumn("p0.99", F.when(F.col("n_sims") >= 100, F.col("`p0.99`")))
     return rows.withColumns({"complete": F.col("n_sims") >= 1000, "stop": F.coalesce(F.col("`p0.99`") > star, F.lit(False))})
 
@@ -178,18 +180,11 @@ def acceptance(spark: SparkSession, windows: tuple[np.ndarray, np.ndarray], peri
     def inject(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for u in batch.itertuples():
-                rng = np.random.default_rng([42, 2, int(u.name == "M3"), int(u.i), int(jitter > 0)])
-                period, width, tau = float(rng.choice(periods)), 0.2, 0.15 if u.name == "M3" else None
-                true = kernel.Cell(0.0, period, width, tau, 0.3)
-                t = calibration.renewal.simulate_homogeneous(rng, 6 * rate, a, b)
-                phi = np.mod(t - a[0] - 0.3, period)
-                inside = phi < (width if tau is None else min(tau + width, period))
-                t = t[inside | (rng.random(len(t)) < 0.02 / 6)]
-                t = calibration.jittered(rng, t, a, b, jitter) if jitter and len(t) else t
-                verdict = None
-                if int(np.sum(inside)) >= 25:
-                    best = max((kernel.scan(t, a, b, periods, p, **scan) for p in (True, False)), key=lambda c: c.ll)
-                    verdict = float(calibration.recovered(t, a, b, true, best, (60 / 86400) / (4 * period * span)))
+                trial, verdict = calibration.injection(u.name, int(u.i), a, b, periods, rate, jitter), None
+                if trial is not None:
+                    t, true = trial
+                    best = max((kernel.scan(t, a, b, periods, paired, **scan) for paired in (True, False)), key=lambda c: c.ll)
+                    verdict = float(calibration.recovered(t, a, b, true, best, (60 / 86400) / (4 * true.period * span)))
                 yield pd.DataFrame([(u.name, u.i, verdict)], columns=["name", "i", "value"])
 
     def trials(names: Sequence[str], n: int, f) -> DataFrame:
