@@ -18,6 +18,7 @@ from tidewheel.operators import lattice as lat
 from tidewheel.operators.quantiles import exact_percentiles
 from tidewheel.plans import frames, phases
 from tidewheel.plans.frames import EVENTS_SQL, OBSERVED_SQL, WINDOWS_SQL, pos_mod
+from tidewheel.sources.shared import cut
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -444,9 +445,9 @@ def _profiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["campaign", "shapes", "p", "q", "ll"])
 
 
-def _weibull_fits(spark: SparkSession, d: str) -> DataFrame:
+def _weibull_fits(spark: SparkSession, d: str, sessions: DataFrame | None = None) -> DataFrame:
     """campaign, shape p, rate q and ll of the renewal model: a ladder of shapes, refined about the best, with the rate worked out at each."""
-    waits, sessions = _waits(spark, d), _sessions(spark, d)
+    waits, sessions = cut(_waits(spark, d)), cut(_sessions(spark, d)) if sessions is None else sessions  # read in each round
     ladder = F.array(*[F.lit(float(k)) for k in np.geomspace(0.05, 5.0, LADDER)])
     best = sessions.select("campaign", ladder.alias("shapes"))
     for _ in range(LADDER_ROUNDS):
@@ -454,7 +455,7 @@ def _weibull_fits(spark: SparkSession, d: str) -> DataFrame:
     return best.select("campaign", F.lit("M4").alias("family"), "p", "q", "ll")
 
 
-def _gamma_fits(spark: SparkSession, d: str) -> DataFrame:
+def _gamma_fits(spark: SparkSession, d: str, sessions: DataFrame | None = None) -> DataFrame:
     """campaign, alpha p, beta q and ll of the gamma-mixed model, from the sessions' counts."""
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -465,7 +466,7 @@ def _gamma_fits(spark: SparkSession, d: str) -> DataFrame:
                 out.append((row.campaign, "M5", *renewal.fit_gamma_counts(n, w, max(1, int(n.sum())) / float(w.sum()))))
             yield pd.DataFrame(out, columns=["campaign", "family", "p", "q", "ll"])
 
-    return _sessions(spark, d).repartition("campaign").mapInPandas(fit, "campaign string, family string, p double, q double, ll double")
+    return (_sessions(spark, d) if sessions is None else sessions).repartition("campaign").mapInPandas(fit, "campaign string, family string, p double, q double, ll double")
 
 
 @query()
@@ -514,34 +515,21 @@ EVENTS_AT_ONCE = 100_000
 def kernel_winners(events: DataFrame, sessions: DataFrame, periods: list[float], **scan) -> DataFrame:
     """Each campaign's best cell of both visit models: events (campaign, t in days) and sessions (campaign, a, b, n).
 
-    Events stay where they are: a task counts its own into the cells of the lattice,
-    the counts are summed by cell, and each chunk of periods is judged once from the
-    sums and the sessions.  Only cells are shuffled, whatever the number of events;
-    the winner is the first of the greatest, in scan order.
+    A campaign's events are dealt to blocks of about `EVENTS_AT_ONCE`; each block is
+    counted once into the cells of the lattice, the counts are summed by cell, and each
+    chunk of periods is judged once from the sums and the sessions.  The winner is the
+    first of the greatest, in scan order.
     """
     chunks = [periods[s : s + CHUNK] for s in range(0, len(periods), CHUNK)]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, list[np.ndarray]] = {}
-        total: dict[tuple[str, str, int], np.ndarray] = {}
-
-        def settle(campaign: str) -> None:
-            t = np.concatenate(held.pop(campaign))
-            for model in ("M2", "M3"):
-                for i, own in enumerate(chunks):
-                    key = campaign, model, i
-                    total[key] = total.get(key, 0) + kernel.cell_counts(t, own, model == "M3", **scan)
-
-        for batch in batches:
-            for campaign, own in batch.groupby("campaign")["t"]:
-                held.setdefault(campaign, []).append(own.to_numpy())
-                if sum(map(len, held[campaign])) > EVENTS_AT_ONCE:
-                    settle(campaign)
-        for campaign in list(held):
-            settle(campaign)
-        for (campaign, model, i), n in total.items():
-            some = np.flatnonzero(n)
-            yield pd.DataFrame({"campaign": campaign, "model": model, "chunk": i, "cell": some, "n": n[some]})
+    def count(block: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(columns=["campaign", "model", "chunk", "cell", "n"])]
+        for model in ("M2", "M3"):
+            for i, own in enumerate(chunks):
+                n = kernel.cell_counts(block["t"].to_numpy(), own, model == "M3", **scan)
+                some = np.flatnonzero(n)
+                out.append(pd.DataFrame({"campaign": block["campaign"].iloc[0], "model": model, "chunk": i, "cell": some, "n": n[some]}))
+        return pd.concat(out[1:])
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -555,9 +543,10 @@ def kernel_winners(events: DataFrame, sessions: DataFrame, periods: list[float],
                 out.append((row.campaign, row.model, row.chunk, c.ll, c.period, c.sigma, c.tau, c.t0))
             yield pd.DataFrame(out, columns=["campaign", "model", "chunk", "ll", "period", "sigma", "tau", "t0"])
 
-    origin = sessions.select("campaign", F.element_at("a", 1).alias("origin"))
-    placed = events.join(origin, "campaign").select("campaign", (F.col("t") - F.col("origin")).alias("t"))
-    counted = placed.mapInPandas(count, "campaign string, model string, chunk int, cell bigint, n bigint").groupBy("campaign", "model", "chunk", "cell").agg(F.sum("n").alias("n"))
+    held = F.aggregate("n", F.lit(0).cast("bigint"), lambda x, y: x + y)
+    origin = sessions.select("campaign", F.element_at("a", 1).alias("origin"), F.greatest(F.ceil(held / EVENTS_AT_ONCE), F.lit(1)).alias("blocks"))
+    placed = events.join(origin, "campaign").select("campaign", F.pmod(F.xxhash64("t"), "blocks").alias("block"), (F.col("t") - F.col("origin")).alias("t"))
+    counted = placed.groupBy("campaign", "block").applyInPandas(count, "campaign string, model string, chunk int, cell bigint, n bigint").groupBy("campaign", "model", "chunk", "cell").agg(F.sum("n").alias("n"))
     cells = counted.groupBy("campaign", "model", "chunk").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))  # no more than the cells of a chunk
     grid = events.sparkSession.createDataFrame([(m, i) for m in ("M2", "M3") for i in range(len(chunks))], "model string, chunk int")
     rows = sessions.join(F.broadcast(grid)).join(cells, ["campaign", "model", "chunk"], "left").repartition("campaign", "model", "chunk")
@@ -567,16 +556,17 @@ def kernel_winners(events: DataFrame, sessions: DataFrame, periods: list[float],
 
 
 @query()
-def kernel_scan(spark: SparkSession, d: str) -> DataFrame:
+def kernel_scan(spark: SparkSession, d: str, sessions: DataFrame | None = None) -> DataFrame:
     events = frames.observed(spark, d).select("campaign", _day(F.col("t")).alias("t"))
-    return kernel_winners(events, _sessions(spark, d), _KERNEL_PERIODS, **_KERNEL_SCAN)
+    return kernel_winners(events, cut(_sessions(spark, d)) if sessions is None else sessions, _KERNEL_PERIODS, **_KERNEL_SCAN)
 
 
 @query()
 def lambda_full(spark: SparkSession, d: str) -> DataFrame:
     """The statistic with fitted session models and the kernel's scans: all six likelihoods of each campaign."""
-    scans = kernel_scan(spark, d).groupBy("campaign").pivot("model", ["M2", "M3"]).agg(F.first("ll"))
+    sessions = cut(_sessions(spark, d))
+    scans = kernel_scan(spark, d, sessions).groupBy("campaign").pivot("model", ["M2", "M3"]).agg(F.first("ll"))
     rows = phases.m0_ll(spark, d).select("campaign", F.col("ll").alias("M0")).join(phases.m1_scan(spark, d).select("campaign", F.col("ll").alias("M1")), "campaign")
     for family, fits in (("M4", _weibull_fits), ("M5", _gamma_fits)):
-        rows = rows.join(fits(spark, d).select("campaign", F.col("ll").alias(family)), "campaign")
+        rows = rows.join(fits(spark, d, sessions).select("campaign", F.col("ll").alias(family)), "campaign")
     return rows.join(scans, "campaign").withColumn("lam", 2 * (F.greatest("M2", "M3") - F.greatest("M0", "M1", "M4", "M5")))
