@@ -68,9 +68,9 @@ class UnitStore:
         self.spark, self.path, self.schema, self.key = spark, path, schema, list(key)
 
     def append(self, results: DataFrame) -> None:
-        """Adds a batch under a name of its own; a batch is visible whole or not at all."""
-        stamp = F.lit(self._next()).cast("bigint")
-        results.withColumn("written", stamp).write.mode("append").parquet(f"{self.path}/batches")
+        """Adds a batch under a name of its own; a batch is visible whole or not at all, and of two written at once one wins whole."""
+        stamp = {"written": F.lit(self._next()).cast("bigint"), "batch": F.lit(uuid.uuid4().hex)}
+        results.withColumns(stamp).write.mode("append").parquet(f"{self.path}/batches")
 
     def _next(self) -> int:
         rows = self.rows()
@@ -80,13 +80,13 @@ class UnitStore:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches")
         if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
             return None
-        return self.spark.read.schema(f"{self.schema}, written bigint").parquet(f"{self.path}/batches")
+        return self.spark.read.schema(f"{self.schema}, written bigint, batch string").parquet(f"{self.path}/batches")
 
     def done(self) -> DataFrame:
         rows = self.rows()
         if rows is None:
             return self.spark.createDataFrame([], self.schema)
-        return latest_by_key(rows, self.key, ["written"]).drop("written")
+        return latest_by_key(rows, self.key, ["written", "batch"]).drop("written", "batch")
 
     def pending(self, units: DataFrame) -> DataFrame:
         return units.join(self.done().select(self.key), self.key, "left_anti")
@@ -111,9 +111,19 @@ def require_last_line(spark: SparkSession, path: str, text: str = "ALL PASS") ->
 
 
 def read_summaries(spark: SparkSession, pattern: str, schema: str, key: Sequence[str]) -> DataFrame:
-    """JSON-line summaries of many files; of one key the row of the file that sorts last wins, and in it the last by content."""
-    rows = spark.read.schema(schema).json(pattern).withColumn("_file", F.col("_metadata.file_path"))
-    return latest_by_key(rows, key, ["_file"]).drop("_file")
+    """JSON-line summaries of many files; of one key the last line of the file that sorts last wins.
+
+    Lines of a split of a file come in order, and splits are ordered by where they begin.
+    """
+    place = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}
+    rows = spark.read.schema(schema).json(pattern).withColumns(place)
+    return latest_by_key(rows, key, list(place)).drop(*place)
+
+
+def replace_campaigns(rows: DataFrame, path: str) -> DataFrame:
+    """Overwrites the partitions of the campaigns that `rows` has and leaves all others; returns the whole table as read back."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("campaign").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def environment(spark: SparkSession) -> dict[str, str]:

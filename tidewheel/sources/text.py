@@ -16,9 +16,17 @@ def csv_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no (order within the file) and line."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
-    return rows.withColumn("line_no", F.monotonically_increasing_id())
+    """path, line_no (from 0 within the file) and line, whatever the splits that a file is read in.
+
+    A split begins at a known byte and its lines come in order; a line's number is its
+    place there and the number of lines of the file's earlier splits.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_at"))
+    blocks = rows.groupBy("path", "_block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("_block")) - F.col("n")
+    place = F.row_number().over(Window.partitionBy("path", "_block").orderBy("_at")) - 1
+    joined = rows.join(blocks.select("path", "_block", before.alias("_before")), ["path", "_block"])
+    return joined.select("path", (place + F.col("_before")).cast("bigint").alias("line_no"), "line")
 
 
 def table_cells(lines: DataFrame, part: str, order: str, begin: str, end: str, row: str) -> DataFrame:
