@@ -10,10 +10,10 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidewheel.functions import noise
+from tidewheel.functions import arrival, astronomy, noise
 from tidewheel.operators import alias, events, quantiles
 from tidewheel.operators import lattice as lat
-from tidewheel.plans import frames, phases
+from tidewheel.plans import frames, phases, study
 
 DATA = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables are not here")
@@ -157,3 +157,44 @@ def test_batched_streams_equal_one_scan_each(spark):
         assert best
         for r in best:
             assert {k: together[r["campaign"], s][k] for k in (*order, "ll", "n_in")} == {k: r[k] for k in (*order, "ll", "n_in")}
+
+
+def test_arrival_columns_equal_the_direct_computation(spark):
+    times = np.linspace(57760.0, 60900.0, 41)
+    rows = [(float(t), site, float(ra), float(dec)) for t, site, ra, dec in zip(times, ["torun", "effelsberg", "Onsala85"] * 14, np.linspace(0, 350, 41), np.linspace(-80, 80, 41), strict=False)]
+    known = {r["site"]: (r["x"], r["y"], r["z"]) for r in arrival.sites(spark).collect()}
+    table = spark.createDataFrame([(*r, *known[r[1].lower()]) for r in rows], "utc double, site string, ra double, dec double, x double, y double, z double")
+    got = arrival.with_arrival(table).collect()
+    for r in got:
+        assert abs(r["bjd"] - astronomy.barycentric(np.asarray([r["utc"]]), r["site"], r["ra"], r["dec"])[0]) < 1e-9
+
+
+def test_leap_seconds_are_looked_up_as_of_the_day(spark):
+    """Announced steps: 10 s from 1972, 32 from 1999, 33 from 2006, 37 from 2017; an hour before each it is one less."""
+    want = {41316.9: None, 41317.0: 10, 41498.9: 10, 41499.0: 11, 51178.9: 31, 51179.0: 32, 53735.9: 32, 53736.0: 33, 57753.99: 36, 57754.0: 37, 60900.0: 37}
+    got = spark.createDataFrame([(x,) for x in want], "m double").select("m", arrival.leap_seconds(F.col("m")).alias("s")).collect()
+    assert {r["m"]: r["s"] for r in got} == want
+    eccentric = spark.createDataFrame([(m / 10, e / 10) for m in range(-30, 31) for e in range(4)], "m double, e double").select("m", "e", arrival.eccentric_anomaly(F.col("m"), F.col("e")).alias("x")).collect()
+    assert all(abs(r["x"] - r["e"] * math.sin(r["x"]) - r["m"]) < 1e-12 for r in eccentric)
+
+
+def test_gates_come_before_a_study(spark, tmp_path):
+    (tmp_path / "report.txt").write_text("one failed\n")
+    nothing = ({}, str(tmp_path / "units"))
+    with pytest.raises(ValueError, match="ALL PASS"):
+        study.confirm(spark, *nothing, validated=str(tmp_path / "report.txt"))
+    with pytest.raises(ValueError, match="recorded"):
+        study.confirm(spark, *nothing, conversion=(np.asarray([1.0]), np.asarray([1.1])))
+
+
+def test_the_live_rule_by_its_whole_grid(spark):
+    windows = spark.createDataFrame([("c", i * 86_400_000_000, (24 * i + 5) * HOUR) for i in range(20)], "campaign string, a bigint, b bigint")
+    tol = 2 / (19 + 5 / 24)
+    peaks = spark.createDataFrame([("c", k, 0.05 + 0.083 * k, tol) for k in range(60)], "campaign string, peak_id int, f double, tol double")
+    a = np.arange(20.0)
+    b = a + 5 / 24
+    for r in alias.flag_live(peaks, windows).collect():
+        g = np.arange(tol, max(3.0, 1.5 * r["f"]), tol / 4)
+        power = np.abs(np.sum(np.exp(2j * np.pi * np.outer(g, b)) - np.exp(2j * np.pi * np.outer(g, a)), axis=1) / (2 * np.pi * g)) ** 2 / np.sum(b - a) ** 2
+        assert r["near_peak"] == bool(np.any(np.abs(g[power > 0.2] - r["f"]) < tol)), r
+        assert r["rational"] == any(abs(r["f"] - x) < tol for x in alias.day_rational_values())

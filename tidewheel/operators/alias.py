@@ -29,6 +29,11 @@ def day_rationals(spark: SparkSession) -> DataFrame:
     return rows.select(F.round(F.col("n") * (F.col("p") / F.col("q")) * F.col("turn"), 9).alias("f")).distinct()
 
 
+def day_rational_values() -> list[float]:
+    """The same as numbers."""
+    return sorted({round(n * (p / q) * turn, 9) for n in HARMONICS for p in RATIO for q in RATIO for turn in (SIDEREAL, SOLAR)})
+
+
 def spectral_power(windows: DataFrame, frequencies: DataFrame, by: str = "campaign") -> DataFrame:
     """Squared modulus of the windows' transform over live time at each frequency (per day); 0 at frequency 0.
 
@@ -64,6 +69,29 @@ def flag_peaks(peaks: DataFrame, rationals: DataFrame, intervals: DataFrame, tol
     return rows.withColumn("source", F.when(F.col("rational"), "day_rational").when(F.col("held"), "window_peak")).drop("rational", "held")
 
 
+LIVE_STEPS = 4  # of the live rule's grid to a tolerance
+LIVE_LEAST = 3.0  # its grid ends there, or at half as much again as the peak
+
+
+def flag_live(peaks: DataFrame, windows: DataFrame) -> DataFrame:
+    """Adds `rational` and `near_peak` to peaks (campaign, peak_id, f, tol): less than tol from a day-rational, or from a grid point of the spectral window above `PEAK`.
+
+    The grid runs from tol in steps of tol / 4 up to the greater of 3 and 1.5 f; only its
+    at most 8 points that are near enough are made, so no grid is scanned.
+    """
+    f, tol = F.col("f"), F.col("tol")
+    step = tol / LIVE_STEPS
+    points = F.ceil((F.greatest(F.lit(LIVE_LEAST), 1.5 * f) - tol) / step).cast("bigint")
+    first = F.greatest(F.floor((f - 2 * tol) / step).cast("bigint"), F.lit(0).cast("bigint"))
+    last = F.least(F.ceil(f / step).cast("bigint"), points - 1)
+    j = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    grid = peaks.select("campaign", "peak_id", "f", "tol", F.explode(j).alias("j")).withColumn("g", tol + F.col("j") * step).filter(F.abs(F.col("g") - f) < tol)
+    power = spectral_power(windows, grid.select("campaign", F.struct("peak_id", "j").alias("i"), F.col("g").alias("f")))
+    above = power.filter(F.round("power", 6) > PEAK).select("campaign", F.col("i.peak_id").alias("peak_id")).distinct().withColumn("near_peak", F.lit(True))
+    near = F.exists(F.array(*[F.lit(x) for x in day_rational_values()]), lambda x: F.abs(f - x) < tol)
+    return peaks.join(above, ["campaign", "peak_id"], "left").withColumns({"near_peak": F.coalesce("near_peak", F.lit(False)), "rational": near})
+
+
 CHUNK = 4096  # frequencies that a task works on at once
 
 

@@ -79,3 +79,20 @@ def alias_set_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = alias.alias_summary(windows, octaves, alias.alias_octaves(octaves, runs), runs)
     rounded = {c: F.round(c, 9 if c in ("tolerance", "flagged_frac") else 6) for c in ("span_days", "live_days", "p_max_days", "tolerance", "flagged_frac")}
     return rows.withColumns(rounded)
+
+
+_CANDIDATES = 16
+_LIVE_SQL = f"""{WINDOWS_SQL}, wd AS (SELECT campaign, a / 8.64e10::DOUBLE AS a, b / 8.64e10::DOUBLE AS b FROM win),
+pk AS (SELECT campaign, k AS peak_id, 0.15::DOUBLE + k * 0.37::DOUBLE AS f, 2 / ((arg_max(b, a) - min(a)) / 8.64e10::DOUBLE) AS tol FROM win, (SELECT unnest(range(0, {_CANDIDATES}))::BIGINT AS k) GROUP BY campaign, k),
+gp AS (SELECT * FROM (SELECT campaign, peak_id, f, tol, tol + j * (tol / 4) AS g FROM (SELECT *, unnest(range(0, CAST(ceil((greatest(3.0::DOUBLE, 1.5::DOUBLE * f) - tol) / (tol / 4)) AS BIGINT))) AS j FROM pk)) WHERE abs(g - f) < tol),
+pw AS (SELECT gp.campaign, peak_id, g, round((pow(sum((sin({_PI2} * g * b) - sin({_PI2} * g * a)) / ({_PI2} * g)), 2) + pow(sum((cos({_PI2} * g * a) - cos({_PI2} * g * b)) / ({_PI2} * g)), 2)) / pow(sum(b - a), 2), 6) AS power FROM gp JOIN wd ON wd.campaign = gp.campaign GROUP BY ALL),
+ra AS (SELECT DISTINCT round(n * (p / q) * turn, 9) AS x FROM (SELECT unnest([1, 2]) AS n), (SELECT unnest([1.0::DOUBLE, 2, 3]) AS p), (SELECT unnest([1.0::DOUBLE, 2, 3]) AS q), (SELECT unnest([1.0::DOUBLE / 0.99726957::DOUBLE, 1.0]) AS turn))"""
+
+
+@query(f"WITH {_LIVE_SQL} SELECT campaign, peak_id, EXISTS (SELECT 1 FROM ra WHERE abs(pk.f - x) < tol) AS rational, EXISTS (SELECT 1 FROM pw WHERE pw.campaign = pk.campaign AND pw.peak_id = pk.peak_id AND power > 0.2) AS near_peak FROM pk")
+def alias_flag_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The live rule on each campaign's own grid: candidates less than 2 / span from a day-rational, or from a grid point above the threshold."""
+    spans = frames.windows(spark, d).groupBy("campaign").agg((2 / ((F.max_by("b", "a") - F.min("a")) / F.lit(float(DAY_US)))).alias("tol"))
+    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_CANDIDATES - 1).cast("bigint")))
+    peaks = spans.withColumn("peak_id", k).withColumn("f", F.lit(0.15) + F.col("peak_id") * 0.37)
+    return alias.flag_live(peaks, frames.windows(spark, d)).select("campaign", "peak_id", "rational", "near_peak")

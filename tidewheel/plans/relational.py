@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.functions import timeaxis
+from tidewheel.functions import arrival, timeaxis
+from tidewheel.functions.astronomy import SITES_XYZ
 from tidewheel.functions.noise import normal
 from tidewheel.operators import events as ops
 from tidewheel.plans import frames
@@ -317,3 +318,22 @@ def build_inputs(spark: SparkSession, d: str) -> DataFrame:
 def hash_split(spark: SparkSession, d: str) -> DataFrame:
     digest = F.sha2(F.col("event_id").cast("string").cast("binary"), 256)
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.conv(F.substring(digest, 1, 2), 16, 10).cast("bigint") % 2).alias("half"))
+
+
+_STATIONS = ("tianma65", "torun", "onsala85")
+_OFF = "(ascii(event_type) + length(event_type)) % 16"
+_TIMES_SQL = (
+    f"site AS (SELECT * FROM (VALUES {', '.join(str((k, *SITES_XYZ[s])) for k, s in enumerate(_STATIONS))}) s(station, x, y, z)), "
+    f"times AS (SELECT event_id, epoch_us(ts) / 8.64e10::DOUBLE + 40587 - 365.25::DOUBLE * (user_id % 40) AS utc, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, 1.5::DOUBLE + 15 * ({_OFF}) AS ra, 5.0::DOUBLE * ({_OFF}) - 30 AS dec FROM events JOIN site ON site.station = user_id % 3)"
+)
+
+
+@query(f"WITH {_TIMES_SQL}, {arrival.arrival_sql('times')} SELECT event_id, round(offset_s, 6) AS offset_s FROM arrived")
+def arrival_times(spark: SparkSession, d: str) -> DataFrame:
+    """Seconds to the barycentre of each event, over forty years back so that all kinds of leap seconds occur, for three sites."""
+    known = arrival.sites(spark).filter(F.col("site").isin(*_STATIONS))
+    station = F.coalesce(*[F.when(F.col("site") == s, k) for k, s in enumerate(_STATIONS)])
+    utc = timeaxis.mjd(F.col("ts")) - 365.25 * (F.col("user_id") % 40)
+    times = spark.read.parquet(f"{d}/events.parquet").select("event_id", utc.alias("utc"), (F.col("user_id") % 3).alias("station"), (1.5 + 15 * F.expr(_OFF)).alias("ra"), (5.0 * F.expr(_OFF) - 30).alias("dec"))
+    times = times.join(F.broadcast(known.withColumn("station", station)), "station")
+    return arrival.with_arrival(times).select("event_id", F.round("offset_s", 6).alias("offset_s"))

@@ -16,11 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewheel.functions.astronomy import require_conversion
 from tidewheel.operators import calibration, kernel
 from tidewheel.operators.events import margins, merge_gaps
 from tidewheel.operators.lattice import even_chunks, octave_grid
 from tidewheel.operators.quantiles import exact_percentiles
-from tidewheel.sources.sinks import UnitStore
+from tidewheel.sources.sinks import UnitStore, require_last_line
 
 Inputs = dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
 MODEL_WEIGHT = {"M2": 1.0, "M3": 5.0}
@@ -104,8 +105,16 @@ def _natural(spark: SparkSession, inputs: Inputs) -> DataFrame:
     return keys.mapInPandas(run, "campaign string, family string, ll double").groupBy("campaign").pivot("family", families).agg(F.first("ll"))
 
 
-def confirm(spark: SparkSession, inputs: Inputs, path: str, chunk: int = 100_000, least_period: float = 1 / 24, sigma: float = 60 / 86400, **scan) -> DataFrame:
-    """campaign, all six likelihoods and the statistic; resumes from what `path` holds."""
+def confirm(spark: SparkSession, inputs: Inputs, path: str, chunk: int = 100_000, least_period: float = 1 / 24, sigma: float = 60 / 86400, validated: str | None = None, conversion: tuple[np.ndarray, np.ndarray] | None = None, **scan) -> DataFrame:
+    """campaign, all six likelihoods and the statistic; resumes from what `path` holds.
+
+    Gates come first: the report `validated` has to end in ALL PASS, and converted and
+    recorded arrival times, if given, have to agree.
+    """
+    if validated is not None:
+        require_last_line(spark, validated)
+    if conversion is not None:
+        require_conversion(*conversion)
     store = UnitStore(spark, path, UNIT_SCHEMA, ["campaign", "octave", "model", "chunk"])
     todo = store.pending(scan_units(spark, inputs, least_period, sigma, chunk))
     if not todo.isEmpty():
