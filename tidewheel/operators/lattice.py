@@ -54,6 +54,20 @@ def octave_grid(spans: DataFrame, least_period: float, sigma: float) -> DataFram
     return rows.withColumn("n_f", count)
 
 
+def width_ladder(octaves: DataFrame, least_s: float) -> DataFrame:
+    """Each octave with k and sigma_s: `least_s` seconds and its doublings up to half the longest period; an octave without one is left out."""
+    half = F.col("t_hi") * 86400 / 2
+    k = F.floor(F.log2(half / least_s) + 1e-9).cast("bigint")
+    rows = octaves.filter(half >= least_s).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), k)))
+    return rows.withColumn("sigma_s", F.lit(least_s) * F.pow(F.lit(2.0), F.col("k"))).filter(F.col("sigma_s") * 2 <= F.col("t_hi") * 86400)
+
+
+def separations(octaves: DataFrame, least_s: float, number: int) -> DataFrame:
+    """Each octave with k and tau_s: `number` separations from `least_s` seconds in steps of 1.5, as far as twice one fits the longest period; an octave without one is left out."""
+    rows = octaves.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(number - 1).cast("bigint"))))
+    return rows.withColumn("tau_s", F.lit(least_s) * F.pow(F.lit(1.5), F.col("k"))).filter(F.col("tau_s") * 2 <= F.col("t_hi") * 86400)
+
+
 def periods(octaves: DataFrame) -> DataFrame:
     """One row for each period of `octaves`, shorter ones last in an octave; made where they are used, never stored."""
     rows = octaves.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_f") - 1)))

@@ -174,11 +174,14 @@ def rank_peaks(spark: SparkSession, d: str) -> DataFrame:
     return _peaks(spark, d).withColumn("place", F.row_number().over(order).cast("bigint"))
 
 
-@query(
-    "SELECT DISTINCT round(n * (p / q) * turn, 9) AS f FROM (SELECT unnest([1, 2]) AS n), (SELECT unnest([1.0::DOUBLE, 2, 3]) AS p), (SELECT unnest([1.0::DOUBLE, 2, 3]) AS q), (SELECT unnest([1.0::DOUBLE / 0.99726957::DOUBLE, 1.0]) AS turn)"
-)
+_RATIONALS_SQL = "SELECT DISTINCT round(n * (p / q) * turn, 9) AS f FROM (SELECT unnest([1, 2]) AS n), (SELECT unnest([1.0::DOUBLE, 2, 3]) AS p), (SELECT unnest([1.0::DOUBLE, 2, 3]) AS q), (SELECT unnest([1.0::DOUBLE / 0.99726957::DOUBLE, 1.0]) AS turn)"
+
+
+@query(f"WITH sp AS ({phases.SQL['campaign_span']}), ra AS ({_RATIONALS_SQL}) SELECT campaign, f FROM sp, ra WHERE f > 3 / (span_us / {DAY})")
 def alias_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    return alias.day_rationals(spark)
+    """The day-rational frequencies that lie above the lowest frequency each campaign's span can show."""
+    spans = phases.campaign_span(spark, d).withColumn("span", _day(F.col("span_us")))
+    return spans.join(F.broadcast(alias.day_rationals(spark))).filter(F.col("f") > 3 / F.col("span")).select("campaign", "f")
 
 
 _N_F = 400
@@ -226,7 +229,7 @@ def octave_alias_summary(spark: SparkSession, d: str) -> DataFrame:
 
 _TOL = 2 / 29
 _CANDIDATES_SQL = "pk AS (SELECT campaign, k AS peak_id, 0.15::DOUBLE + k * 0.37::DOUBLE AS f FROM cp, (SELECT unnest(range(0, 16))::BIGINT AS k))"
-_RATIONAL_SQL = f"ra AS ({SQL['alias_frequencies']})"
+_RATIONAL_SQL = f"ra AS ({_RATIONALS_SQL})"
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:

@@ -154,17 +154,19 @@ def grid_octaves(spark: SparkSession, d: str) -> DataFrame:
     return _octaves(spark, d).select("campaign", "octave", F.round("t_lo", 9).alias("t_lo"), F.round("t_hi", 9).alias("t_hi"), "n_f")
 
 
-@query(f"WITH {_GRID_SQL} SELECT period_id, k, CAST(60000000 * power(2, k) AS BIGINT) AS sigma_us FROM per, (SELECT unnest(range(0, 16))::BIGINT AS k) WHERE 60000000 * power(2, k) * 2 <= T")
+@query(f"WITH {WINDOWS_SQL}, {_OCT_SQL} SELECT campaign, octave, k, 60.0::DOUBLE * power(2.0::DOUBLE, k) AS sigma_s FROM oct, (SELECT unnest(range(0, 24))::BIGINT AS k) WHERE 120.0::DOUBLE * power(2.0::DOUBLE, k) <= t_hi * 86400")
 def sigma_ladder(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(PERIODS)), "period_id bigint, period_us bigint").withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.log2(F.col("period_us") / 120_000_000)))))
-    return rows.select("period_id", "k", (F.lit(60_000_000) * F.pow(F.lit(2), F.col("k"))).cast("bigint").alias("sigma_us")).distinct()
+    """The visit widths of each campaign's octaves: a minute and its doublings up to half the longest period."""
+    return lat.width_ladder(_octaves(spark, d), 60.0).select("campaign", "octave", "k", "sigma_s")
 
 
-@query(f"WITH {_GRID_SQL} SELECT period_id, k, round(60.0::DOUBLE * power(1.5::DOUBLE, k), 6) AS tau_s FROM per, (SELECT unnest(range(0, 17))::BIGINT AS k) WHERE 60.0::DOUBLE * power(1.5::DOUBLE, k) * 2000000 <= T")
+@query(
+    f"WITH {WINDOWS_SQL}, {_OCT_SQL} SELECT campaign, octave, k, round(60.0::DOUBLE * power(1.5::DOUBLE, k), 6) AS tau_s FROM oct, (SELECT unnest(range(0, 17))::BIGINT AS k) WHERE 120.0::DOUBLE * power(1.5::DOUBLE, k) <= t_hi * 86400"
+)
 def tau_grid(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(PERIODS)), "period_id bigint, period_us bigint").withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(16).cast("bigint"))))
-    tau = F.lit(60.0) * F.pow(F.lit(1.5), F.col("k"))
-    return rows.filter(tau * 2_000_000 <= F.col("period_us")).select("period_id", "k", F.round(tau, 6).alias("tau_s"))
+    """The separations of a pair of visits in each campaign's octaves, up to half the longest period."""
+    rows = lat.separations(_octaves(spark, d), 60.0, 17)
+    return rows.select("campaign", "octave", "k", F.round("tau_s", 6).alias("tau_s"))
 
 
 @query(f"WITH {frames.CAMPAIGNS_SQL}, {_L3_SQL}, c AS (SELECT *, unnest(range(0, n_t0)) AS i FROM lat) SELECT campaign, period_id, sigma_id, tau_id, i, i * h AS t0_us FROM c")
