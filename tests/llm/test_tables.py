@@ -291,7 +291,7 @@ def same(frame, con, sql):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     same(queries.QUERIES[name](spark, DATA), con, queries.ORACLE_SQL[name])
 
