@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions import arrival, timeaxis
@@ -311,7 +311,7 @@ def scan_manifest_check(spark: SparkSession, d: str) -> DataFrame:
 def build_inputs(spark: SparkSession, d: str) -> DataFrame:
     merged = ops.merge_gaps(frames.events(spark, d), ["campaign"], 600_000_000)
     kept = ops.margins(merged, frames.windows(spark, d), 30_000_000).filter("near").select("campaign", "event_id", "t", "margin")
-    return kept.withColumn("n_kept", F.count("*").over(Window.partitionBy("campaign")))
+    return kept.join(kept.groupBy("campaign").agg(F.count("*").alias("n_kept")), "campaign").select("campaign", "event_id", "t", "margin", "n_kept")
 
 
 @query("SELECT event_id, ('0x' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 2))::BIGINT % 2 AS half FROM events")
