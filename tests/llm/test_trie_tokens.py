@@ -92,6 +92,14 @@ def test_trie_of_many_copies_and_a_long_conversation(spark):
     assert found_trie(trie.prefix_trie(spark.createDataFrame(rows, SCHEMA).repartition(5))) == want
 
 
+def test_trie_with_large_nodes_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(trie, "LARGE_LEAST", 2)
+    monkeypatch.setattr(trie, "LARGE_NODES", 12)
+    dice = random.Random(6)
+    rows = [(c, i, "user", "hot" if i == 0 and c % 3 else dice.choice("ab")) for c in range(1, 90) for i in range(dice.randrange(1, 6))]
+    assert found_trie(trie.prefix_trie(spark.createDataFrame(rows, SCHEMA))) == plain_trie(rows)
+
+
 def test_trie_joins_ends_beyond_one_chunk(spark, monkeypatch):
     monkeypatch.setattr(trie, "CHUNK_BITS", 3)
     rows = [(c, i, "user", "copy") for c in range(0, 3000, 100) for i in range(2)]

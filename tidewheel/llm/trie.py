@@ -26,6 +26,7 @@ from tidewheel.llm.session import cut, drop
 CENTURY, TAKEN_BELOW = 100, 6  # a conversation takes fewer than TAKEN_BELOW first turns of the first of its hundred
 RUN_BITS = 8  # turns are ordered within runs of 2^RUN_BITS, and only totals of runs meet
 CHUNK_BITS = 10  # ids of a node are joined within ranges of 2^CHUNK_BITS
+LARGE_NODES, LARGE_LEAST = 4096, 500  # nodes that are joined by broadcast: this many at most, of this many members at least
 BEFORE_ALL = -(1 << 62)  # the run of null turns
 PART_BITS = 33  # of a row's place in its partition, in monotonically_increasing_id
 
@@ -96,10 +97,24 @@ def _prefixes(convs: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return rows.unionByName(root)
 
 
-def _members(prefixes: DataFrame) -> DataFrame:
-    """A row for each conversation and depth with its node: rep (smallest member), n_convs, n_ends, and the node's own weights if it is the smallest member."""
+def _with_nodes(prefixes: DataFrame) -> DataFrame:
+    """The prefixes with their node's rep (smallest member), n_convs and n_ends.
+
+    Nodes with at least one in `LARGE_NODES` of all rows, of which there can be no more
+    than `LARGE_NODES`, go to the rows by broadcast; so no key of the shuffled join has
+    more rows than that share.
+    """
     nodes = prefixes.groupBy("depth", "key").agg(F.min("conv").alias("rep"), F.count("*").alias("n_convs"), F.count_if(F.col("depth") == F.col("len")).alias("n_ends"))
-    rows = prefixes.join(nodes, ["depth", "key"])
+    nodes = cut(nodes)
+    least = max(LARGE_LEAST, -(-(nodes.agg(F.sum("n_convs")).first()[0] or 0) // LARGE_NODES))
+    near = prefixes.join(F.broadcast(nodes.filter(F.col("n_convs") >= least)), ["depth", "key"], "left")
+    rest = near.filter("rep is null").select(prefixes.columns).join(nodes.filter(F.col("n_convs") < least), ["depth", "key"])
+    return near.filter("rep is not null").unionByName(rest)
+
+
+def _members(prefixes: DataFrame) -> DataFrame:
+    """A row for each conversation and depth with its node: rep, n_convs, whether it ends there, and the node's own weights if it is the smallest member."""
+    rows = _with_nodes(prefixes)
     own = F.col("conv") == F.col("rep")
     saved = F.when(own, (F.col("n_convs") - 1) * F.col("chars")).otherwise(0)
     leaf = F.when(own & (F.col("n_ends") == F.col("n_convs")), 1).otherwise(0).cast("bigint")
