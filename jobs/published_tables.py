@@ -15,7 +15,7 @@ import json
 import logging
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.operators.regions import Rule, numbered_lines, region_rows
@@ -38,17 +38,16 @@ def tally(rows: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, documents: str, out: str, config: dict | None = None) -> dict[str, int]:
-    """Extracts from all texts of `documents` (doc_id, source, text); the texts read, rows and tally rows written."""
+    """Extracts from all texts of `documents` (doc_id, source, text); the numbers of texts, and of rows and tallies as read back."""
     settings = json.loads(CONFIG.read_text()) | (config or {})
     rules = [Rule(**r) for r in settings["rules"]]
-    read, wrote = Observation(), Observation()
     docs = spark.read.parquet(documents).select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "text")
-    rows = region_rows(numbered_lines(docs.observe(read, F.count(F.lit(1)).alias("n")), KEYS), rules, KEYS)
+    rows = region_rows(numbered_lines(docs, KEYS), rules, KEYS)
     rows = rows.select("doc_id", "source", "sha256", "region", "line_no", "n_rows", "conforms", "cells", "rule")
-    rows.observe(wrote, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy("rule").parquet(f"{out}/rows")
+    rows.write.mode("overwrite").partitionBy("rule").parquet(f"{out}/rows")
     sums = tally(read_rows(spark, out))
     sums.write.mode("overwrite").parquet(f"{out}/tally")
-    done = {"texts": read.get["n"], "rows": wrote.get["n"], "tallies": spark.read.schema(sums.schema).parquet(f"{out}/tally").count()}
+    done = {"texts": docs.count(), "rows": read_rows(spark, out).count(), "tallies": spark.read.schema(sums.schema).parquet(f"{out}/tally").count()}
     log.info("read %d texts of %s; wrote %d rows and %d tallies to %s", done["texts"], documents, done["rows"], done["tallies"], out)
     return done
 

@@ -20,7 +20,7 @@ import json
 import logging
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.functions.timeaxis import DAY_US
@@ -34,12 +34,9 @@ INPUTS = "grp bigint, event_id bigint, t bigint, w double, n_merged bigint, camp
 UNIT = ["campaign", "session"]
 
 
-def _overwrite(rows: DataFrame, path: str, by: list[str]) -> int:
-    """Replaces the partitions that `rows` has and leaves all others; returns how many rows went out."""
-    seen = Observation()
-    counted = rows.hint("rebalance", *UNIT).observe(seen, F.count(F.lit(1)).alias("n"))  # a file a session, more for a large one
-    counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
-    return seen.get["n"]
+def _overwrite(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Replaces the partitions that `rows` has and leaves all others; a file a session, more for a large one."""
+    rows.hint("rebalance", *UNIT).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def read_inputs(spark: SparkSession, out: str) -> DataFrame:
@@ -47,15 +44,16 @@ def read_inputs(spark: SparkSession, out: str) -> DataFrame:
 
 
 def _take(batch: DataFrame, number: int, out: str, gap_us: int) -> tuple[int, int]:
-    """One batch: stores its events and rebuilds the sessions of their days; the rows written of both."""
+    """One batch: stores its events and rebuilds the sessions of their days; the rows of both, as read back."""
     spark = batch.sparkSession
     day = F.floor(F.col("t") / DAY_US)  # a session is named by its day
-    stored = _overwrite(frames.timed(batch).withColumns({"session": day, "batch": F.lit(number).cast("bigint")}), f"{out}/arrived", [*UNIT, "batch"])
+    _overwrite(frames.timed(batch).withColumns({"session": day, "batch": F.lit(number).cast("bigint")}), f"{out}/arrived", [*UNIT, "batch"])
     arrived = spark.read.schema(ARRIVED).parquet(f"{out}/arrived").filter(F.col("batch") <= number)
     touched = arrived.filter(F.col("batch") == number).select(*UNIT).distinct()
     days = latest_by_key(arrived.join(touched, UNIT, "left_semi"), [*UNIT, "event_id"], ["batch", "t", "w"]).drop("session")
     inside = assign(days, frames.sessions(touched.select("campaign").distinct()))
-    return stored, _overwrite(merge_gaps(inside, UNIT, gap_us), f"{out}/inputs", UNIT)
+    _overwrite(merge_gaps(inside, UNIT, gap_us), f"{out}/inputs", UNIT)
+    return arrived.filter(F.col("batch") == number).count(), read_inputs(spark, out).join(touched, UNIT, "left_semi").count()
 
 
 def run(spark: SparkSession, source: str, out: str, checkpoint: str, config: dict | None = None) -> dict[str, int]:

@@ -158,3 +158,20 @@ def test_tables_of_repeated_and_null_rows(spark, tmp_path):
         assert done == {"texts": 5, "rows": 5, "tallies": 4}
     got = {(r["doc_id"], r["rule"], r["n_rows"], tuple(r["cells"])) for r in published_tables.read_rows(spark, str(tmp_path / "out")).collect()}
     assert got == {(1, "piped", 2, ("a", "b")), (None, "piped", 1, ("c", "d")), (None, "licence", 1, ("X",)), (None, "below_licence", 1, ("foo", "baz"))}
+
+
+@needs_data
+def test_jobs_on_tables_without_rows_or_matches(spark, tmp_path):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    events.limit(0).write.parquet(str(tmp_path / "none"))
+    events.withColumn("ts", F.expr("ts + interval 90 days")).write.parquet(str(tmp_path / "outside"))
+    for name, n in (("none", 0), ("outside", events.count())):
+        out = str(tmp_path / f"{name}-out")
+        assert session_inputs.run(spark, str(tmp_path / name), out, f"{out}/checkpoint") == {"read": n, "rebuilt": 0}
+        assert session_inputs.read_inputs(spark, out).count() == 0
+    docs = spark.createDataFrame([(1, "s", "no table")], "doc_id bigint, source string, text string")
+    docs.write.parquet(str(tmp_path / "plain"))
+    docs.limit(0).write.parquet(str(tmp_path / "empty"))
+    for name, n in (("plain", 1), ("empty", 0)):
+        assert published_tables.run(spark, str(tmp_path / name), str(tmp_path / f"{name}-out")) == {"texts": n, "rows": 0, "tallies": 0}
+        assert published_tables.read_rows(spark, str(tmp_path / f"{name}-out")).collect() == []
