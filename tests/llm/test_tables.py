@@ -372,6 +372,46 @@ def test_containment_matches_brute_force_on_odd_rows(spark):
     assert decontaminate.decontaminated(D, B.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("bits", [1 << 6, 1 << 26])
+def test_containment_with_templates_blocks_and_a_full_filter(spark, monkeypatch, bits):
+    """A template in most items, documents that quote many items, blocks of few shingles, and a filter that lets all through."""
+    rng = random.Random(3)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+    monkeypatch.setattr(decontaminate, "SHINGLES_A_BLOCK", 100)
+    monkeypatch.setattr(decontaminate, "TEMPLATE", 8)
+    template = "answer the question below in one short sentence"
+    items = [(i, f"{template} " + " ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice([0, 1, 4, 8, 9, 16, 17, 40]))), -i, "x", 0, 1) for i in range(60)]
+    items += [(7, "a second text of item seven, of its own words", 0, "y", 0, 1)]
+    docs = [(i, " ".join([template, f"d{i}"] + [items[rng.randrange(61)][1] for _ in range(rng.choice([0, 1, 2, 30]))]), i, 1, 2, "z") for i in range(40)]
+    docs += [(3, "a second text of item seven, of its own words and more", 1, 1, 1, "z"), docs[5]]
+
+    def sh(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    want = {}
+    for d, t, *_ in docs:
+        for i, u, *_ in items:
+            a, b = sh(t), sh(u)
+            if len(a & b) * 100 >= len(b) * 80:
+                was = want.get((d, i), (0, 0))
+                want[d, i] = (max(was[0], len(a & b)), max(was[1], len(b)))
+    D = spark.createDataFrame(docs, "doc_id bigint, text string, h bigint, part int, holds int, items string")
+    B = spark.createDataFrame(items, "item_id bigint, text string, doc_id bigint, h string, needed int, row int")
+    got = decontaminate.contained_items(D, B).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in got} == want and len(got) == len(want)
+    assert decontaminate.contained_items(D, B.limit(0)).dtypes == decontaminate.contained_items(D.limit(0), B).dtypes
+    assert {r["doc_id"] for r in decontaminate.decontaminated(D, B).collect()} == {d[0] for d in docs} - {d for d, _ in want}
+
+
+def test_size_partitions_are_exact_at_powers_of_two(spark):
+    sizes = [1, 2, 3, 4, 5, 8, 9, 1024, 1025, (1 << 29), (1 << 29) + 1]
+    part = decontaminate._size_partition(F.col("n"))
+    rows = spark.createDataFrame([(n,) for n in sizes], "n int").select("n", part.alias("p"), decontaminate._least_held(part, 80).alias("least")).collect()
+    assert [r["p"] for r in rows] == [(n - 1).bit_length() for n in sizes]
+    assert all(r["least"] * 100 <= max(r["n"] * 80 + 99, 100) for r in rows)  # no document that holds 80 % is too small
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
